@@ -21,6 +21,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from limnos.llm.ngram_join import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.quality import quality_report
 
@@ -34,7 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op5_ngram_jaccard_join, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
