@@ -33,6 +33,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from limnos.llm.license_scan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.quality import quality_report
 
@@ -46,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op5_ngram_jaccard_join, op7_suffix_dedup, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op5_ngram_jaccard_join, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
