@@ -21,6 +21,8 @@ nothing. The order of pieces depends on the partitioning, the multiset of ids ne
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from limnos.llm import textcodec as tc
+from limnos.llm.tokens import byte_letters
 from limnos.session import cut_lineage
 
 WINDOW = 4096
@@ -40,7 +43,7 @@ FILLER_SHARE = 24
 #: Documents that one partition packs.
 SHARD_ROWS = 30_000
 #: Stretches whose ids are kept per worker; beyond it the table starts anew.
-KEPT = 250_000
+KEPT = 400_000
 
 
 def default_vocabulary() -> str:
@@ -49,28 +52,71 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Stretches whose pieces follow from the pre-token pattern alone: printable ASCII but the apostrophe (it may begin
+#: a contraction), and the letters of Latin-1, all of them stable under the vocabulary's normaliser.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class WordIds:
-    """Little-endian 32-bit ids of blank-separated stretches, kept per worker."""
+    """Little-endian 32-bit ids of blank-separated stretches, kept per worker.
+
+    Plain stretches are cut into pre-tokens here and only those, which repeat more than
+    stretches do, go through the vocabulary's merges; all other stretches go through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self.pieces[piece] = found
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.pieces) > KEPT:
+            self.older, self.pieces = self.pieces, {}
+        pieces, other = self.pieces, []  # what was in use lately survives as the older half
+        for w in words:
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                self.known[w] = b"".join([pieces.get(p) or self._piece(p) for p in _PIECES.findall(w.lower())])
+            else:
+                other.append(w)
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parted = [t.replace("\n", " ").split(" ") for t in texts]
+        parted = [_folded(t).replace("\n", " ").split(" ") for t in texts]
         new = {w for p in parted for w in p}
         if len(self.known) + len(new) > KEPT:
             self.known = {"": b""}
-        new.difference_update(self.known)
-        ordered = list(new)
-        for w, e in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(list(new.difference(self.known)))
         return [b"".join(map(self.known.__getitem__, p)) for p in parted]
 
 
+def _folded(text: str) -> str:
+    """The text in lower case, as the normaliser would have it, where case mapping is one letter to one."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @lru_cache(1)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
