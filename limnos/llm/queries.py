@@ -21,12 +21,30 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from limnos.llm.html_extract import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from limnos.llm.toxicity import toxicity
+
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.ngram_join import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from limnos.llm.url_filter import judge
+
+    return judge(read_table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.suffix_dedup import repeat_report
 
@@ -52,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op5_ngram_jaccard_join, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
