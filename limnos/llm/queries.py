@@ -69,8 +69,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
