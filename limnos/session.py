@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +23,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "limnos-checkpoints"))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; it does so only for plans that were collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    release_shuffles(spark)
+    return out
+
+
+def store(df: DataFrame) -> DataFrame:
+    """As cut_lineage, for large tables: compressed Parquet in the shared checkpoint folder, deleted when the driver ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{context._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4()}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    schema = df.schema
+    df.write.parquet(path.toString())
+    del df
+    release_shuffles(spark)
+    return spark.read.schema(schema).parquet(path.toString())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
