@@ -142,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     doc_id, text = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"))
+    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"))
 
     lines = keyed.select(F.struct("dk", "rk").alias("id"), _lines_framed(F.col("text")).alias("framed"))
     found = template_matches(lines, block_frequencies(lines, templates), templates, threshold)

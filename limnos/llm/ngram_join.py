@@ -190,7 +190,7 @@ def _verify(threshold: float):
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, dk, rk, text): a null-free key (dk, rk) of each row's id and text."""
     doc_id, text = docs[id_col].cast("long"), docs[text_col].cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"))
 
 
 class NearDuplicates:
@@ -198,7 +198,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> None:
         keyed = with_row_key(docs, id_col, text_col)
-        shape = "doc_id long, dk string, rk long, fid long, keys array<long>"
+        shape = "doc_id long, dk long, rk long, fid long, keys array<long>"
         signed = cut_lineage(keyed.mapInArrow(_sign(prefix_length(threshold, recall)), shape))
         self.rows = signed.drop("keys")
         classes = self.rows.where("fid is not null").groupBy("fid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "dk", "rk")).alias("first"), F.min("doc_id").alias("least_id"))
@@ -259,5 +259,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     kept = NearDuplicates(docs).kept()
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
-    keyed = docs.select(row, F.coalesce(doc_id.cast("string"), F.lit("")).alias("dk"), F.xxhash64(text).alias("rk"))
+    keyed = docs.select(row, F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"))
     return keyed.join(kept, ["dk", "rk"], "left_semi").dropDuplicates(["dk", "rk"]).select("row.*")

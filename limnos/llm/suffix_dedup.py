@@ -1,8 +1,8 @@
 """Removal of long verbatim repeats: every byte under a 400-byte string that also starts elsewhere.
 
-A 400-byte window of a document always contains the same *anchor*: the 64-byte gram with the
+A 400-byte window of a document always contains the same *anchor*: the 128-byte gram with the
 least hash, a function of the window's content alone. So equal windows share their anchor, and
-the text is cut into *spans*: the runs of windows with one anchor, about one per 170 bytes.
+the text is cut into *spans*: the runs of windows with one anchor, about one per 140 bytes.
 
 1. One pass emits each span's place, the anchor's hash and the hash of the span's bytes.
 2. Counting by (anchor, span) settles most windows: a span that occurs twice is a repeat
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from limnos.llm import textcodec as tc
 from limnos.llm.ngram_join import with_row_key
-from limnos.session import cut_lineage
+from limnos.session import store
 
 WINDOW = 400
-GRAM = 64
+GRAM = 128
 #: Spans in a shard of step 3, on average; anchors with more distinct spans than that are settled by windows.
 SHARD_SPANS = 1500
 _U = np.uint64
@@ -100,20 +100,28 @@ def _emit_spans(window: int, gram: int, limit: int):
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; the symbols must make all suffixes distinct."""
-    n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], symbols[order][1:] != symbols[order][:-1]]))
-    step = 1
-    while rank.max(initial=0) < n - 1:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+    """Suffix array by prefix doubling of the suffixes that still tie; the symbols must make all suffixes distinct."""
+    n, bits = len(symbols), max(1, int(symbols.max()).bit_length())
+    step = max(1, 62 // bits)
+    padded = np.concatenate([symbols, np.zeros(step, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key = (key << bits) | padded[k : k + n]
+    order, rank, slots = np.argsort(key), np.zeros(n, np.int64), np.arange(n)
+    items, key = order, key[order]
+    while True:
+        # rank: the first slot of the suffixes that tie
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[items] = slots[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        slots = slots[~new | np.append(~new[1:], False)]
+        if not len(slots):
+            return order
+        items = order[slots]
+        key = rank[items] * n + rank[items + step]  # a tie holds no separator yet, so it goes on
+        by = np.argsort(key)
+        order[slots] = items = items[by]
+        key = key[by]
         step *= 2
-    return order
 
 
 def repeated_starts(texts: list[bytes], least: int) -> np.ndarray:
@@ -129,27 +137,30 @@ def repeated_starts(texts: list[bytes], least: int) -> np.ndarray:
     n = len(joined)
     order = suffix_array(joined)
     before = joined[order - 1]  # the transform
-    by_symbol = np.argsort(before, kind="stable")
+    by_symbol = np.argsort(before.astype(np.uint16) if len(texts) < 65_000 else before, kind="stable")
     step_left = np.empty(n, np.int64)
     step_left[by_symbol] = np.arange(n)  # place of the suffix one symbol longer
+    first = joined[order]
     unset = np.ones(n + 1, bool)
     unset[[0, n]] = False
     lo, hi = np.array([0]), np.array([n])
     for _ in range(least):
         size = hi - lo
-        which = np.repeat(np.arange(len(lo)), size)
-        inside = np.arange(len(which)) + np.repeat(lo - (np.cumsum(size) - size), size)
-        # suffixes one longer, grouped by (interval, symbol): symbols keep their order in each interval
-        target = step_left[inside]
-        grouped = np.lexsort((target, which)) if len(lo) > 1 else np.argsort(target)
-        target, which, symbol = target[grouped], which[grouped], before[inside[grouped]]
-        new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])]))
-        lo, hi = target[new], target[new] + np.diff(np.append(new, len(target)))
+        alone = size == 1
+        single = step_left[lo[alone]]
+        lo, size = lo[~alone], size[~alone]
+        # suffixes one longer, by interval and place: those of one symbol are neighbours
+        key = np.sort(np.repeat(np.arange(len(lo)) * n, size) + step_left[np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)])
+        which, target = np.divmod(key, n)
+        symbol = first[target]
+        new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])])) if len(key) else key
+        lo = np.concatenate([target[new], single])
+        hi = np.concatenate([target[new] + np.diff(np.append(new, len(target))), single + 1])
         fresh = unset[hi]
         lo, hi = lo[fresh], hi[fresh]
         if not len(lo):
             break
-        # of intervals with the same end the first in breadth-first order counts; any will do, their strings are equally long
+        # of intervals with one end any will do: their strings are equally long
         hi, one = np.unique(hi, return_index=True)
         lo = lo[one]
         unset[hi] = False
@@ -228,29 +239,32 @@ def _window_hashes(window: int):
 
 def repeats(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, segment: int = tc.CHUNK_BYTES) -> DataFrame:
     """(dk, rk, start, end): ranges of bytes to remove, overlapping or not, for rows (dk, rk, text)."""
-    spans = cut_lineage(keyed.select("dk", "rk", "text").mapInArrow(_emit_spans(window, gram, segment), "dk string, rk long, start long, end long, anchor long, span long"))
-    counts = spans.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("dk", "rk", "start", "end")).alias("at"))
+    spans = store(keyed.select("dk", "rk", "text").mapInArrow(_emit_spans(window, gram, segment), "dk long, rk long, start long, end long, anchor long, span long"))
+    counts = spans.groupBy("anchor", "span").agg(F.count("*").alias("n"))
     per_anchor = counts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 or least > 1")
-    known = cut_lineage(counts.join(per_anchor, "anchor"))
-    plain = spans.join(known.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("dk", "rk", "start", "end")
-
-    rim = known.where("kinds > 1 and least = 1")
-    shards = max(1, rim.count() // SHARD_SPANS)
-    wanted = rim.select("at.*", "anchor", (F.col("n") == 1).alias("single"), (F.col("kinds") > SHARD_SPANS).alias("hot"))
+    known = store(counts.join(per_anchor, "anchor"))
+    placed = store(spans.join(known, ["anchor", "span"]).select("dk", "rk", "start", "end", "anchor", "span", "n", (F.expr("kinds > 1 and least = 1")).alias("rim"), (F.col("kinds") > SHARD_SPANS).alias("hot")))
+    plain = placed.where("n > 1").select("dk", "rk", "start", "end")
+
+    # one copy of each distinct span at the rim
+    place = F.struct("dk", "rk", "start", "end", "hot")
+    rim = placed.where("rim").groupBy("anchor", "span").agg(F.min(place).alias("at"), F.count("*").alias("n"))
+    wanted = rim.select("at.*", "anchor", (F.col("n") == 1).alias("single"))
     wanted = wanted.groupBy("dk", "rk").agg(F.collect_list(F.struct("start", "end", "anchor", "single", "hot")).alias("spans"))
     # repeated rows carry the same text: any one of them will do, and a second one changes nothing but work
     texts = keyed.select("dk", "rk", "text").join(wanted, ["dk", "rk"]).select("dk", "rk", "text", "spans")
-    pieces = cut_lineage(texts.mapInArrow(_slices, "dk string, rk long, start long, anchor long, single boolean, hot boolean, bytes binary"))
+    pieces = store(texts.mapInArrow(_slices, "dk long, rk long, start long, anchor long, single boolean, hot boolean, bytes binary"))
+    shards = max(1, pieces.count() // SHARD_SPANS)
     cold = pieces.where("not hot").withColumn("shard", F.expr(f"pmod(xxhash64(anchor), {shards}L)"))
-    sorted_ = cold.groupBy("shard").applyInArrow(_settle(window), "dk string, rk long, start long, end long")
-    values = pieces.where("hot").mapInArrow(_window_hashes(window), "dk string, rk long, single boolean, start long, value long")
+    sorted_ = cold.groupBy("shard").applyInArrow(_settle(window), "dk long, rk long, start long, end long")
+    values = pieces.where("hot").mapInArrow(_window_hashes(window), "dk long, rk long, single boolean, start long, value long")
     twice = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     counted = values.where("single").join(twice, "value").select("dk", "rk", "start", (F.col("start") + window).alias("end"))
     return plain.union(sorted_).union(counted)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, ranges) to (row, n_bytes, n_removed, n_spans, kept)."""
+    """(row, text, ranges) to (row, text, n_bytes, n_removed, n_spans, kept)."""
     for batch in batches:
         texts, ranges = tc.text_array(batch.column(1)), batch.column(2)
         out: tuple[list, list, list, list] = ([], [], [], [])
@@ -272,18 +286,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[1].append(removed)
             out[2].append(merged)
             out[3].append(b"".join(keep))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["row", "text", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, segment: int = tc.CHUNK_BYTES) -> DataFrame:
-    """Columns: row (all of the document's columns), n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
+    """Columns: row (the document's columns but its text), text, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     ranges = repeats(with_row_key(docs, id_col, text_col), window, gram, segment)
-    ranges = ranges.groupBy("dk", "rk").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = store(ranges.groupBy("dk", "rk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges")))
     doc_id, text = docs[id_col].cast("long"), docs[text_col].cast("string")
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    keyed = docs.select(row, text.alias("text"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("dk"), F.xxhash64(text).alias("rk"))
+    row = F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(1).alias("_")).alias("row")
+    keyed = docs.select(row, text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"))
     joined = keyed.join(ranges, ["dk", "rk"], "left").select("row", "text", "ranges")
-    return joined.mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -298,8 +312,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     Characters of which bytes were removed go with them. All documents stay, even if nothing is left of one.
     """
     cut = without_repeats(docs)
-    text = F.when(F.col("row.text").isNull(), F.lit(None)).when(F.col("n_removed") == 0, F.col("row.text")).otherwise(_clean_text("kept"))
-    fields = [(text if c == "text" else F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    whole, text = F.col("n_removed") == 0, F.col("text")
+    text = F.when(whole, text).otherwise(_clean_text("kept"))
+    changed = {"text": text, "n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    fields = [(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     return cut.select(*fields)
 
 
