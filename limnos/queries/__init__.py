@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.queries import entities, measures
+from limnos.queries import documents, entities, measures, planning
 
-MODULES = (measures, entities)
+MODULES = (measures, entities, documents, planning)
 
 
 def queries() -> dict:
