@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from limnos.session import cut_lineage
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
@@ -86,7 +88,8 @@ def dense_ids(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     """
     order = [c for k in keys for c in (F.lower(F.coalesce(F.col(k), F.lit(""))), F.col(k))]
     sorted_ = df.select(*keys).distinct().repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    local = sorted_.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    # written once: a second evaluation could draw other range bounds
+    local = cut_lineage(sorted_.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
     shift = local.groupBy("_p").agg(F.max("_n").alias("_size"))
     shift = shift.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(shift.select("_p", "_before")), "_p").select((F.col("_n") + F.col("_before")).cast("long").alias(id_column), *keys)

@@ -189,7 +189,7 @@ def overlaps(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
     """(left_id, right_id, overlap_area_km2, left_ratio, right_ratio) of polygons in metres that overlap."""
     pairs = grid_pairs(left, right, width).where(touches_or_overlaps("left_geometry", "right_geometry")).withColumn("a", intersection_area("left_geometry", "right_geometry"))
     ratio = lambda side: F.col("a") / F.nullif(area(F.col(f"{side}_geometry")), F.lit(0.0))
-    return pairs.select("left_id", "right_id", (F.col("a") / 1e6).alias("overlap_area_km2"), ratio("left").alias("left_ratio"), ratio("right").alias("right_ratio"), F.lit("geometry_intersection").alias("determination_method"))
+    return pairs.select("left_id", "right_id", (F.col("a") / 1e6).alias("overlap_area_km2"), ratio("left").alias("left_ratio"), ratio("right").alias("right_ratio"), F.lit("spatial_intersection").alias("determination_method"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
