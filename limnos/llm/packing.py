@@ -25,7 +25,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ FILLER_SHARE = 24
 #: Documents that one partition packs.
 SHARD_ROWS = 30_000
 #: Stretches whose ids are kept per worker; beyond it the table starts anew.
-KEPT = 400_000
+KEPT = 250_000
 
 
 def default_vocabulary() -> str:
@@ -117,9 +116,8 @@ def _folded(text: str) -> str:
     return text.lower()
 
 
-@lru_cache(1)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return tc.held(f"packing {path}", lambda: WordIds(path))
 
 
 class OpenWindows:

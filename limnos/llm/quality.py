@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from limnos.llm import textcodec as tc
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Words whose tokens are kept per worker; beyond it the table starts anew.
-KEPT = 300_000
+KEPT = 200_000
 SCRIPTS = ("other", "latin", "cyrillic", "greek", "arabic", "indic", "kana", "han", "hangul")
 
 
@@ -108,9 +107,8 @@ class WordTokens:
         return self.ids[np.arange(int(size.sum())) + np.repeat(start - first, size)], size
 
 
-@lru_cache(1)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    return tc.held(f"quality {path}", lambda: WordTokens(path))
 
 
 def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:

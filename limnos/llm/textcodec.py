@@ -7,6 +7,7 @@ whatever the batch; only a single longer document makes a longer chunk.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +20,18 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """One large table per worker process: asking for another key drops what was held, so stages never add up."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The column as 64-bit-offset strings; anything that is not text counts as empty."""
     return column.cast(pa.large_string()) if not pa.types.is_null(column.type) else pa.nulls(len(column), pa.large_string())
