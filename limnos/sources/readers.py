@@ -49,10 +49,15 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+#: What windows-1252 has where latin-1 has control characters.
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8 with or without a mark, else windows-1252, never with replacements for valid text."""
     utf8 = F.regexp_replace(F.decode(content, "utf-8"), "^﻿", "")
-    return F.when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.decode(content, "windows-1252"))
+    return F.when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.translate(F.decode(content, "iso-8859-1"), _CONTROLS, _WINDOWS))
 
 
 def choose_delimiter(header: str) -> str:
@@ -73,8 +78,10 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, quote: str
     names = column_names([c.strip().strip(quote) for c in first.split(sep)])
     schema = StructType([StructField(n, StringType()) for n in [*names, "_corrupt"]])
     rows = spark.read.csv(path, sep=sep, quote=quote, header=True, encoding=encoding, schema=schema, mode="FAILFAST" if strict else "PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, multiLine=False)
-    rows = rows.withColumn("source_file", F.input_file_name())
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("source_file", F.col("_corrupt").alias("line"), F.lit("width").alias("issue"))
+    # the record column is only filled when data columns are read with it
+    rows = rows.withColumn("source_file", F.input_file_name()).withColumn("_data", F.struct(*names))
+    issues = rows.where("_corrupt is not null").select("source_file", F.col("_corrupt").alias("line"), F.lit("width").alias("issue"), F.to_json("_data").alias("read_as"))
+    return rows.where("_corrupt is null").drop("_corrupt", "_data"), issues
 
 
 @pandas_udf(ArrayType(StructType([StructField("row", ArrayType(StringType())), StructField("issue", StringType())])))
