@@ -79,5 +79,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing, pipeline)}
 
 
+_WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Words compared as strings, windows as joined strings.
+_OP2 = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
+b as (select cast(item_id as varchar) as item, {_WORDS.format(text="coalesce(text, '')")} as w from benchmark where item_id is not null),
+bw as (select distinct item, least(10, len(w)) as m, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as win from (select item, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from b where len(w) > 0)),
+sizes as (select distinct m from bw),
+dw as (select r, m, i, array_to_string(w[i : i + m - 1], ' ') as win from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i from d, sizes where len(w) >= m)),
+hit as (select distinct dw.r, dw.m, dw.i, bw.item from dw join bw on bw.m = dw.m and bw.win = dw.win),
+covered as (select r, count(distinct p) as n from (select r, unnest(range(i, i + m)) as p from (select distinct r, m, i from hit)) group by r),
+named as (select r, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct r, item from hit) group by r)
+select d.doc_id, len(d.w) as n_words, coalesce(c.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(n.items, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from d left join covered c using (r) left join named n using (r)"""
+
+#: Exact Jaccard over all pairs that share a shingle, then components by least label.
+_OP5 = f"""
+with recursive d as (select row_number() over () as r, doc_id, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
+s as (select distinct r, array_to_string(w[i : i + 4], ' ') as g from (select r, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5) union all select r, array_to_string(w, ' ') || '|' from d where len(w) between 1 and 4),
+k as (select r, count(*) as n, string_agg(g, chr(10) order by g) as whole from s group by r),
+c as (select min(r) as c, count(*) as copies, min(n) as n, whole from k group by whole), m as (select k.r, c.c, c.copies, c.n from k join c using (whole)),
+cs as (select s.r as c, s.g from s join (select c from c) x on x.c = s.r), j as (select a.c as a, b.c as b, count(*) as shared from cs a join cs b on a.g = b.g and a.c <> b.c group by 1, 2),
+l as (select a, b from j join c x on x.c = j.a join c y on y.c = j.b where shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
+walk(c, root) as (select c, c from c union select l.b, walk.root from walk join l on l.a = walk.c), roots as (select c, min(root) as root from walk group by c),
+near as (select l.a as c, sum(copies) as links from l join c on c.c = l.b group by 1),
+ids as (select root, min(doc_id) as class_id from m join roots using (c) join d using (r) group by root)
+select d.doc_id, case when m.r is null then d.doc_id else ids.class_id end as class_id, cast(coalesce(m.copies - 1, 0) + coalesce(near.links, 0) as bigint) as n_links
+from d left join m using (r) left join near on near.c = m.c left join roots on roots.c = m.c left join ids on ids.root = roots.root"""
+
+
+def _op8() -> str:
+    from limnos.llm import license_scan as ls
+
+    templates = ", ".join(f"('{name}', [{', '.join(repr(w) for w in words)}])" for name, words in ls._template_words(ls.TEMPLATES).items())
+    phrases = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in ls.PHRASES.items())
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
+p(label, phrase, m) as (values {phrases}), t(label, words) as (values {templates}),
+hit as (select r, label, i - 1 as pos from (select r, w, label, phrase, m, unnest(range(1, len(w) - m + 2)) as i from d, p where len(w) >= m) where array_to_string(w[i : i + m - 1], ' ') = phrase),
+base as (select r, count(*) as n, min(pos) as a, max(pos) as z, string_agg(distinct label, ',' order by label) as labels from hit group by r),
+line as (select r, list_distinct({_WORDS.format(text="x")}) as held from (select r, unnest(string_split(text, chr(10))) as x from d)),
+tm as (select r, label, len(list_intersect(t.words, line.held)) / len(t.words) as share from line, t where len(list_intersect(t.words, line.held)) >= ceil({ls.THRESHOLD} * len(t.words) - 1e-9)),
+more as (select r, max(share) as share from tm group by r), every as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from hit union all select r, label from tm) group by r)
+select d.doc_id, len(d.w) as n_words, coalesce(base.n, 0) as n_base, base.a as first_word, base.z as last_word, coalesce(base.labels, '') as base_labels, coalesce(every.labels, '') as labels,
+  case when base.n > 0 then 1.0::double else coalesce(more.share, 0.0::double) end as score from d left join base using (r) left join more using (r) left join every using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators that SQL can express over whole tables; the others are tested against brute force."""
+    return {"op2_decontamination": _OP2, "op5_ngram_jaccard_join": _OP5, "op8_license_scan": _op8()}
