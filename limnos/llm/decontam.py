@@ -168,10 +168,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     One narrow pass per block of the benchmark; documents are never shuffled.
     """
-    state = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
+    state = docs.select(tc.row_of(docs), docs[text_col].cast("string").alias("text"))
     state = state.select("row", "text", F.expr("cast(array() as array<bigint>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     for block in item_blocks(benchmark, item_id, item_text):
-        shape = f"row {state.schema['row'].dataType.simpleString()}, text string, hits array<bigint>, items array<string>, n_words long"
+        shape = tc.shape_with_row(state, "text string, hits array<bigint>, items array<string>, n_words bigint")
         state = state.select("row", "text", "hits", "items").mapInArrow(_pass_over(TestSuffixes(block)), shape)
     return state.drop("text")
 

@@ -257,7 +257,6 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group, with its own columns. Repeats of a row (same id and text) become one row, with or without words."""
     kept = NearDuplicates(docs).kept()
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
-    keyed = docs.select(row, F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"))
+    keyed = docs.select(tc.row_of(docs), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"))
     return keyed.join(kept, ["dk", "rk"], "left_semi").dropDuplicates(["dk", "rk"]).select("row.*")

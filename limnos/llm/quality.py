@@ -200,7 +200,7 @@ LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def judge(docs: DataFrame, text_col: str = "text", path: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
     """Columns: row (all of the document's columns), the base counts, the fertility figures, base_failed, kept. One narrow pass."""
     path, bands = path or default_vocabulary(), bands or BANDS
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(tc.row_of(docs), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
@@ -214,7 +214,7 @@ def judge(docs: DataFrame, text_col: str = "text", path: str | None = None, band
                 columns += [pa.array([SCRIPTS[k] for k in figures["script"]], pa.string()), pa.array(failed), pa.array(~failed & within_bands(figures, bands))]
                 yield pa.RecordBatch.from_arrays(columns, ["row", *LONGS, "chars_per_token", "byte_share", "entropy", "script", "base_failed", "kept"])
 
-    shape = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in LONGS) + ", chars_per_token double, byte_share double, entropy double, script string, base_failed boolean, kept boolean"
+    shape = tc.shape_with_row(rows, ", ".join(f"{k} bigint" for k in LONGS) + ", chars_per_token double, byte_share double, entropy double, script string, base_failed boolean, kept boolean")
     return rows.mapInArrow(run, shape)
 
 

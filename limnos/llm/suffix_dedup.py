@@ -294,10 +294,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = repeats(with_row_key(docs, id_col, text_col), window, gram, segment)
     ranges = store(ranges.groupBy("dk", "rk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges")))
     doc_id, text = docs[id_col].cast("long"), docs[text_col].cast("string")
-    row = F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(1).alias("_")).alias("row")
-    keyed = docs.select(row, text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"))
+    keyed = docs.select(tc.row_of(docs, text_col), text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"))
     joined = keyed.join(ranges, ["dk", "rk"], "left").select("row", "text", "ranges")
-    return joined.mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(_cut, tc.shape_with_row(joined, "text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -61,6 +64,16 @@ def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterat
         lo = hi
 
 
+def row_of(docs: DataFrame, but: str | None = None) -> Column:
+    """All columns of a document as one struct named row, so that names of ours never clash with theirs."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != but], *([F.lit(1).alias("_")] if but else [])).alias("row")
+
+
+def shape_with_row(df: DataFrame, rest: str) -> StructType:
+    """The schema of a map that passes the column row through and adds the columns of ``rest``."""
+    return StructType([StructField("row", df.schema["row"].dataType), *StructType.fromDDL(rest).fields])
+
+
 def _class_table(pairs: list[tuple[int, int]]) -> np.ndarray:
     table = np.zeros(256, bool)
     for a, b in pairs:

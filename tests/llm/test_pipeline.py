@@ -5,7 +5,7 @@ import test_decontam
 import test_ngram_join
 import test_packing
 import test_quality
-from docs import SCHEMA, odd_documents
+from docs import frame, odd_documents, padded
 
 import corpus_pipeline
 from limnos.llm.suffix_dedup import brute_force
@@ -28,20 +28,20 @@ def corpus():
         if k % 5 == 0:
             rows.append((700 + k, text + " tail", "en", "s", 1, None, None))
             rows.append((600 + k, text, None, None, None, None, None))
-    return rows, [(1, leaked), (2, "absent " * 20)]
+    return padded(rows), [(1, leaked), (2, "absent " * 20)]
 
 
 def test_every_stage_matches_brute_force(spark, tmp_path):
     rows, items = corpus()
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         kept[name] = docs.collect()
         if name != "packing":
-            assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+            assert docs.columns == frame(spark, []).columns
 
     bag = lambda rs: sorted((tuple(r) for r in rs), key=repr)
     good = kept["quality_rules"]
@@ -64,7 +64,7 @@ def test_every_stage_matches_brute_force(spark, tmp_path):
 def test_run_applies_all_stages(spark, tmp_path):
     rows, items = corpus()
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert pieces and sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
     assert re.fullmatch(r"\w+", corpus_pipeline.STAGES[0][0])
