@@ -42,7 +42,7 @@ FILLER_SHARE = 24
 #: Documents that one partition packs.
 SHARD_ROWS = 30_000
 #: Stretches whose ids are kept per worker; beyond it the table starts anew.
-KEPT = 250_000
+KEPT = 400_000
 
 
 def default_vocabulary() -> str:
