@@ -7,8 +7,10 @@ probability of a character under a context of k characters leans on that under k
 shorter one's value. A URL's figure is the difference of its log likelihoods per character,
 and the threshold is set where the two labelled sides, weighted alike, are told apart best.
 
-Counts are kept in tables of SLOTS hashed entries per order, so what reaches the driver and the
-executors has a fixed size while every labelled URL is counted.
+A character with its context of ORDER is six bytes, so one integer names it exactly and nothing is
+hashed. Counts are rows of a table that grows with the labelled URLs and stays distributed: those
+of lower orders are sums over it, and a key meets at most 256 rows in any join or window. URLs are
+scored in blocks of about BLOCK_CHARS characters, each with the figures of its own grams only.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no rule and
 is judged by the models as an empty string; repeated rows are judged alike; if rules label
@@ -25,12 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from limnos.llm import textcodec as tc
+from limnos.session import store
 
 ORDER = 5
-SLOTS = 1 << 16
 WEIGHT = 2.0
+BLOCK_CHARS = 1 << 18
+#: Entries an order of the hashed tables of Models, which judge() does not use.
+SLOTS = 1 << 16
 #: (verdict, host, path), fixed values.
 RULES = (
     ("allow", "org", "/"),
@@ -74,28 +80,90 @@ def _slots(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield ((context % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS, (rolling.of(at - k, at + 1) % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS, url[at])
 
 
+def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, URL) of every character; the end counts as one. A gram holds the ORDER bytes before and the character's own, last."""
+    lead = bytes([_START] * ORDER)
+    raw = [lead + u.encode() + bytes([_END]) for u in urls]
+    sizes = np.array([len(r) for r in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    url = np.repeat(np.arange(len(raw)), sizes)
+    first = np.cumsum(sizes) - sizes
+    at = np.flatnonzero(np.arange(len(data)) - first[url] >= ORDER)
+    gram = data[at - ORDER]
+    for k in range(ORDER - 1, -1, -1):
+        gram = gram << 8 | data[at - k]
+    return gram, url[at]
+
+
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows over which all columns stay the same."""
+    n = len(columns[0])
+    turns = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+    return zip([0, *turns.tolist()] if n else [], [*turns.tolist(), n])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, allow) to (entry, allow, reject): entries are grams, then contexts. One table a task."""
-    size = (ORDER + 1) * SLOTS
-    table = np.zeros((2, 2 * size), np.int64)
+    """(text, block, allow) to (block, gram, allow, reject): every gram of the block, also of rows without a rule."""
+    for batch in batches:
+        for part, column in tc.chunks(batch, "text"):
+            blocks = part.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi in _runs(blocks):
+                gram, url = _grams(column.slice(lo, hi - lo).to_pylist())
+                side = part.column(2).slice(lo, hi - lo).fill_null(-1).to_numpy(zero_copy_only=False)[url]
+                found, place = np.unique(gram, return_inverse=True)
+                counts = [np.bincount(place[side == k], minlength=len(found)) for k in (1, 0)]
+                for at in range(0, len(found), 50_000):
+                    own = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[own]), blocks[lo])), pa.array(found[own]), *(pa.array(c[own].astype(np.int64)) for c in counts)], ["block", "gram", "allow", "reject"])
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, difference) for each row of ``counts(gram, allow, reject)``, from the models of all orders over it."""
+    sides = ("allow", "reject")
+    levels = [counts]
+    for k in range(ORDER, 0, -1):
+        levels.append(levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(*(F.sum(s).alias(s) for s in sides)))
+    below = None
+    for k, level in enumerate(reversed(levels)):
+        context = Window.partitionBy(F.shiftright("gram", 8))
+        level = level.select("gram", *sides, *(F.sum(s).over(context).alias(f"{s}_context") for s in sides))
+        if below is None:
+            level = level.select("*", *(F.lit(1 / 256).alias(f"{s}_below") for s in sides))
+        else:
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+            level = level.withColumn("shorter", shorter).join(below.select(F.col("gram").alias("shorter"), *(F.col(s).alias(f"{s}_below") for s in sides)), "shorter")
+        below = level.select("gram", *(((F.col(s) + WEIGHT * F.col(f"{s}_below")) / (F.col(f"{s}_context") + WEIGHT)).alias(s) for s in sides))
+    return below.select("gram", (F.log("allow") - F.log("reject")).alias("difference"))
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by block, in each the grams in order and then the URLs, to the URLs with their ratio."""
+    block, grams, differences, known = None, [], [], None
     for batch in batches:
-        for part, column in tc.chunks(batch, "text", 1 << 18):
-            allow = part.column(1).to_numpy(zero_copy_only=False)
-            for context, gram, url in _slots([t or "" for t in column.to_pylist()]):
-                for side in (0, 1):
-                    own = allow[url] == side
-                    table[side] += np.bincount(np.concatenate([gram[own], context[own] + size]), minlength=2 * size)
-    used = np.flatnonzero(table.any(0))
-    for lo in range(0, len(used), 50_000):
-        k = used[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(table[1, k]), pa.array(table[0, k])], ["entry", "allow", "reject"])
+        blocks = batch.column(0).to_numpy(zero_copy_only=False)
+        is_url = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        for lo, hi in _runs(blocks, is_url):
+            if blocks[lo] != block:
+                block, grams, differences, known = blocks[lo], [], [], None
+            rows = batch.slice(lo, hi - lo)
+            if not is_url[lo]:
+                grams.append(rows.column(1).to_numpy(zero_copy_only=False))
+                differences.append(rows.column(2).to_numpy(zero_copy_only=False))
+                continue
+            if known is None:
+                known, grams, differences = (np.concatenate(grams), np.concatenate(differences)), [], []
+            for part, column in tc.chunks(rows, "text"):
+                gram, url = _grams(column.to_pylist())
+                ratio = np.bincount(url, known[1][np.searchsorted(known[0], gram)], len(column)) / np.bincount(url, minlength=len(column))
+                yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(ratio)], [*part.schema.names[4:], "ratio"])
 
 
 @dataclass
 class Models:
+    """The same models over hashed tables in memory: exact while grams are few against SLOTS, as in the plain count of the tests."""
+
     grams: np.ndarray
     contexts: np.ndarray
-    threshold: float = 0.0
 
     def ratio(self, urls: list[str]) -> np.ndarray:
         """Difference of log likelihoods per character, allowed less rejected."""
@@ -107,30 +175,13 @@ class Models:
         return np.bincount(url, difference, len(urls)) / np.bincount(url, minlength=len(urls))
 
 
-def _ratios(models: Models):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, column in tc.chunks(batch, "text", 1 << 18):
-                ratio = models.ratio([t or "" for t in column.to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(ratio)], [*part.schema.names[1:], "ratio"])
-
-    return run
-
-
-def fit(labelled: DataFrame) -> Models:
-    """``labelled(text, allow)``: the models over all of its rows, and their threshold."""
-    size = (ORDER + 1) * SLOTS
-    counted = labelled.mapInArrow(_count, "entry long, allow long, reject long").groupBy("entry").agg(F.sum("allow").alias("allow"), F.sum("reject").alias("reject")).toArrow()
-    table = np.zeros((2, 2 * size))
-    entry = counted.column("entry").to_numpy()
-    table[0, entry], table[1, entry] = counted.column("reject").to_numpy(), counted.column("allow").to_numpy()
-    models = Models(table[:, :size], table[:, size:])
-    if not models.contexts[0].any() or not models.contexts[1].any():
-        models.threshold = -np.inf
-        return models
-    cells = labelled.select("text", "allow").mapInArrow(_ratios(models), "allow int, ratio double").groupBy("allow", F.floor(F.col("ratio") * 200).alias("cell")).agg(F.count("*").alias("n")).collect()
+def threshold_of(scored: DataFrame) -> float:
+    """Where ``scored(ruled, ratio)`` is told apart best; without rows on one side, below everything."""
+    cells = scored.where("ruled is not null").groupBy((F.col("ruled") == "allow").cast("int").alias("allow"), F.floor(F.col("ratio") * 200).alias("cell")).agg(F.count("*").alias("n")).collect()
     sides = [{r.cell: r.n for r in cells if r.allow == side} for side in (0, 1)]
     total = [sum(s.values()) for s in sides]
+    if not total[0] or not total[1]:
+        return -np.inf
     best = None
     missed = kept = 0
     for cell in sorted(set(sides[0]) | set(sides[1])):
@@ -142,8 +193,7 @@ def fit(labelled: DataFrame) -> Models:
             best = (best[0], best[1], cell)
         missed += sides[1].get(cell, 0)
         kept += sides[0].get(cell, 0)
-    models.threshold = (best[1] + best[2]) / 400
-    return models
+    return (best[1] + best[2]) / 400
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -152,7 +202,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     parsed = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     ruled = parsed.select(F.concat("host", "path").alias("text"), "page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    models = fit(ruled.where("ruled is not null").select("text", (F.col("ruled") == "allow").cast("int").alias("allow")))
-    out = ruled.mapInArrow(_ratios(models), "page_id long, host string, path string, rule string, ruled string, ratio double")
-    other = F.when(F.col("ratio") >= float(models.threshold), "allow").otherwise("block")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", other).alias("verdict"), "ratio")
+    chars = ruled.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).first().n or 0
+    block = F.pmod(F.xxhash64("page_id", "text"), F.lit(1 + chars // BLOCK_CHARS)).alias("block")
+    rows = store(ruled.select(block, "*").repartition("block").sortWithinPartitions("block"))
+    allow = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "allow").cast("int")).alias("allow")
+    grams = store(rows.select("text", "block", allow).mapInArrow(_count, "block long, gram long, allow long, reject long"))
+    values = log_ratios(store(grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("reject").alias("reject"))))
+    needed = grams.select("block", "gram").join(values, "gram").select("block", "gram", "difference")
+    both = needed.unionByName(rows, allowMissingColumns=True).select("block", "gram", "difference", "text", "page_id", "host", "path", "rule", "ruled")
+    dealt = both.repartition("block").sortWithinPartitions("block", F.col("gram").asc_nulls_last())
+    scored = store(dealt.mapInArrow(_score, "page_id long, host string, path string, rule string, ruled string, ratio double"))
+    other = F.when(F.col("ratio") >= float(threshold_of(scored)), "allow").otherwise("block")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", other).alias("verdict"), "ratio")

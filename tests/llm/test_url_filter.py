@@ -66,3 +66,38 @@ def test_tables_without_labels(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     got = uf.judge(spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x")], "page_id long, url string")).collect()
     assert [r.verdict for r in got] == ["allow", "allow"]
+
+
+def test_ratios_match_a_plain_count_with_more_grams_than_any_fixed_table(spark, monkeypatch):
+    monkeypatch.setattr(uf, "BLOCK_CHARS", 50_000)
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(k, f"http://{word(4)}.{('com/fr/', 'com/de/', 'net/xx/')[k % 3]}{word(40)}") for k in range(5000)] + [(7, "http://é.net/é"), (8, None)]
+    counts = [{}, {}]
+    texts = {}
+    for i, u in rows:
+        host, path, _, verdict = brute(u)
+        s = b"\2" * 5 + (host + path).encode() + b"\3"
+        texts.setdefault(i, []).append((host + path, s))
+        if verdict:
+            own = counts[verdict == "allow"]
+            for j in range(5, len(s)):
+                for k in range(6):
+                    for key in ((k, s[j - k : j + 1]), (k, s[j - k : j], "context")):
+                        own[key] = own.get(key, 0) + 1
+    assert sum(len(key) == 2 and key[0] == 5 for key in counts[0]) > 1 << 16
+
+    def log_likelihood(own, s):
+        total = 0.0
+        for j in range(5, len(s)):
+            p = 1 / 256
+            for k in range(6):
+                p = (own.get((k, s[j - k : j + 1]), 0) + uf.WEIGHT * p) / (own.get((k, s[j - k : j], "context"), 0) + uf.WEIGHT)
+            total += np.log(p)
+        return total / (len(s) - 5)
+
+    got = uf.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(rows)
+    for r in got[::7]:
+        s = next(s for text, s in texts[r.page_id] if text == r.host + r.path)
+        assert np.isclose(r.ratio, log_likelihood(counts[1], s) - log_likelihood(counts[0], s), rtol=0, atol=1e-9), r
