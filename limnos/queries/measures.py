@@ -139,6 +139,14 @@ def lookup_first_match(spark, d):
     return R.resolve(pairs, lines, {"p_partkey": "l_partkey", "s_suppkey": "l_suppkey"}, "l_extendedprice", "first_price", "pos")
 
 
+@query("select l_partkey as p_partkey, l_suppkey as s_suppkey, arg_min(l_extendedprice, row(l_orderkey, l_linenumber, l_extendedprice)) as first_price from lineitem group by 1, 2")
+def lookup_first_match_all(spark, d):
+    """Every pair that lineitem holds; lookup_first_match is the id subset that its SQL states."""
+    lines = t(spark, d, "lineitem").withColumn("pos", F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))
+    pairs = lines.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    return R.resolve(pairs, lines, {"p_partkey": "l_partkey", "s_suppkey": "l_suppkey"}, "l_extendedprice", "first_price", "pos")
+
+
 @query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 def anti_new_rows(spark, d):
     c = t(spark, d, "customer").select("c_custkey", "c_name")
