@@ -223,7 +223,12 @@ def source_inventory(stages: dict[str, DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
         out = out.union(f)
-    return out.groupBy("url").agg(F.array_sort(F.collect_set("stage")).alias("stages"))
+    return stages_of(out)
+
+
+def stages_of(rows: DataFrame) -> DataFrame:
+    """(url, stages) of ``rows(url, stage)``, however many stages there are."""
+    return rows.groupBy("url").agg(F.array_sort(F.collect_set("stage")).alias("stages"))
 
 
 def config_identity(*columns: Column) -> Column:

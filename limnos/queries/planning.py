@@ -67,8 +67,19 @@ with h as (select user_id as profile, event_type as family, count(*) as n, count
 select event_id, cast(event_id % 100 - 15 * coalesce(body, 0) - 12 * coalesce(empty, 0) - 5 * coalesce(n, 0) as bigint) as score from events left join b on b.profile = user_id left join h on h.profile = user_id and h.family = event_type where event_id % 3 = 1""")
 def frontier_score(spark, d):
     e = t(spark, d, "events")
-    candidates = e.where("event_id % 3 = 1").select("event_id", F.col("user_id").alias("profile"), F.col("event_type").alias("family"), (F.col("event_id") % 100).alias("priority"))
-    history = e.where("event_id % 3 = 0").select(F.col("user_id").alias("profile"), F.col("event_type").alias("family"), F.when(F.col("value") < 30, 0).otherwise(1).alias("new_count"))
+    return _frontier_score(e.where("event_id % 3 = 1"), e.where("event_id % 3 = 0"))
+
+
+@query(QUERIES["frontier_score"][1].replace("event_id % 3", "event_id % 2"))
+def frontier_score_all(spark, d):
+    """Every event is a candidate or history; frontier_score leaves out the third that its SQL does."""
+    e = t(spark, d, "events")
+    return _frontier_score(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"))
+
+
+def _frontier_score(new, old):
+    candidates = new.select("event_id", F.col("user_id").alias("profile"), F.col("event_type").alias("family"), (F.col("event_id") % 100).alias("priority"))
+    history = old.select(F.col("user_id").alias("profile"), F.col("event_type").alias("family"), F.when(F.col("value") < 30, 0).otherwise(1).alias("new_count"))
     return C.search_scores(candidates, history).select("event_id", F.col("score").cast("long").alias("score"))
 
 
@@ -127,8 +138,7 @@ def set_cover(spark, d):
 select url, string_agg(stage, ',' order by stage) as stages from (select distinct cast(user_id as varchar) as url, event_type as stage from events) group by 1""")
 def source_inventory(spark, d):
     e = t(spark, d, "events").select(F.col("user_id").cast("string").alias("url"), "event_type")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(50).collect()]
-    return C.source_inventory({k: e.where(F.col("event_type") == k) for k in kinds}).withColumn("stages", F.array_join("stages", ","))
+    return C.stages_of(e.withColumnRenamed("event_type", "stage")).withColumn("stages", F.array_join("stages", ","))
 
 
 @query("select time_bucket(interval 1 hour, ts) as start, time_bucket(interval 1 hour, ts) + interval 1 hour as \"end\", event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2, 3")
