@@ -11,7 +11,8 @@ The trees are fitted on pages made here, by layout rules with random words, name
 nesting: a bounded, deterministic sample (``TRAINING_PAGES``), independent of the corpus.
 
 Defined results: null and empty pages give empty text; scripts, styles, templates and
-comments are never text; unclosed or crossed tags are repaired as browsers do for blocks; a
+comments are never text; what SVG, MathML and media elements hold is text of the node around
+them, and `/>` closes within SVG and MathML; unclosed or crossed tags are repaired as browsers do for blocks; a
 tag cut off by the end of the page is dropped; repeated rows are treated alike; pages of
 any length are read whole.
 """
@@ -36,7 +37,11 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'
 
 #: Element names by kind, fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template svg iframe object math canvas audio video textarea".split())
+RAW = frozenset("script style title noscript template iframe textarea".split())
+#: Elements that stand within text and hold it without a node of their own, so that one left open ends with its parent.
+EMBEDDED = frozenset("svg math object canvas audio video".split())
+#: What SVG and MathML hold besides visible text.
+UNSEEN = frozenset("annotation annotation-xml desc metadata".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: What an opening tag closes first, and the elements that stop the search.
@@ -59,6 +64,8 @@ _HINT: dict[str, list[int]] = {}
 for _k, _words in enumerate(HINTS):
     for _w in _words.split():
         _HINT.setdefault(_w, []).append(_k)
+#: Elements that end SVG and MathML left open.
+_HTML = CLOSES_P | VOID | frozenset(_KIND) | frozenset(IMPLIED) | frozenset(("html", "head"))
 _BAD_TAGS = frozenset("nav footer aside form header button select".split())
 N_FEATURES = len(KINDS) + len(HINTS) + 20
 
@@ -89,6 +96,7 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack, pieces, at, link = [0], self.pieces, 0, False
+        foreign = ""
         search, tags = _TOKEN.search, self.tag
         while True:
             m = search(html, at)
@@ -108,7 +116,19 @@ class Page:
                 tag = tag.lower()
                 if m[0][-1] != ">":  # cut off by the end of the page
                     return
-                if tag in RAW:
+                if foreign and tag in _HTML:
+                    foreign = ""
+                closed = (foreign or tag in ("svg", "math")) and m[0].endswith("/>")
+                if foreign and tag in UNSEEN and not closed:
+                    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                    at = close.end() if close else at
+                elif tag in EMBEDDED or (foreign and (closed or tag not in RAW)):
+                    self.tags_inside[stack[-1]] += 1
+                    if tag in ("svg", "math") and not closed and not foreign:
+                        foreign = tag
+                    if tag != "math" and foreign != "math":
+                        pieces.append(None)
+                elif tag in RAW:
                     close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
                     at = close.end() if close else len(html)
                 elif tag in INLINE:
@@ -134,7 +154,12 @@ class Page:
                 end = end.lower()
                 if end == "a":
                     link = False
+                elif end in EMBEDDED or (foreign and end not in _HTML):
+                    if end != "math" and foreign != "math":
+                        pieces.append(None)
+                    foreign = "" if end == foreign else foreign
                 elif end not in INLINE and end not in VOID:
+                    foreign = ""
                     pieces.append(None)
                     link = False
                     for k in range(len(stack) - 1, 0, -1):

@@ -72,3 +72,22 @@ def test_boosted_trees_learn():
     y = ((x[:, 0] * x[:, 1] > 0) ^ (x[:, 2] > 1)).astype(float)
     m = BoostedTrees(trees=80, depth=4).fit(x[:2000], y[:2000])
     assert (((m.decision(x[2000:]) > 0) == y[2000:]).mean()) > 0.9
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('<svg class="i" />', "First part, as it begins. Second part, as it goes on."),
+        ('<math display="block"/>', "First part, as it begins. Second part, as it goes on."),
+        ("<video src=a controls>", "First part, as it begins. Second part, as it goes on."),
+        ("<object data=a><canvas id=c><audio src=b>", "First part, as it begins. Second part, as it goes on."),
+        ("<svg><g><path d='M0 0'><circle r=1>", "First part, as it begins. Second part, as it goes on."),
+        ("<svg><title/><style/><path d=''/></svg>", "First part, as it begins. Second part, as it goes on."),
+        ("Where <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding=tex>x{=}1</annotation></semantics></math> holds.", "First part, as it begins. Where x=1 holds. Second part, as it goes on."),
+        ("<svg><desc>no</desc><text>Deep</text><text>water</text></svg>", "First part, as it begins. Deep water Second part, as it goes on."),
+    ],
+)
+def test_embedded_elements_lose_no_text(model, inner, want):
+    html = article(f"<p>First part, as it begins. {inner}<p>Second part, as it goes on.</p>")
+    html = html.replace("</footer>", "<svg><path/></svg><video></video><object></object><canvas></canvas><audio></audio><math></math></footer>")
+    assert he.main_texts([html], model)[0] == "A title " + want
