@@ -126,6 +126,12 @@ def possible_duplicates(df: DataFrame, keys: list[str], id_column: str) -> DataF
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(id_column)).alias("ids")).where(F.size("ids") > 1)
 
 
+def duplicate_rows(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """(keys, id, n) of every row whose keys repeat, with the number of such rows; no row holds a group."""
+    often = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return df.select(*keys, id_column).join(often, keys)
+
+
 def last_in_order(df: DataFrame, keys: list[str], value: str, order: str, alias: str) -> DataFrame:
     """Running last non-null value in order, per key."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

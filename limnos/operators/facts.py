@@ -41,14 +41,13 @@ def _matching(lines: Column, pattern: str) -> Column:
 def chunks(blocks: DataFrame, max_chars: int = 10_000, context_chars: int = 2500) -> DataFrame:
     """Chunks of ``blocks(doc, pos, block_id, page, text)`` in order, at most max_chars each, with short neighbour blocks as context."""
     sized = greedy_groups(blocks.withColumn("_n", F.length("text")), ["doc"], "pos", "_n", max_chars, "chunk")
-    w = Window.partitionBy("doc").orderBy("pos")
     block = F.struct("pos", "block_id", "page", "text")
     short = lambda b: F.when(F.length(b["text"]) <= context_chars, b)
-    with_context = sized.withColumn("_before", short(F.lag(block).over(w))).withColumn("_after", short(F.lead(block).over(w)))
-    grouped = with_context.groupBy("doc", "chunk").agg(
-        F.array_sort(F.collect_list(block)).alias("blocks"), F.array_sort(F.collect_set("page")).alias("pages"),
-        F.min_by("_before", "pos").alias("before"), F.max_by("_after", "pos").alias("after"),
-    )
+    grouped = sized.groupBy("doc", "chunk").agg(F.array_sort(F.collect_list(block)).alias("blocks"), F.array_sort(F.collect_set("page")).alias("pages"))
+    # the neighbours are the edges of the chunks before and after
+    edge = sized.groupBy("doc", "chunk").agg(F.min_by(short(block), "pos").alias("first"), F.max_by(short(block), "pos").alias("last"))
+    before, after = edge.select("doc", (F.col("chunk") + 1).alias("chunk"), F.col("last").alias("before")), edge.select("doc", (F.col("chunk") - 1).alias("chunk"), F.col("first").alias("after"))
+    grouped = grouped.join(before, ["doc", "chunk"], "left").join(after, ["doc", "chunk"], "left")
     identity = F.sha2(F.array_join(F.transform("blocks", lambda b: b["block_id"]), "|"), 256)
     return grouped.select("doc", "chunk", F.concat(F.format_string("chunk_%04d_", F.col("chunk") + 1), F.substr(identity, F.lit(1), F.lit(8))).alias("chunk_id"), "blocks", F.array_compact(F.array("before", "after")).alias("context_blocks"), "pages")
 

@@ -69,6 +69,13 @@ def possible_duplicates(spark, d):
     return A.possible_duplicates(docs, ["lang", "source", "bucket"], "doc_id").select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query("select * from (select doc_id, lang, source, length(text) // 50 as bucket, count(*) over (partition by lang, source, length(text) // 50) as n from documents) where n > 1")
+def possible_duplicate_rows(spark, d):
+    """As possible_duplicates, whose SQL asks for a list a group, with a row for each document."""
+    docs = t(spark, d, "documents").withColumn("bucket", F.floor(F.length("text") / 50))
+    return A.duplicate_rows(docs, ["lang", "source", "bucket"], "doc_id")
+
+
 @query("""
 with q as (select doc_id as id, doc_id as block, substr(text, 1, 40) as quote from documents union all select doc_id, doc_id + 1, substr(text, 1, 40) from documents),
 n as (select q.id, trim(regexp_replace(q.quote, '\\s+', ' ', 'g')) as quote, d.doc_id as known, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) as text from q left join documents d on d.doc_id = q.block)
