@@ -16,6 +16,9 @@ from limnos.llm.quality import keep_good
 from limnos.llm.suffix_dedup import cut_repeats
 from limnos.session import cut_lineage, read_table
 
+#: Least repeat that the pipeline cuts. A passage of over 50 words holds as much: 51 words of over three letters, with blanks.
+PASSAGE_BYTES = 220
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the text rules and the fertility bands."""
@@ -28,8 +31,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat."""
-    return cut_repeats(docs)
+    """All documents, without the passages of PASSAGE_BYTES or more that repeat."""
+    return cut_repeats(docs, PASSAGE_BYTES)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
