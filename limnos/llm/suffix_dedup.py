@@ -263,40 +263,63 @@ def repeats(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, segment: i
     return plain.union(sorted_).union(counted)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, ranges) to (row, text, n_bytes, n_removed, n_spans, kept)."""
-    for batch in batches:
-        texts, ranges = tc.text_array(batch.column(1)), batch.column(2)
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for k in range(batch.num_rows):
-            raw = texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b""
-            keep, removed, at, merged = [], 0, 0, 0
-            if ranges[k].is_valid:
-                edge = -1
-                for r in sorted((r["start"], r["end"]) for r in ranges[k].as_py()):
-                    if r[0] > edge:
-                        merged += 1
-                    if r[1] > at:
-                        keep.append(raw[at : r[0]] if r[0] > at else b"")
-                        removed += r[1] - max(at, r[0])
-                        at = r[1]
-                    edge = max(edge, r[1])
-            keep.append(raw[at:])
-            out[0].append(len(raw))
-            out[1].append(removed)
-            out[2].append(merged)
-            out[3].append(b"".join(keep))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["row", "text", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, segment: int = tc.CHUNK_BYTES) -> DataFrame:
-    """Columns: row (the document's columns but its text), text, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
+def whole_characters(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges, widened to whole UTF-8 characters, sorted and disjoint."""
+    inner = lambda k: k < len(raw) and raw[k] & 0xC0 == 0x80
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        while lo > 0 and inner(lo):
+            lo -= 1
+        while inner(hi):
+            hi += 1
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _cut(whole: bool):
+    """(row, text, ranges) to (row, text, n_bytes, n_removed, n_spans, kept); ``whole`` removes characters entirely."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ranges = tc.text_array(batch.column(1)), batch.column(2)
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for k in range(batch.num_rows):
+                raw = texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b""
+                own = sorted((r["start"], r["end"]) for r in ranges[k].as_py()) if ranges[k].is_valid else []
+                if whole and own:
+                    own = whole_characters(raw, own)
+                keep, removed, at, merged, edge = [], 0, 0, 0, -1
+                for lo, hi in own:
+                    merged += lo > edge
+                    if hi > at:
+                        keep.append(raw[at:lo] if lo > at else b"")
+                        removed += hi - max(at, lo)
+                        at = hi
+                    edge = max(edge, hi)
+                keep.append(raw[at:])
+                out[0].append(len(raw))
+                out[1].append(removed)
+                out[2].append(merged)
+                out[3].append(b"".join(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["row", "text", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, segment: int = tc.CHUNK_BYTES, whole: bool = False) -> DataFrame:
+    """Columns: row (the document's columns but its text), text, n_bytes, n_removed, n_spans, kept (the bytes that stay).
+
+    With ``whole`` the ranges are widened to whole characters, so that what stays is valid text.
+    """
     ranges = repeats(with_row_key(docs, id_col, text_col), window, gram, segment)
     ranges = store(ranges.groupBy("dk", "rk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges")))
     doc_id, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     keyed = docs.select(tc.row_of(docs, text_col), text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"))
     joined = keyed.join(ranges, ["dk", "rk"], "left").select("row", "text", "ranges")
-    return joined.mapInArrow(_cut, tc.shape_with_row(joined, "text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
+    return joined.mapInArrow(_cut(whole), tc.shape_with_row(joined, "text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -305,24 +328,20 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     return cut.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with their repeats cut out of text; n_chars, where present, follows.
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents with their repeats of ``window`` bytes or more cut out of text; n_chars, where present, follows.
 
-    Characters of which bytes were removed go with them. All documents stay, even if nothing is left of one.
+    Characters of which bytes were removed go with them; all others stay, U+FFFD included. All
+    documents stay, even if nothing is left of one. Columns keep their names, whatever they are.
     """
-    cut = without_repeats(docs)
+    cut = without_repeats(docs, window=window, gram=min(GRAM, window // 3), whole=True)
     whole, text = F.col("n_removed") == 0, F.col("text")
-    text = F.when(whole, text).otherwise(_clean_text("kept"))
+    text = F.when(whole, text).otherwise(F.col("kept").cast("string"))
     changed = {"text": text, "n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     fields = [(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     return cut.select(*fields)
 
 
-def _clean_text(name: str):
-    """Valid UTF-8 from bytes that may lack parts of characters."""
-    return F.translate(F.expr(f"make_valid_utf8(cast({name} as string))"), "�", "")
-
-
 def brute_force(texts: list[bytes], window: int = WINDOW) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, kept_sha256) by definition, for small inputs."""
     seen: dict[bytes, int] = {}

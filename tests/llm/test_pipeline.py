@@ -51,7 +51,7 @@ def test_every_stage_matches_brute_force(spark, tmp_path):
     roots = test_ngram_join.brute([tuple(r) for r in good], roots=True)
     assert len(ones) == len(set(roots)) and set(ones) <= set(good)
     cut = kept["suffix_array_dedup"]
-    want = brute_force([r.text.encode() for r in ones])
+    want = brute_force([r.text.encode() for r in ones], corpus_pipeline.PASSAGE_BYTES)
     assert sorted((r.doc_id, len(r.text.encode())) for r in cut if r.doc_id and r.doc_id >= 500) == sorted((r.doc_id, b[0] - b[1]) for r, b in zip(ones, want) if r.doc_id and r.doc_id >= 500)
     assert any(b[1] for b in want)
     clean = kept["benchmark_decontamination"]

@@ -71,6 +71,17 @@ def test_cut_documents_keep_their_columns(spark):
     assert cut.count() == len(rows)
 
 
+def test_cut_text_is_whole_characters_and_keeps_what_the_input_holds(spark):
+    assert suffix_dedup.whole_characters("aéb€c".encode(), [(2, 3), (5, 6)]) == [(1, 3), (4, 7)]
+    rng = random.Random(4)
+    passage = "é" + "".join(rng.choice("abcdefgh éü") for _ in range(300)) + "ü"
+    texts = ["x\ufffdy è" + passage + "ñ end", "other é" + passage + "ö tail", "no repeat \ufffd here"]
+    rows = [(k, t, "en", "s", len(t), None, None) for k, t in enumerate(texts)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in suffix_dedup.cut_repeats(frame(spark, rows), 220).collect()}
+    # ñ and ö share their first byte, so it repeats and both go
+    assert got == {0: ("x\ufffdy è end", 9), 1: ("other é tail", 12), 2: (texts[2], len(texts[2]))}
+
+
 def test_empty_table(spark):
     assert suffix_dedup.repeat_report(frame(spark, [])).count() == 0
 
