@@ -3,12 +3,23 @@
 Fertility is measured word by word with a byte-fallback vocabulary: code points per token,
 the share of byte-fallback tokens, and the entropy of the document's token distribution
 relative to the most its token count allows. A document is rejected where a figure lies
-outside the band of its dominant script. Bands are parameters; they bound what running
-text of a script shows under a 32k vocabulary, so encoded blobs, symbol soup, shouting and
-stuck loops fall outside while unusual prose stays.
+outside its bands:
+
+* The band of its dominant script bounds what text of the script can show at all under a 32k
+  vocabulary. These are fixed parameters: encoded blobs and stuck loops fall outside.
+* The band of its language (of its script, where no language is given) is fitted to the corpus:
+  the quartiles of code points per token over all documents of the language that pass the base
+  rules. Text that the vocabulary splits far more finely than its language does is rejected:
+  symbols strewn over words, tables of fragments, shouting. A language of fewer than
+  LEAST_GROUP such documents has no fitted band.
+
+The quartiles come from counts by language and hundredths, pre-aggregated before the shuffle,
+so a language of a third of all rows is a few hundred rows a task.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept;
-repeated rows are judged alike; every rule reads the whole text.
+repeated rows are judged alike; every rule reads the whole text; an empty table gives an empty
+one; a null language, or a table without that column, is grouped by script; figures on the edge
+of a band are inside. Columns of documents are carried as one struct, so no name clashes.
 """
 
 from __future__ import annotations
@@ -22,12 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm import textcodec as tc
+from limnos.session import store
 
 #: Characters that count as symbols, a fixed value.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Words whose tokens are kept per worker; beyond it the table starts anew.
 KEPT = 200_000
+#: Fitted bands: least documents of a language, and how many robust standard deviations below the median is too fine.
+LEAST_GROUP = 100
+DEVIATIONS = 3.0
+#: Least standard deviation, as a share of the median, so that a language of copies has a band too.
+LEAST_SPREAD = 0.005
 SCRIPTS = ("other", "latin", "cyrillic", "greek", "arabic", "indic", "kana", "han", "hangul")
 
 
@@ -197,8 +214,8 @@ def within_bands(figures: dict[str, np.ndarray], bands: dict[str, Band]) -> np.n
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, text_col: str = "text", path: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
-    """Columns: row (all of the document's columns), the base counts, the fertility figures, base_failed, kept. One narrow pass."""
+def measure(docs: DataFrame, text_col: str = "text", path: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
+    """Columns: row (all of the document's columns), the base counts, the fertility figures, base_failed, in_script_band. One narrow pass."""
     path, bands = path or default_vocabulary(), bands or BANDS
     rows = docs.select(tc.row_of(docs), docs[text_col].cast("string").alias("text"))
 
@@ -211,16 +228,41 @@ def judge(docs: DataFrame, text_col: str = "text", path: str | None = None, band
                 failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
                 columns = [part.column(0), *(pa.array(base[k].astype(np.int64)) for k in LONGS)]
                 columns += [pa.array(figures[k].astype(float)) for k in ("chars_per_token", "byte_share", "entropy")]
-                columns += [pa.array([SCRIPTS[k] for k in figures["script"]], pa.string()), pa.array(failed), pa.array(~failed & within_bands(figures, bands))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", *LONGS, "chars_per_token", "byte_share", "entropy", "script", "base_failed", "kept"])
+                columns += [pa.array([SCRIPTS[k] for k in figures["script"]], pa.string()), pa.array(failed), pa.array(within_bands(figures, bands))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", *LONGS, "chars_per_token", "byte_share", "entropy", "script", "base_failed", "in_script_band"])
 
-    shape = tc.shape_with_row(rows, ", ".join(f"{k} bigint" for k in LONGS) + ", chars_per_token double, byte_share double, entropy double, script string, base_failed boolean, kept boolean")
+    shape = tc.shape_with_row(rows, ", ".join(f"{k} bigint" for k in LONGS) + ", chars_per_token double, byte_share double, entropy double, script string, base_failed boolean, in_script_band boolean")
     return rows.mapInArrow(run, shape)
 
 
+def fitted_bands(measured: DataFrame, least_group: int = LEAST_GROUP, deviations: float = DEVIATIONS) -> DataFrame:
+    """(band, least): the least code points per token of each language, from ``measured(band, chars_per_token, base_failed)``."""
+    counts = measured.where("not base_failed").groupBy("band", F.round("chars_per_token", 2).alias("v")).agg(F.count("*").alias("n"))
+    quartiles = counts.groupBy("band").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"), F.sum("n").alias("n")).where(F.col("n") >= least_group)
+    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, LEAST_SPREAD * F.col("q")[1])
+    return quartiles.select("band", (F.col("q")[1] - deviations * spread).alias("least"))
+
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None, bands: dict[str, Band] | None = None, least_group: int = LEAST_GROUP, carry: bool = True) -> DataFrame:
+    """The figures of ``measure``, and least (of the fitted band, or null) and kept. The texts are read once: the figures are stored, then judged.
+
+    Without ``carry`` the struct row holds all columns but the text.
+    """
+    language = F.col(f"row.`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None)
+    measured = measure(docs, text_col, path, bands).withColumn("band", F.coalesce(F.concat(F.lit("lang "), language), F.concat(F.lit("script "), "script")))
+    if not carry:
+        measured = measured.withColumn("row", F.col("row").dropFields(f"`{text_col}`"))
+    measured = store(measured)
+    judged = measured.join(fitted_bands(measured, least_group), "band", "left")
+    fine = F.col("least").isNull() | (F.col("chars_per_token") >= F.col("least"))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("in_script_band") & fine)
+
+
 def quality_report(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, the base counts, base_failed, kept, and the fertility figures."""
-    return judge(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), *LONGS, "base_failed", "kept", "script", *(F.round(c, 6).alias(c) for c in ("chars_per_token", "byte_share", "entropy")))
+    """Per document row: doc_id, the base counts, base_failed, kept, the fertility figures and the fitted bound."""
+    judged = judge(docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")), carry=False)
+    figures = (F.round(c, 6).alias(c) for c in ("chars_per_token", "byte_share", "entropy", "least"))
+    return judged.select(F.col("row.doc_id").cast("long").alias("doc_id"), *LONGS, "base_failed", "kept", "script", *figures)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -59,3 +59,27 @@ def test_figures_of_one_document():
 def test_keep_good_keeps_columns(spark):
     assert quality.keep_good(frame(spark)).columns == frame(spark).columns
     assert quality.keep_good(frame(spark, [])).count() == 0
+
+
+def test_bands_fitted_to_each_language(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    common = "the water level was read each morning and written down with care before people went home over old bridges near this river".split()
+    prose = lambda: " ".join(rng.choice(common) for _ in range(90))
+    strewn = lambda: " ".join(rng.choice(common) + rng.choice(["***", "$$$", "&&&", ""]) for _ in range(90))
+    rows = [(k, prose(), "xx", *[None] * 4) for k in range(140)] + [(k, strewn(), "xx", *[None] * 4) for k in range(140, 150)]
+    rows += [(k, strewn(), "yy", *[None] * 4) for k in range(150, 160)] + [(k, prose(), None, *[None] * 4) for k in range(160, 290)]
+    got = {r.doc_id: r for r in quality.quality_report(frame(spark, rows)).collect()}
+    for group, members in (("xx", range(150)), (None, range(160, 290))):
+        passing = [got[k] for k in members if not got[k].base_failed]
+        low, mid, high = np.percentile(np.round([r.chars_per_token for r in passing], 2), [25, 50, 75])
+        least = mid - quality.DEVIATIONS * max((high - low) / 1.349, quality.LEAST_SPREAD * mid)
+        assert all(abs(got[k].least - least) < 1e-5 for k in members), group
+        assert all(r.kept == (r.chars_per_token >= least) for r in passing)
+    assert not any(got[k].kept for k in range(140, 150)) and sum(got[k].kept for k in range(140)) > 130
+    assert all(got[k].least is None and got[k].kept for k in range(150, 160))  # too few for a band of their own
+    assert quality.quality_report(frame(spark, [])).count() == 0
+    assert quality.quality_report(frame(spark, rows).drop("lang")).count() == len(rows)
