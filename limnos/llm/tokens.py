@@ -2,18 +2,23 @@
 
 Two levels of the same recurrence give the exact count of every prefix of a text:
 
-* Between chunks. A boundary in front of a single space or at a single line feed, with
-  visible characters on both sides, is a pre-token boundary whatever follows, so
-  ``count(prefix) = count(prefix up to the boundary) + count(rest)``. The running sum over
-  chunks is the table; a chunk's own total comes from the tokenizer library and is kept
-  per worker, because words repeat.
-* Within a pre-token. ``last[i]`` is the last token of the encoding of the first i bytes;
-  it is the one vocabulary entry t that may follow ``last[i - |t|]``, and
+* Between chunks. Where a pre-token ends with a visible character, a prefix is encoded as the
+  text is, so ``count(prefix) = count(prefix up to the boundary) + count(rest)``. The running
+  sum over chunks is the table. ``prefix_tables`` gives it for every text: ends of chunks in
+  code points and token counts up to there. A chunk's own total comes from the tokenizer
+  library and is kept per worker, because words repeat; texts with runs of white space or
+  special strings get theirs from the library's own token offsets.
+* Within a chunk. ``last[i]`` is the last token of the encoding of the first i bytes of a
+  pre-token; it is the one vocabulary entry t that may follow ``last[i - |t|]``, and
   ``count[i] = count[i - |t|] + 1``.
 
-Truncation and budget questions are then look-ups; no prefix is encoded again.
+Totals, truncation and budget questions are look-ups in the table (``token_counts``,
+``truncated``): the total is its last entry, a budget is found by search, and the recurrence
+settles the one chunk it falls into. No prefix is encoded again.
 
-Null texts count as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows.
+Defined results: null texts count as empty: 0 bytes, 0 tokens, an empty table. Repeated rows
+give repeated rows; an empty table of documents gives an empty one; only the id and the text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,18 +28,20 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from limnos.llm import textcodec as tc
 
 #: The pre-token pattern of the vocabulary files, a fixed value.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts with other white space, runs of it, or possibly special strings have no chunk boundaries.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+_CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+_BLANKS = regex.compile(r"\p{White_Space}+")
+#: Texts with other white space, runs of it, or possibly special strings get their boundaries from the library's offsets.
 _UNEVEN = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]|<\|")
 #: Chunk totals kept per worker; beyond it the table starts anew, so memory stays bounded.
 KEPT = 400_000
@@ -110,6 +117,7 @@ class PrefixCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.first: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
+        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self._pieces: PieceTable | None = None
 
     def _encode(self, texts: list[str]) -> list[int]:
@@ -119,15 +127,14 @@ class PrefixCounter:
         if len(table) + len(missing) > KEPT:
             table.clear()
         ordered = list(missing)
-        table.update(zip(ordered, self._encode([lead + w for w in ordered])))
+        table.update((w, ((len(lead) + len(w)) << 32) + n) for w, n in zip(ordered, self._encode([lead + w for w in ordered])))
 
-    def totals(self, texts: list[str]) -> list[int]:
-        """Token count of each whole text."""
-        out: list[int | None] = [None] * len(texts)
+    def deltas(self, texts: list[str]) -> list[list[int]]:
+        """Per text, for each chunk its code points (times 2**32) and tokens, in one number."""
         uneven = [i for i, t in enumerate(texts) if _UNEVEN.search(t)]
-        for i, n in zip(uneven, self._encode([texts[i] for i in uneven])):
-            out[i] = n
-        parted = {i: [line.split(" ") for line in t.split("\n")] if t else [] for i, t in enumerate(texts) if out[i] is None}
+        parted = {i: [line.split(" ") for line in t.split("\n")] if t else [] for i, t in enumerate(texts)}
+        for i in uneven:
+            del parted[i]
         first, spaced = {line[0] for p in parted.values() for line in p}, set()
         for p in parted.values():
             for line in p:
@@ -136,34 +143,68 @@ class PrefixCounter:
             if len(table) + len(found) > KEPT:
                 table.clear()
             self._learn(table, found.difference(table), lead)
-        one, more = self.first.__getitem__, self.spaced.__getitem__
+        one, more, feed = self.first.__getitem__, self.spaced.__getitem__, (1 << 32) + 1
+        out: list[list[int]] = [[] for _ in texts]
         for i, p in parted.items():
-            out[i] = sum(one(line[0]) + sum(map(more, line[1:])) for line in p) + max(0, len(p) - 1)
-        return out  # type: ignore[return-value]
+            own = out[i]
+            for k, line in enumerate(p):
+                if k:
+                    own.append(feed)
+                own.append(one(line[0]))
+                own.extend(map(more, line[1:]))
+        for i in uneven:
+            out[i] = self._by_offsets(texts[i])
+        return out
+
+    def _by_offsets(self, text: str) -> list[int]:
+        """Chunks of any text: they end with pre-tokens whose last character is visible."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        offsets, words = found.offsets, found.word_ids
+        out, at, before = [], 0, 0
+        for k, (_, end) in enumerate(offsets):
+            last = k + 1 == len(offsets)
+            if last or (words[k] != words[k + 1] or words[k] is None) and end > at and not _BLANKS.match(text[end - 1]) and offsets[k + 1][0] >= end:
+                end = len(text) if last else end
+                out.append(((end - at) << 32) + k + 1 - before)
+                at, before = end, k + 1
+        return out
 
     def table(self, text: str) -> tuple[list[int], list[int], list[str]]:
         """(code points before each chunk, tokens before each chunk, chunks), with the totals last."""
-        if not text:
-            return [0], [0], []
-        parts = [text] if _UNEVEN.search(text) else re.findall(r"\n| ?[^ \n]+", text)
-        return [0, *accumulate(map(len, parts))], [0, *accumulate(self._encode(parts))], parts
+        sums = np.cumsum([0, *self.deltas([text])[0]])
+        at, tokens = (sums >> 32).tolist(), (sums & 0xFFFFFFFF).tolist()
+        return at, tokens, [text[lo:hi] for lo, hi in zip(at, at[1:])]
 
     def chunk_counts(self, chunk: str) -> list[int]:
         """Exact counts of the prefixes of one chunk, by code points, the empty one first.
 
-        A prefix that ends inside a pre-token adds that pre-token's own prefix count. The
-        patterns look ahead at white space only, so a run of it is settled by what follows.
+        A prefix that ends inside a pre-token adds that pre-token's own prefix count, by the
+        recurrence. Two kinds of pre-token depend on what follows: a run of white space, which
+        is one while it ends the prefix, and a contraction, which has three characters at most.
         """
-        if "<|" in chunk or re.search(r"\s\s|\s\Z", chunk) or "'" in chunk:
-            return [0, *self._encode([chunk[:i] for i in range(1, len(chunk) + 1)])]
         if self._pieces is None:
             self._pieces = PieceTable(self.path)
+        special = chunk in self.special
+        lead = _BLANKS.match(chunk)
+        run = lead.group() if lead else ""
         out, before = [0], 0
         for piece in PRE_TOKEN.findall(chunk):
-            counts = self._pieces.counts(piece.encode())
-            for i in range(1, len(piece) + 1):
-                out.append(before + counts[len(piece[:i].encode())])
+            if piece in _CONTRACTIONS:
+                shorter = [sum(self._pieces.counts(q.encode())[-1] for q in PRE_TOKEN.findall(piece[:i])) for i in range(1, len(piece))]
+                out += [before + n for n in (*shorter, self._pieces.counts(piece.encode())[-1])]
+            else:
+                counts, at = self._pieces.counts(piece.encode()), 0
+                for c in piece:
+                    at += len(c.encode())
+                    out.append(before + counts[at])
             before = out[-1]
+        if len(run) > 1 or run == chunk:
+            counts, at = self._pieces.counts(run.encode()), 0
+            for i, c in enumerate(run, 1):
+                at += len(c.encode())
+                out[i] = counts[at]
+        if special:
+            out[-1] = 1
         return out
 
     def count(self, text: str, prefix: int) -> int:
@@ -187,20 +228,55 @@ def counter(path: str) -> PrefixCounter:
     return tc.held(f"tokens {path}", lambda: PrefixCounter(path))
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 512) -> DataFrame:
-    """Per row: the id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens). One narrow pass, no shuffle."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+
+
+def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_bytes, ends (code points up to the end of each chunk), tokens (exact token count up to there).
+
+    One narrow pass, no shuffle. Any prefix that ends at one of ``ends`` has the count beside it.
+    """
     path = path or default_vocabulary()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for batch in batches:
             for part, column in tc.chunks(batch, "text"):
                 _, at = tc.buffer_of(column)
-                n = counts.totals([t or "" for t in column.to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(at)), pa.array(n, pa.int64()), pa.array(np.array(n, np.int64) > limit, pa.bool_())],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
-
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+                rows = counts.deltas([t or "" for t in column.to_pylist()])
+                pointer = np.zeros(len(rows) + 1, np.int32)
+                np.cumsum([len(r) for r in rows], out=pointer[1:])
+                sums = np.concatenate([[0], np.cumsum(np.fromiter((x for r in rows for x in r), np.int64, int(pointer[-1])))])
+                sums = sums[1:] - np.repeat(sums[pointer[:-1]], np.diff(pointer))
+                lists = [pa.ListArray.from_arrays(pa.array(pointer), pa.array(x.astype(np.int32))) for x in (sums >> 32, sums & 0xFFFFFFFF)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), *lists], ["doc_id", "n_bytes", "ends", "tokens"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, ends array<int>, tokens array<int>")
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 512) -> DataFrame:
+    """Per row: the id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens), all from the prefix table."""
+    n_tokens = F.coalesce(F.try_element_at("tokens", F.lit(-1)), F.lit(0)).cast("long")
+    return prefix_tables(docs, id_col, text_col, path).select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
+
+
+def tokens_up_to(tables: DataFrame, position: int) -> DataFrame:
+    """(doc_id, tokens, exact_at) from stored tables: the count of the longest tabulated prefix of at most ``position`` code points."""
+    inside = F.size(F.filter("ends", lambda e: e <= position))
+    at = lambda c: F.when(inside > 0, F.get(F.col(c), inside - 1)).otherwise(0)
+    return tables.select("doc_id", at("tokens").alias("tokens"), at("ends").alias("exact_at"))
+
+
+def truncated(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(doc_id, text): the longest prefix of each text with at most ``limit`` tokens."""
+    path = path or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counter(path)
+        for batch in batches:
+            for part, column in tc.chunks(batch, "text"):
+                texts = [None if t is None else t[: counts.longest_within(t, limit)] for t in column.to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string")
