@@ -1,14 +1,16 @@
 """Jaccard self-join of documents on five-word shingles, by a MinHash LSH forest and exact verification.
 
 1. One pass makes the signature of each document: one-permutation MinHash over 128 bins with
-   optimal densification. A tree of the forest is a run of bins; its trie key is the hash of
-   a prefix of that run. Tries are nested: whatever meets at a deeper prefix meets at every
-   shorter one. The matched prefix is therefore shortened, from the full run, until the
-   probability that two documents at the threshold meet in some tree reaches the target
-   recall, and no further (``prefix_length``).
+   optimal densification. A tree of the forest is a run of six bins; the document's label in
+   it is that run, as sorted bytes, so a prefix of the label is a node of the tree's trie.
 2. Documents with the same shingle set are one class; only classes go on.
-3. Every trie node links its classes to its least one, as a star, never as all pairs. The
-   components of these links hold all candidate pairs.
+3. The forest is descended from its leaves. At a depth, every node links its classes to its
+   least one, as a star, never as all pairs; the components of these links hold all candidate
+   pairs, which step 4 verifies. Each verified pair has a known similarity s, and pairs of that
+   similarity meet at depth k in some of the L trees with probability p = 1 - (1 - s^k)^L. So
+   pairs found / sum of 1/p estimates the share of pairs found so far. While that is under the
+   target recall, the matched prefixes are shortened by one bin and the forest is read again:
+   the prefix length follows the data. Tries are nested, so nothing found is lost.
 4. Components are verified exactly: small ones together, up to a few hundred classes a
    task; a larger one is split into blocks, and each pair of blocks is one task, so no task
    ever holds more than two blocks. A task counts links with products of the 0/1 membership
@@ -21,7 +23,8 @@ document of 1 to 4 words has one shingle, all of its words; one without words (n
 blank) is in no group but its own and has no links. Rows with equal texts, repeated rows
 included, are copies: linked, and counted once each. Class ids are the least doc_id of a
 group (null only if all of its ids are null), so groups whose least rows share an id share the
-class id. Set identity rests on 64-bit digests.
+class id. An empty table gives an empty one; other columns may have any name. Set identity
+rests on 64-bit digests.
 """
 
 from __future__ import annotations
@@ -47,12 +50,9 @@ BLOCK, TOGETHER = 256, 96
 _U = np.uint64
 
 
-def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which two documents of just that similarity meet often enough."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
+def meeting(similarity, depth: int, trees: int = TREES):
+    """Probability that two documents of that similarity share a prefix of ``depth`` bins in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def _probes() -> np.ndarray:
@@ -93,38 +93,32 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def trie_keys(signatures: np.ndarray, prefix: int) -> np.ndarray:
-    """One key per document and tree."""
-    runs = signatures[:, : TREES * DEPTH].reshape(-1, TREES, DEPTH)
-    key = np.broadcast_to(np.arange(1, TREES + 1, dtype=_U), runs.shape[:2]).copy()
-    with np.errstate(over="ignore"):
-        for k in range(prefix):
-            key = tc.mix(key * _U(0x9E3779B97F4A7C15) + runs[:, :, k])
-    return key
-
-
-def _sign(prefix: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, column in tc.chunks(batch, "text"):
-                sets = shingle_sets(*tc.buffer_of(column))
-                full = [k for k, s in enumerate(sets) if len(s)]
-                fid = np.zeros(len(sets), np.int64)
-                keys: list = [None] * len(sets)
-                if full:
-                    with np.errstate(over="ignore"):
-                        digest = np.array([np.add.reduce(tc.mix(sets[k] ^ _U(0xA5A5A5A5A5A5A5A5))) + _U(len(sets[k])) for k in full], _U)
-                    fid[full] = tc.mix(digest).view(np.int64)
-                    for k, row in zip(full, trie_keys(np.stack([signature(sets[k]) for k in full]), prefix).view(np.int64)):
-                        keys[k] = row
-                blank = np.ones(len(sets), bool)
-                blank[full] = False
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(fid, mask=blank), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "dk", "rk", "fid", "keys"],
-                )
+def trie_labels(signatures: np.ndarray) -> np.ndarray:
+    """(documents, trees, 2 * DEPTH) bytes: the label of a document in each tree, two bytes a bin."""
+    bins = tc.mix(signatures[:, : TREES * DEPTH]) >> _U(48)
+    return bins.astype(">u2").view(np.uint8).reshape(-1, TREES, 2 * DEPTH)
 
-    return run
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, column in tc.chunks(batch, "text"):
+            sets = shingle_sets(*tc.buffer_of(column))
+            full = [k for k, s in enumerate(sets) if len(s)]
+            fid, blank = np.zeros(len(sets), np.int64), np.ones(len(sets), bool)
+            labels = np.zeros((0, TREES, 2 * DEPTH), np.uint8)
+            if full:
+                with np.errstate(over="ignore"):
+                    digest = np.array([np.add.reduce(tc.mix(sets[k] ^ _U(0xA5A5A5A5A5A5A5A5))) + _U(len(sets[k])) for k in full], _U)
+                fid[full] = tc.mix(digest).view(np.int64)
+                labels = trie_labels(np.stack([signature(sets[k]) for k in full]))
+            blank[full] = False
+            n = len(full) * TREES
+            flat = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * DEPTH).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(labels))])
+            pointer = np.concatenate([[0], np.cumsum(np.where(blank, 0, TREES))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), part.column(2), pa.array(fid, mask=blank), pa.ListArray.from_arrays(pa.array(pointer), flat)],
+                ["doc_id", "dk", "rk", "fid", "labels"],
+            )
 
 
 def _resolve_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +150,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(shared).astype(np.int64)
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, depth: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         fid = table.column("fid").to_numpy()
@@ -174,7 +168,10 @@ def _verify(threshold: float):
         if i != j:
             linked &= block[:, None] != block[None, :]
         np.fill_diagonal(linked, False)
-        links = linked @ copies
+        links, pairs = linked @ copies, linked.sum(1)
+        # every pair stands for itself and for those of its similarity that this depth misses
+        alike = shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1)
+        weight = np.where(linked, 1 / meeting(np.where(linked, alike, 1.0), depth), 0).sum(1)
         label, near = np.arange(len(fid)), linked | np.eye(len(fid), dtype=bool)
         while True:
             lower = np.where(near, label[None, :], len(fid)).min(1)
@@ -182,7 +179,7 @@ def _verify(threshold: float):
             if (lower == label).all():
                 break
             label = lower
-        return pa.table({"fid": fid, "links": links.astype(np.int64), "root": fid[label]})
+        return pa.table({"fid": fid, "links": links.astype(np.int64), "root": fid[label], "pairs": pairs.astype(np.int64), "weight": weight})
 
     return run
 
@@ -198,17 +195,20 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> None:
         keyed = with_row_key(docs, id_col, text_col)
-        shape = "doc_id long, dk long, rk long, fid long, keys array<long>"
-        signed = cut_lineage(keyed.mapInArrow(_sign(prefix_length(threshold, recall)), shape))
-        self.rows = signed.drop("keys")
+        signed = cut_lineage(keyed.mapInArrow(_sign, "doc_id long, dk long, rk long, fid long, labels array<binary>"))
+        self.rows = signed.drop("labels")
         classes = self.rows.where("fid is not null").groupBy("fid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "dk", "rk")).alias("first"), F.min("doc_id").alias("least_id"))
         classes = cut_lineage(classes)
 
-        leaves = signed.select("fid", F.explode("keys").alias("key"))
-        nodes = leaves.groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("z")).where("a <> z").select("key", "a")
-        candidates = components(leaves.join(nodes, "key").select("a", F.col("fid").alias("b")))
-
-        self.links, verified = self._verified(candidates, classes, keyed, threshold)
+        #: By depth, the estimated share of pairs found.
+        self.recalls: dict[int, float] = {}
+        for depth in range(DEPTH, 0, -1):
+            found = self._verified(components(self._stars(signed, depth)), classes, keyed, threshold, depth)
+            pairs, weight = found.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+            self.recalls[depth] = pairs / weight if pairs else 1.0
+            if self.recalls[depth] >= recall:
+                break
+        self.links, verified = found.groupBy("fid").agg(F.sum("links").alias("links")), found.select(F.col("fid").alias("a"), F.col("root").alias("b"))
         groups = components(verified).select(F.col("node").alias("fid"), "root")
         self.classes = (
             classes.join(self.links, "fid", "left")
@@ -216,8 +216,16 @@ class NearDuplicates:
             .select("fid", "copies", "first", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "fid").alias("root"))
         )
 
-    def _verified(self, candidates: DataFrame, classes: DataFrame, keyed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-        """(fid, links to other classes' documents) and the verified links (a, b)."""
+    @staticmethod
+    def _stars(signed: DataFrame, depth: int) -> DataFrame:
+        """Links (a, b) of every class to the least one of each of its nodes at that depth."""
+        leaves = signed.select("fid", F.posexplode("labels").alias("tree", "label"))
+        leaves = leaves.select("fid", F.xxhash64("tree", F.substring("label", 1, 2 * depth)).alias("key"))
+        nodes = leaves.groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("z")).where("a <> z").select("key", "a")
+        return leaves.join(nodes, "key").select("a", F.col("fid").alias("b"))
+
+    def _verified(self, candidates: DataFrame, classes: DataFrame, keyed: DataFrame, threshold: float, depth: int) -> DataFrame:
+        """(fid, links, root, pairs, weight), perhaps several rows a class: documents of other classes it is linked to, and the figures of the estimate."""
         nodes = cut_lineage(candidates.select(F.col("node").alias("fid"), F.col("root").alias("comp")))
         tasks = max(1, nodes.count() // TOGETHER)
         sizes = nodes.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -234,8 +242,7 @@ class NearDuplicates:
                 )
             ),
         ).select("fid", "comp", "copies", "block", "shingles", "task.t", "task.i", "task.j")
-        found = cut_lineage(spread.groupBy("t", "i", "j").applyInArrow(_verify(threshold), "fid long, links long, root long"))
-        return found.groupBy("fid").agg(F.sum("links").alias("links")), found.select(F.col("fid").alias("a"), F.col("root").alias("b"))
+        return cut_lineage(spread.groupBy("t", "i", "j").applyInArrow(_verify(threshold, depth), "fid long, links long, root long, pairs long, weight double"))
 
     def by_document(self) -> DataFrame:
         """One row per input row: doc_id, class_id (least doc_id of its group), n_links (documents of similarity at or over the threshold)."""

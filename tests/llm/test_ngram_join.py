@@ -78,17 +78,32 @@ def test_empty_table(spark):
     assert ngram_join.keep_one_of_each(frame(spark, [])).count() == 0
 
 
-def test_prefix_meets_the_recall():
-    k = ngram_join.prefix_length(0.8, 0.9999)
-    assert 1 - (1 - 0.8**k) ** ngram_join.TREES >= 0.9999 > 1 - (1 - 0.8 ** (k + 1)) ** ngram_join.TREES
+def test_labels_meet_as_often_as_estimated():
     rng = np.random.default_rng(1)
-    missed = 0
+    met = np.zeros(7)
     for _ in range(400):
         common = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 10, dtype=np.uint64)])) * np.uint64(2) for _ in range(2))
-        keys = ngram_join.trie_keys(np.stack([ngram_join.signature(a), ngram_join.signature(b)]), k)
-        missed += not (keys[0] == keys[1]).any()
-    assert missed <= 2
+        x, y = ngram_join.trie_labels(np.stack([ngram_join.signature(a), ngram_join.signature(b)]))
+        for depth in range(1, 7):
+            met[depth] += (x[:, : 2 * depth] == y[:, : 2 * depth]).all(1).any()
+    for depth in range(1, 7):
+        assert abs(met[depth] / 400 - ngram_join.meeting(0.8, depth)) < 0.02
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met(spark):
+    rng = random.Random(7)
+    rows = []
+    for group in range(60):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+        other = list(words)
+        for at in (20, 70):
+            other[at] = f"e{rng.random()}"
+        rows += [(2 * group, " ".join(words), None, None, None, None, None), (2 * group + 1, " ".join(other), None, None, None, None, None)]
+    join = ngram_join.NearDuplicates(frame(spark, rows))
+    depths = list(join.recalls)
+    assert depths[0] == ngram_join.DEPTH and len(depths) > 1 and join.recalls[depths[-1]] >= ngram_join.RECALL > join.recalls[depths[0]]
+    assert sorted(map(tuple, join.by_document().collect())) == sorted(brute(rows))
 
 
 def test_components(spark):
