@@ -1,11 +1,14 @@
 """License scan: phrases by place, and an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. A block is a line of a text, as a set of words. A template is
-contained in a block when at least THRESHOLD of the template's distinct words are in the
-block; the score is that share. The join finds every such pair:
-
-* Words are ordered by how many blocks of the corpus hold them, rarest first (counted over
-  all blocks, words of templates only).
+DataFrame functions only. A block is BLOCK_LINES consecutive lines of a text (fewer at its
+end), starting at any line, as a set of words; so notices wrapped at the usual width are whole
+in some block. A template is contained in a block when at least THRESHOLD of its distinct words
+are in the block; the score is that share. Templates that share most of their words are told
+apart by MARKS: words that the block must hold, and words of a rival that it must not. The join
+finds every such pair:
+
+* Words are ordered by how many lines of the corpus hold them, rarest first (counted over
+  all lines, words of templates only).
 * Prefix filter. A block that contains n - k words of a template holds one of its k + 1
   rarest; only those words are joined on.
 * Length filter. A block with fewer distinct words than the template needs is dropped.
@@ -18,7 +21,8 @@ candidate pairs are grouped, by row.
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after folding A-Z. Defined results: null
 and empty texts have no words, no labels and score 0; repeated rows are judged alike;
-a phrase is counted at every place, also where places overlap.
+a phrase is counted at every place, also where places overlap; equal shares give all their
+labels; an empty table gives an empty one; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -44,12 +48,27 @@ TEMPLATES = {
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
     "lgpl": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License",
+    "agpl": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "cc-by-sa": "licensed under a Creative Commons Attribution ShareAlike License",
+    "cc-by-nc-sa": "licensed under a Creative Commons Attribution NonCommercial ShareAlike License",
     "cc-by": "This work is licensed under a Creative Commons Attribution International License",
     "cc-by-nc": "licensed under a Creative Commons Attribution NonCommercial License",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+#: Of templates that resemble others: words a block must hold, and words it must not.
+MARKS = {
+    "gpl": (["general"], ["lesser", "library", "affero"]),
+    "lgpl": (["lesser"], []),
+    "agpl": (["affero"], []),
+    "cc-by": (["attribution"], ["noncommercial", "sharealike", "noderivatives"]),
+    "cc-by-sa": (["sharealike"], ["noncommercial"]),
+    "cc-by-nc": (["noncommercial"], ["sharealike", "noderivatives"]),
+    "cc-by-nc-sa": (["noncommercial", "sharealike"], []),
+}
 THRESHOLD = 0.8
+#: Lines in a block.
+BLOCK_LINES = 4
 #: Between words, before folding: line feeds apart.
 _GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,7 +124,7 @@ def _template_words(templates: dict[str, str]) -> dict[str, list[str]]:
 
 
 def block_frequencies(texts: DataFrame, templates: dict[str, str]) -> dict[str, int]:
-    """For each word of the templates, how many blocks of ``texts(framed)`` hold it, counted over all of them.
+    """For each word of the templates, how many lines of ``texts(framed)`` hold it, counted over all of them.
 
     ``framed`` keeps line feeds as `\\n`. As many rows as the templates have words come back.
     """
@@ -123,19 +142,22 @@ def template_matches(rows: DataFrame, frequencies: dict[str, int], templates: di
     for name, words in sorted(_template_words(templates).items()):
         words = sorted(words, key=order.__getitem__)
         need = -(-int(round(threshold * len(words) * 1e6)) // 10**6)
-        facts.append((name, words, need))
+        facts.append((name, words, need, *MARKS.get(name, ([], []))))
         prefixes += [(name, w, p) for p, w in enumerate(words[: len(words) - need + 1])]
     spark = rows.sparkSession
     prefix = F.broadcast(spark.createDataFrame(prefixes, "label string, word string, place int"))
-    template = F.broadcast(spark.createDataFrame(facts, "label string, words array<string>, need int"))
+    template = F.broadcast(spark.createDataFrame(facts, "label string, words array<string>, need int, must array<string>, never array<string>"))
     rare = sorted({w for _, w, _ in prefixes})
     some = "(?i)<(" + "|".join(rare) + ")>"
-    blocks = rows.where(F.col("framed").rlike(some)).select("id", F.posexplode(F.split("framed", "\n")).alias("line", "block")).where(F.col("block").rlike(some))
+    lines = rows.where(F.col("framed").rlike(some)).select("id", F.split("framed", "\n").alias("lines"))
+    starts = F.transform("lines", lambda first, k: F.struct(k.alias("line"), F.array_join(F.slice("lines", k + 1, F.lit(BLOCK_LINES)), "").alias("block")))
+    blocks = lines.select("id", F.inline(starts)).where(F.col("block").rlike(some))
     blocks = blocks.select("id", "line", F.array_distinct(F.array_remove(F.split(F.regexp_replace(_fold(F.col("block")), "[<>]+", " "), " "), "")).alias("held"))
     pairs = blocks.select("*", F.explode("held").alias("word")).join(prefix, "word").groupBy("id", "line", "label").agg(F.min("place").alias("place"), F.first("held").alias("held"))
     pairs = pairs.join(template, "label").where("size(held) >= need and size(words) - place >= need")
     shared = F.size(F.array_intersect("words", "held"))
-    return pairs.where(shared >= F.col("need")).select("id", "label", (shared / F.size("words")).alias("share"))
+    marked = (F.size(F.array_intersect("must", "held")) == F.size("must")) & ~F.arrays_overlap("never", "held")
+    return pairs.where((shared >= F.col("need")) & marked).select("id", "label", (shared / F.size("words")).alias("share"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

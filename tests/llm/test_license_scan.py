@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from docs import frame, odd_documents, shaped
 
@@ -21,9 +22,12 @@ def brute(text):
     added, share = set(), 0.0
     for name, template in ls.TEMPLATES.items():
         v = set(words(template))
-        for line in (text or "").split("\n"):
-            got = len(v & set(words(line))) / len(v)
-            if got >= ls.THRESHOLD - 1e-9:
+        must, never = map(set, ls.MARKS.get(name, ([], [])))
+        lines = (text or "").split("\n")
+        for i in range(len(lines)):
+            held = set(words("\n".join(lines[i : i + ls.BLOCK_LINES])))
+            got = len(v & held) / len(v)
+            if got >= ls.THRESHOLD - 1e-9 and must <= held and not never & held:
                 added.add(name)
                 share = max(share, got)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | added)), 1.0 if places else share)
@@ -51,6 +55,26 @@ def test_matches_brute_force(spark):
     assert sum(bool(r.labels) for r in got) >= 6
 
 
+def test_wrapped_notices_and_rivals(spark):
+    wrap = lambda text, mark="": "\n".join(mark + line for line in textwrap.wrap(text, 62))
+    t = ls.TEMPLATES
+    texts = {
+        "mit": "some code\n" + wrap(t["mit"], " * ") + "\nmore",
+        "isc": wrap(t["isc"], "# "),
+        "gpl": wrap(t["gpl"]),
+        "lgpl": "This program is free software: you can redistribute it and/or modify it\n" + wrap(t["lgpl"]),
+        "agpl": wrap(t["gpl"].replace("GNU General", "GNU Affero General") + " as published by the Free Software Foundation"),
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 License.",
+        "cc-by-sa": "Licensed under a\nCreative Commons Attribution-ShareAlike\n4.0 License",
+        "": "permission to park is hereby granted to any person without fee",
+    }
+    rows = [(k, text, None, None, None, None, None) for k, text in enumerate(texts.values())]
+    got = {r.doc_id: r.labels for r in ls.scan(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_no_python_on_the_main_path(spark):
     plan = ls.scan(frame(spark, rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
