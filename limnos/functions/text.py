@@ -35,6 +35,12 @@ def collapse_norm(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit("ß"), F.lit("ss")), r"\s+", " "), F.lit(" .,;:"))
 
 
+def plain_norm(c: Column) -> Column:
+    """Lower case, ß as ss, Latin letters without accents, single blanks."""
+    v = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ß"), F.lit("ss"))
+    return F.trim(F.regexp_replace(F.translate(v, ACCENTED + "äöü", UNACCENTED + "aou"), r"\s+", " "))
+
+
 def ascii_tokens(c: Column) -> Column:
     """Name in ASCII tokens joined by blanks: quotes off, lower case, umlauts spelled out, accents off."""
     v = F.lower(F.trim(F.btrim(F.trim(F.coalesce(c, F.lit(""))), F.lit("'"))))

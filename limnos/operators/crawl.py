@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from limnos.functions import text as T
 
 #: Query parameters that only track, fixed values.
-TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "yclid", "igshid", "ref_src")
+TRACKING = ("fbclid", "gclid", "msclkid", "mc_cid", "mc_eid")
 #: Words of documents worth reading and of pages never worth it, fixed values.
-DOCUMENT_WORDS = ("pdf", "bericht", "gutachten", "studie", "report", "download", "dokument", "steckbrief", "untersuchung")
+DOCUMENT_WORDS = ("pdf", "bericht", "report", "gutachten", "anlage", "anhang", "appendix", "method", "download", "dokument", "literatur", "archiv", "begleit", "langfassung", "kurzfassung", "steckbrief")
 SUPPORT_WORDS = ("method", "anhang", "anlage", "begleit", "langfassung", "kurzfassung")
 USELESS_WORDS = ("datenschutz", "impressum", "privacy", "login", "anmelden")
 
@@ -34,7 +34,7 @@ def canonical_url(c: Column) -> Column:
 
 
 def _keeps(part: Column) -> Column:
-    key = F.lower(F.regexp_extract(part, "^([^=]*)", 1))
+    key = F.lower(_unquoted(F.regexp_extract(part, "^([^=]*)", 1)))
     return (part != "") & ~F.startswith(key, F.lit("utm_")) & ~key.isin(*TRACKING)
 
 
@@ -59,7 +59,7 @@ def hit_priority(url: Column, title: Column, rank: Column, names: list[str], pre
     liked = F.lit(False)
     for h in preferred:
         liked = liked | (host == h) | F.endswith(host, F.lit("." + h))
-    score = 45 + 20 * direct.cast("int") + 15 * _any_word(T.collapse_norm(text), DOCUMENT_WORDS).cast("int") + 10 * liked.cast("int") - F.least(rank, F.lit(7))
+    score = 45 + 20 * direct.cast("int") + 15 * _any_word(T.plain_norm(text), DOCUMENT_WORDS).cast("int") + 10 * liked.cast("int") - F.least(rank, F.lit(7))
     return F.when(suspicious_search(url, names), 5).otherwise(F.greatest(F.lit(30), F.least(F.lit(95), score)))
 
 
@@ -68,9 +68,9 @@ def link_priority(url: Column, label: Column, context: Column, navigation: Colum
     whole = F.concat_ws(" ", label, context, _unquoted(url))
     near = F.concat_ws(" ", label, _unquoted(url))
     direct, identity, topic = (F.size(T.matched_terms(t, list(n))) > 0 for t, n in ((near, names), (whole, names), (whole, topics)))
-    document = _any_word(T.collapse_norm(near), DOCUMENT_WORDS)
-    support = _any_word(T.collapse_norm(F.concat_ws(" ", label, context)), SUPPORT_WORDS)
-    norm_label = T.collapse_norm(label)
+    document = _any_word(T.plain_norm(F.concat_ws(" ", label, url)), DOCUMENT_WORDS)
+    support = _any_word(T.plain_norm(F.concat_ws(" ", label, context)), SUPPORT_WORDS)
+    norm_label = T.plain_norm(label)
     other_lake = ~direct & (F.length(norm_label) < 80) & norm_label.rlike(r"\b\w*see\b") & ~_any_word(norm_label, DOCUMENT_WORDS)
     score = 8 + 42 * direct.cast("int") + 10 * (identity & ~direct).cast("int") + 20 * topic.cast("int") + 22 * document.cast("int") + 10 * parent_useful.cast("int") + 18 * (support & parent_useful).cast("int")
     out = F.when(navigation & ~direct, 0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions import text as T
+from limnos.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -175,17 +176,22 @@ def triples(events: DataFrame, relationships: DataFrame) -> DataFrame:
     return own.union(causal).distinct()
 
 
-def ancestors(classes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(class, ancestor, depth) closure of ``classes(class, parent)``; cycles end by depth and are reported once each."""
-    spark = classes.sparkSession
-    classes.createOrReplaceTempView("_limnos_classes")
-    return spark.sql(
-        f"""with recursive walk(class, ancestor, depth) as (
-              select class, parent, 1 from _limnos_classes where parent is not null
-              union all
-              select w.class, c.parent, w.depth + 1 from walk w join _limnos_classes c on c.class = w.ancestor where c.parent is not null and w.depth < {max_depth})
-            select class, ancestor, min(depth) as depth from walk group by class, ancestor"""
-    )
+def ancestors(classes: DataFrame) -> DataFrame:
+    """(class, ancestor, depth) closure of ``classes(class, parent)``, however deep; the least depth of each pair.
+
+    Pairs of distance up to 2^k are joined with each other, so a chain of n classes takes log2(n)
+    rounds. A class on a cycle is an ancestor of itself; rounds end where no pair is new or nearer.
+    """
+    known = cut_lineage(classes.where("parent is not null and class is not null").select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    size = known.agg(F.count("*"), F.coalesce(F.sum("depth"), F.lit(0))).first()
+    while True:
+        upper = known.select(F.col("class").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
+        further = known.join(upper, "ancestor").select("class", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
+        known = cut_lineage(known.union(further).groupBy("class", "ancestor").agg(F.min("depth").alias("depth")))
+        now = known.agg(F.count("*"), F.coalesce(F.sum("depth"), F.lit(0))).first()
+        if now == size:
+            return known
+        size = now
 
 
 def viewer_json(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

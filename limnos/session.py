@@ -14,12 +14,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point Spark at the shared checkpoint folder that the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session. A folder of our own is used only
-    where the setting is absent, as in local tests.
+    in local mode without the setting, as in tests; on a cluster its absence is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "limnos-checkpoints"))
 
 
