@@ -10,7 +10,9 @@
    similarity meet at depth k in some of the L trees with probability p = 1 - (1 - s^k)^L. So
    pairs found / sum of 1/p estimates the share of pairs found so far. While that is under the
    target recall, the matched prefixes are shortened by one bin and the forest is read again:
-   the prefix length follows the data. Tries are nested, so nothing found is lost.
+   the prefix length follows the data. Tries are nested, so a shorter prefix only joins
+   components of the longer one: just the links between them are followed, and just the
+   components that grew are verified again.
 4. Components are verified exactly: small ones together, up to a few hundred classes a
    task; a larger one is split into blocks, and each pair of blocks is one task, so no task
    ever holds more than two blocks. A task counts links with products of the 0/1 membership
@@ -47,6 +49,8 @@ TREES, DEPTH = 21, 6
 BINS = 128
 #: Classes in a block of a large component, and, on average, in a task of small ones.
 BLOCK, TOGETHER = 256, 96
+#: Up to so many classes (under 20 MB of keys) are sent to the texts; the texts of more are shuffled to them.
+SENT = 200_000
 _U = np.uint64
 
 
@@ -150,7 +154,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(shared).astype(np.int64)
 
 
-def _verify(threshold: float, depth: int):
+def _verify(threshold: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         fid = table.column("fid").to_numpy()
@@ -169,9 +173,9 @@ def _verify(threshold: float, depth: int):
             linked &= block[:, None] != block[None, :]
         np.fill_diagonal(linked, False)
         links, pairs = linked @ copies, linked.sum(1)
-        # every pair stands for itself and for those of its similarity that this depth misses
-        alike = shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1)
-        weight = np.where(linked, 1 / meeting(np.where(linked, alike, 1.0), depth), 0).sum(1)
+        # by depth: every pair stands for itself and for those of its similarity that the depth misses
+        alike = np.where(linked, shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1), 1.0)
+        weights = np.stack([np.where(linked, 1 / meeting(alike, depth), 0).sum(1) for depth in range(1, DEPTH + 1)], 1)
         label, near = np.arange(len(fid)), linked | np.eye(len(fid), dtype=bool)
         while True:
             lower = np.where(near, label[None, :], len(fid)).min(1)
@@ -179,7 +183,7 @@ def _verify(threshold: float, depth: int):
             if (lower == label).all():
                 break
             label = lower
-        return pa.table({"fid": fid, "links": links.astype(np.int64), "root": fid[label], "pairs": pairs.astype(np.int64), "weight": weight})
+        return pa.table({"fid": fid, "links": links.astype(np.int64), "root": fid[label], "pairs": pairs.astype(np.int64), "weights": list(weights)})
 
     return run
 
@@ -197,15 +201,24 @@ class NearDuplicates:
         keyed = with_row_key(docs, id_col, text_col)
         signed = cut_lineage(keyed.mapInArrow(_sign, "doc_id long, dk long, rk long, fid long, labels array<binary>"))
         self.rows = signed.drop("labels")
-        classes = self.rows.where("fid is not null").groupBy("fid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "dk", "rk")).alias("first"), F.min("doc_id").alias("least_id"))
-        classes = cut_lineage(classes)
+        first = F.min(F.struct("doc_id", "dk", "rk")).alias("first")
+        labelled = cut_lineage(signed.where("fid is not null").groupBy("fid").agg(F.count("*").alias("copies"), first, F.min("doc_id").alias("least_id"), F.any_value("labels").alias("labels")))
+        classes = labelled.drop("labels")
 
         #: By depth, the estimated share of pairs found.
         self.recalls: dict[int, float] = {}
+        candidates = cut_lineage(components(self._stars(labelled, DEPTH)))
+        found = self._verified(candidates, classes, keyed, threshold)
         for depth in range(DEPTH, 0, -1):
-            found = self._verified(components(self._stars(signed, depth)), classes, keyed, threshold, depth)
-            pairs, weight = found.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
-            self.recalls[depth] = pairs / weight if pairs else 1.0
+            if depth < DEPTH:
+                grown = self._grown(candidates, self._stars(labelled, depth))
+                if not grown.isEmpty():
+                    candidates = cut_lineage(candidates.join(grown, "node", "left_anti").union(grown))
+                    again = self._verified(grown, classes, keyed, threshold)
+                    found = cut_lineage(found.join(grown.select(F.col("node").alias("fid")), "fid", "left_anti").union(again))
+            weight = F.element_at("weights", depth)
+            pairs, total = found.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0.0))).first()
+            self.recalls[depth] = pairs / total if pairs else 1.0
             if self.recalls[depth] >= recall:
                 break
         self.links, verified = found.groupBy("fid").agg(F.sum("links").alias("links")), found.select(F.col("fid").alias("a"), F.col("root").alias("b"))
@@ -217,20 +230,33 @@ class NearDuplicates:
         )
 
     @staticmethod
-    def _stars(signed: DataFrame, depth: int) -> DataFrame:
+    def _stars(labelled: DataFrame, depth: int) -> DataFrame:
         """Links (a, b) of every class to the least one of each of its nodes at that depth."""
-        leaves = signed.select("fid", F.posexplode("labels").alias("tree", "label"))
+        leaves = labelled.select("fid", F.posexplode("labels").alias("tree", "label"))
         leaves = leaves.select("fid", F.xxhash64("tree", F.substring("label", 1, 2 * depth)).alias("key"))
         nodes = leaves.groupBy("key").agg(F.min("fid").alias("a"), F.max("fid").alias("z")).where("a <> z").select("key", "a")
         return leaves.join(nodes, "key").select("a", F.col("fid").alias("b"))
 
-    def _verified(self, candidates: DataFrame, classes: DataFrame, keyed: DataFrame, threshold: float, depth: int) -> DataFrame:
-        """(fid, links, root, pairs, weight), perhaps several rows a class: documents of other classes it is linked to, and the figures of the estimate."""
-        nodes = cut_lineage(candidates.select(F.col("node").alias("fid"), F.col("root").alias("comp")))
-        tasks = max(1, nodes.count() // TOGETHER)
+    @staticmethod
+    def _grown(candidates: DataFrame, stars: DataFrame) -> DataFrame:
+        """(node, root) of the components that further links join from those of ``candidates``, single classes included."""
+        for end in ("a", "b"):
+            known = candidates.select(F.col("node").alias(end), "root")
+            stars = stars.join(known, end, "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
+        joined = components(stars).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        members = candidates.join(joined, candidates["root"] == joined["old"]).select("node", F.col("new").alias("root"))
+        single = joined.join(candidates, candidates["node"] == joined["old"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+        return cut_lineage(members.union(single))
+
+    def _verified(self, candidates: DataFrame, classes: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
+        """(fid, links, root, pairs, weights), perhaps several rows a class: documents of other classes it is linked to, and the figures of the estimate."""
+        nodes = candidates.select(F.col("node").alias("fid"), F.col("root").alias("comp"))
+        n = nodes.count()
+        tasks = max(1, n // TOGETHER)
         sizes = nodes.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         placed = nodes.join(sizes, "comp").join(classes.select("fid", "copies", F.col("first.dk").alias("dk"), F.col("first.rk").alias("rk")), "fid")
         placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(fid), blocks) as int)"))
+        placed = F.broadcast(placed) if n <= SENT else placed
         texts = placed.join(keyed.select("dk", "rk", "text"), ["dk", "rk"]).select("fid", "comp", "copies", "blocks", "block", "text")
         sets = texts.mapInArrow(_resolve_sets, "fid long, comp long, copies long, blocks int, block int, shingles array<long>")
         spread = sets.withColumn(
@@ -242,7 +268,7 @@ class NearDuplicates:
                 )
             ),
         ).select("fid", "comp", "copies", "block", "shingles", "task.t", "task.i", "task.j")
-        return cut_lineage(spread.groupBy("t", "i", "j").applyInArrow(_verify(threshold, depth), "fid long, links long, root long, pairs long, weight double"))
+        return cut_lineage(spread.groupBy("t", "i", "j").applyInArrow(_verify(threshold), "fid long, links long, root long, pairs long, weights array<double>"))
 
     def by_document(self) -> DataFrame:
         """One row per input row: doc_id, class_id (least doc_id of its group), n_links (documents of similarity at or over the threshold)."""
