@@ -253,8 +253,11 @@ class NearDuplicates:
         nodes = candidates.select(F.col("node").alias("fid"), F.col("root").alias("comp"))
         n = nodes.count()
         tasks = max(1, n // TOGETHER)
-        sizes = nodes.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        placed = nodes.join(sizes, "comp").join(classes.select("fid", "copies", F.col("first.dk").alias("dk"), F.col("first.rk").alias("rk")), "fid")
+        # components of more than one block: at most one for BLOCK classes
+        large = nodes.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+        large = F.broadcast(large) if n // BLOCK <= SENT else large
+        nodes = nodes.join(large, "comp", "left").fillna(1, ["blocks"])
+        placed = nodes.join(classes.select("fid", "copies", F.col("first.dk").alias("dk"), F.col("first.rk").alias("rk")), "fid")
         placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(fid), blocks) as int)"))
         placed = F.broadcast(placed) if n <= SENT else placed
         texts = placed.join(keyed.select("dk", "rk", "text"), ["dk", "rk"]).select("fid", "comp", "copies", "blocks", "block", "text")
