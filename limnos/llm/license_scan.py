@@ -7,11 +7,12 @@ are in the block; the score is that share. Templates that share most of their wo
 apart by MARKS: words that the block must hold, and words of a rival that it must not. The join
 finds every such pair:
 
-* Words are ordered by how many lines of the corpus hold them, rarest first (counted over
-  all lines, words of templates only).
+* One pass reads the texts. It counts words, finds the phrases and keeps the *skeleton* of each
+  text: its line feeds and the words that templates or marks know. No other word can be shared.
+* Words are ordered by how many lines of the corpus hold them, rarest first, over all lines.
 * Prefix filter. A block that contains n - k words of a template holds one of its k + 1
   rarest; only those words are joined on.
-* Length filter. A block with fewer distinct words than the template needs is dropped.
+* Length filter. A block whose skeleton has fewer distinct words than the template needs is dropped.
 * Positional filter. If the first shared word of the order stands at place p of the template,
   at most n - p words can still be shared; pairs that fall short are dropped before the
   words are compared in full.
@@ -32,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.session import cut_lineage
+from limnos.session import store
 
 #: Phrases and labels of the base rule, fixed values.
 PHRASES = {
@@ -123,20 +124,39 @@ def _template_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {name: list(dict.fromkeys(_words(text))) for name, text in templates.items()}
 
 
-def block_frequencies(texts: DataFrame, templates: dict[str, str]) -> dict[str, int]:
-    """For each word of the templates, how many lines of ``texts(framed)`` hold it, counted over all of them.
+def _known_words(templates: dict[str, str]) -> list[str]:
+    """The words of the templates and of their marks."""
+    marks = [w for name in templates for side in MARKS.get(name, ()) for w in side]
+    return sorted({*marks, *(w for words in _template_words(templates).values() for w in words)})
 
-    ``framed`` keeps line feeds as `\\n`. As many rows as the templates have words come back.
-    """
-    vocabulary = sorted({w for words in _template_words(templates).values() for w in words})
-    held = F.transform(F.regexp_extract_all("block", F.lit("(?i)<(" + "|".join(vocabulary) + ")(?=>)"), F.lit(1)), F.lower)
-    blocks = texts.select(F.explode(F.split("framed", "\n")).alias("block")).select(F.explode(F.array_distinct(held)).alias("word"))
-    counts = {r.word: r.n for r in blocks.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return {w: counts.get(w, 0) for w in vocabulary}
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words, by first letter."""
+    letters: dict[str, list[str]] = {}
+    for w in words:
+        letters.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in letters.items()) + ")"
+
+
+def _skeleton(lines: Column, templates: dict[str, str]) -> Column:
+    """Of framed lines only the known words, folded, each after a `<`, and the line feeds."""
+    known = F.regexp_extract_all(lines, F.lit(f"(?i)<{_any_of(_known_words(templates))}(?=>)|\n"), F.lit(0))
+    return _fold(F.array_join(known, ""))
+
+
+def _held(block: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(block, "<"), ""))
+
+
+def line_frequencies(rows: DataFrame, templates: dict[str, str]) -> dict[str, int]:
+    """For each known word, how many lines of ``rows(skeleton)`` hold it. As many rows as there are known words come back."""
+    held = rows.select(F.explode(F.split("skeleton", "\n")).alias("line")).where("line <> ''").select(F.explode(_held(F.col("line"))).alias("word"))
+    counts = {r.word: r.n for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return {w: counts.get(w, 0) for w in _known_words(templates)}
 
 
 def template_matches(rows: DataFrame, frequencies: dict[str, int], templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """(id, label, share) for every block of ``rows(id, framed)`` that contains a template, by the filters above."""
+    """(id, label, share) for every block of ``rows(id, skeleton)`` that contains a template, by the filters above."""
     order = {w: k for k, (w, _) in enumerate(sorted(frequencies.items(), key=lambda x: (x[1], x[0])))}
     prefixes, facts = [], []
     for name, words in sorted(_template_words(templates).items()):
@@ -147,12 +167,11 @@ def template_matches(rows: DataFrame, frequencies: dict[str, int], templates: di
     spark = rows.sparkSession
     prefix = F.broadcast(spark.createDataFrame(prefixes, "label string, word string, place int"))
     template = F.broadcast(spark.createDataFrame(facts, "label string, words array<string>, need int, must array<string>, never array<string>"))
-    rare = sorted({w for _, w, _ in prefixes})
-    some = "(?i)<(" + "|".join(rare) + ")>"
-    lines = rows.where(F.col("framed").rlike(some)).select("id", F.split("framed", "\n").alias("lines"))
+    rare = f"<{_any_of(sorted({w for _, w, _ in prefixes}))}(?![^<\n])"
+    lines = rows.where(F.col("skeleton").rlike(rare)).select("id", F.split("skeleton", "\n").alias("lines"))
     starts = F.transform("lines", lambda first, k: F.struct(k.alias("line"), F.array_join(F.slice("lines", k + 1, F.lit(BLOCK_LINES)), "").alias("block")))
-    blocks = lines.select("id", F.inline(starts)).where(F.col("block").rlike(some))
-    blocks = blocks.select("id", "line", F.array_distinct(F.array_remove(F.split(F.regexp_replace(_fold(F.col("block")), "[<>]+", " "), " "), "")).alias("held"))
+    blocks = lines.select("id", F.inline(starts)).where(F.col("block").rlike(rare)).select("id", "line", _held(F.col("block")).alias("held"))
+    blocks = blocks.where(F.size("held") >= min(f[2] for f in facts))
     pairs = blocks.select("*", F.explode("held").alias("word")).join(prefix, "word").groupBy("id", "line", "label").agg(F.min("place").alias("place"), F.first("held").alias("held"))
     pairs = pairs.join(template, "label").where("size(held) >= need and size(words) - place >= need")
     shared = F.size(F.array_intersect("words", "held"))
@@ -166,24 +185,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     doc_id, text = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
     keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"))
 
-    lines = keyed.select(F.struct("dk", "rk").alias("id"), _lines_framed(F.col("text")).alias("framed"))
-    found = template_matches(lines, block_frequencies(lines, templates), templates, threshold)
-    added = found.groupBy("id").agg(F.collect_set("label").alias("added"), F.max("share").alias("share")).select("id.dk", "id.rk", "added", "share")
-    added = cut_lineage(added)
-
     framed = F.col("framed")
-    counted = keyed.select("doc_id", "dk", "rk", _framed(_lines_framed(F.col("text"))).alias("framed"))
+    counted = keyed.select("doc_id", "dk", "rk", _lines_framed(F.col("text")).alias("lines"))
+    counted = counted.select("doc_id", "dk", "rk", _framed(F.col("lines")).alias("framed"), _skeleton(F.col("lines"), templates).alias("skeleton"))
     # only texts with a phrase in some case are folded
     any_phrase = "(?i)" + "|".join("".join(f"<{w}>" for w in _words(p)) for p in phrases)
-    counted = counted.select("doc_id", "dk", "rk", _count(framed, "<").alias("n_words"), F.when(framed.rlike(any_phrase), _fold(framed)).otherwise("").alias("framed"))
+    counted = counted.select("doc_id", "dk", "rk", "skeleton", _count(framed, "<").alias("n_words"), F.when(framed.rlike(any_phrase), _fold(framed)).otherwise("").alias("framed"))
     places = {label: _places(framed, F.col("n_words"), phrase) for phrase, label in phrases.items()}
     n = reduce(lambda a, b: a + b, (p[0] for p in places.values()))
     least = F.least(*(p[1] for p in places.values())) if len(places) > 1 else next(iter(places.values()))[1]
     most = F.greatest(*(p[2] for p in places.values())) if len(places) > 1 else next(iter(places.values()))[2]
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(p[0] > 0, F.lit(label)) for label, p in places.items())))))
-    counted = counted.select("doc_id", "dk", "rk", "n_words", n.alias("n_base"), least.alias("first_word"), most.alias("last_word"), base.alias("base"))
+    counted = counted.select("doc_id", "dk", "rk", "skeleton", "n_words", n.alias("n_base"), least.alias("first_word"), most.alias("last_word"), base.alias("base"))
+    counted = store(counted)
+
+    rows = counted.select(F.struct("dk", "rk").alias("id"), "skeleton")
+    found = template_matches(rows, line_frequencies(rows, templates), templates, threshold)
+    added = found.groupBy("id").agg(F.collect_set("label").alias("added"), F.max("share").alias("share")).select("id.dk", "id.rk", "added", "share")
 
-    joined = counted.join(added, ["dk", "rk"], "left")
+    joined = counted.drop("skeleton").join(added, ["dk", "rk"], "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("added", F.expr("cast(array() as array<string>)"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
     return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
