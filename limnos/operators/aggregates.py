@@ -136,3 +136,14 @@ def last_in_order(df: DataFrame, keys: list[str], value: str, order: str, alias:
     """Running last non-null value in order, per key."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(alias, F.last(value, ignorenulls=True).over(w))
+
+
+def frequency_table(df: DataFrame, name: str, code: str, count: str, place: str) -> DataFrame:
+    """Rows of a summary with their place: most frequent first, then by name, those with an empty code last."""
+    empty = F.coalesce(F.col(code), F.lit("")) == ""
+    return df.withColumn(place, F.row_number().over(Window.orderBy(empty, F.desc(count), name)))
+
+
+def manifest_counters(df: DataFrame, by: str, review: Column) -> DataFrame:
+    """Per class the rows and those for review; null counts as not for review."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(review).alias("for_review"))

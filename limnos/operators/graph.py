@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.functions import text as T
 from limnos.session import cut_lineage
+from limnos.sources.sinks import publish
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,24 @@ def dangling(edge_table: DataFrame, node_table: DataFrame) -> DataFrame:
     return start.union(end)
 
 
+def repeated_keys(node_table: DataFrame) -> DataFrame:
+    """(label, key, n) of keys that are not unique within their label; must be empty before a graph is published."""
+    return node_table.groupBy("label", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def drop_labels(node_table: DataFrame, edge_table: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The graph without the nodes of some labels and every edge at them."""
+    return node_table.where(~F.col("label").isin(labels)), edge_table.where(~F.col("start_label").isin(labels) & ~F.col("end_label").isin(labels))
+
+
+def promote(spark: SparkSession, node_table: DataFrame, edge_table: DataFrame, path: str, rebuild: bool = False) -> None:
+    """Publish the graph under ``path``: keys must be unique and edges whole; a graph that is there is replaced only on ``rebuild``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not rebuild and folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        raise ValueError(f"{path} holds a graph already; ask for a rebuild to replace it")
+    publish(spark, {"nodes": node_table, "edges": edge_table}, path, [lambda t: repeated_keys(t["nodes"]), lambda t: dangling(t["edges"], t["nodes"])])
+
+
 def hop(rows: DataFrame, edge_table: DataFrame, edge_type: str, source: str, target: str, outer: bool = False, backward: bool = False) -> DataFrame:
     """One step of a path: from the column ``source`` along a type to the new column ``target``."""
     a, b = ("end_key", "start_key") if backward else ("start_key", "end_key")

@@ -55,5 +55,14 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path.toString())
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, deleted when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{context._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4()}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

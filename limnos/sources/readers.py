@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+
+from limnos.functions.text import collapse_norm
 
 DELIMITERS = (";", ",", "\t")
 
@@ -78,8 +80,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, quote: str
     names = column_names([c.strip().strip(quote) for c in first.split(sep)])
     schema = StructType([StructField(n, StringType()) for n in [*names, "_corrupt"]])
     rows = spark.read.csv(path, sep=sep, quote=quote, header=True, encoding=encoding, schema=schema, mode="FAILFAST" if strict else "PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, multiLine=False)
-    # the record column is only filled when data columns are read with it
-    rows = rows.withColumn("source_file", F.input_file_name()).withColumn("_data", F.struct(*names))
+    # the record column is only filled when all data columns are read with it, whatever is selected later
+    rows = rows.where(F.length(F.concat_ws("", *names)) >= 0).withColumn("source_file", F.input_file_name()).withColumn("_data", F.struct(*names))
     issues = rows.where("_corrupt is not null").select("source_file", F.col("_corrupt").alias("line"), F.lit("width").alias("issue"), F.to_json("_data").alias("read_as"))
     return rows.where("_corrupt is null").drop("_corrupt", "_data"), issues
 
@@ -311,6 +313,99 @@ def parse_page(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=PAGE.names)
 
 
+FORM = StructType([StructField("fields", ArrayType(StructType([StructField("field", StringType()), StructField("value", StringType())]))), StructField("options", ArrayType(StructType([StructField("field", StringType()), StructField("label", StringType()), StructField("value", StringType()), StructField("count", LongType()), StructField("selected", BooleanType())])))])
+
+
+@pandas_udf(FORM)
+def parse_form(pages: pd.Series) -> pd.DataFrame:
+    """What a page's controls would submit, by name, the last of a name; and the options of its selects with their counts.
+
+    Disabled and unnamed controls, buttons and unchecked boxes are left out. Option end tags may be missing. A count
+    stands in a label as `Elbe --- (1.234 values)`; the label goes without it.
+    """
+    from html.parser import HTMLParser
+
+    class Controls(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__(convert_charrefs=True)
+            self.values: dict[str, str] = {}
+            self.options: list[dict] = []
+            self.select, self.option, self.area = None, None, None
+
+        def close_option(self) -> None:
+            if self.option is not None:
+                words = " ".join(self.option["label"].split())
+                label, _, tail = words.partition(" ---")
+                found = re.match(r"\s*\(([\d.]+)", tail)
+                value = self.option["value"]
+                self.option.update(label=label.strip(), value=words if value is None else value, count=int(found[1].replace(".", "")) if found and found[1].strip(".") else None)
+                self.options.append(self.option)
+                self.option = None
+
+        def close_select(self) -> None:
+            self.close_option()
+            own = [o for o in self.options if o["select"] == self.select]
+            if own:
+                self.values[self.select[1]] = next((o for o in own if o["selected"]), own[0])["value"]
+            self.select = None
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            name = None if "disabled" in a else a.get("name")
+            if tag == "option":
+                self.close_option()
+                if self.select and "disabled" not in a:
+                    self.option = {"select": self.select, "field": self.select[1], "label": "", "value": a.get("value"), "selected": "selected" in a}
+            elif tag == "select":
+                self.select = (len(self.options), name) if name else None
+            elif tag == "textarea" and name:
+                self.area = name
+                self.values[name] = ""
+            elif tag == "input" and name:
+                kind = (a.get("type") or "text").lower()
+                if kind not in ("submit", "image", "button", "reset", "file") and (kind not in ("checkbox", "radio") or "checked" in a):
+                    self.values[name] = a.get("value") or ""
+
+        def handle_endtag(self, tag):
+            if tag == "option":
+                self.close_option()
+            elif tag == "select" and self.select:
+                self.close_select()
+            elif tag == "textarea":
+                self.area = None
+
+        def handle_data(self, data):
+            if self.option is not None:
+                self.option["label"] += data
+            elif self.area is not None:
+                self.values[self.area] = " ".join((self.values[self.area] + data).split())
+
+    out = []
+    for html in pages:
+        c = Controls()
+        c.feed(html or "")
+        c.close()
+        if c.select:
+            c.close_select()
+        out.append(([{"field": k, "value": v} for k, v in c.values.items()], [{k: v for k, v in o.items() if k != "select"} for o in c.options]))
+    return pd.DataFrame(out, columns=FORM.names)
+
+
+def label_positions(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, x, y) of ``names(name)`` from the lines ``labels(pos, text, x, y)`` of a map, as shares of its width and height.
+
+    The first line equal to the name after normalising counts, else, for names of five characters or more, the first that
+    contains it. Lines and names are those of one map; names without a line are absent.
+    """
+    lines = labels.select("pos", collapse_norm(F.col("text")).alias("key"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y")).where("key <> ''")
+    wanted = names.select("name", collapse_norm(F.col("name")).alias("wanted")).where("wanted <> ''").distinct()
+    first = F.min_by(F.struct("x", "y"), "pos").alias("at")
+    equal = wanted.join(lines, F.col("wanted") == F.col("key")).groupBy("name", "wanted").agg(first)
+    rest = wanted.where("length(wanted) >= 5").join(equal.select("name"), "name", "left_anti")
+    inside = rest.join(lines, F.contains("key", "wanted")).groupBy("name").agg(first)
+    return equal.select("name", "at.*").union(inside.select("name", "at.*"))
+
+
 def infobox(html: Column) -> Column:
     """Map of an infobox table's header cells to their data cells."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>\s*<th[^>]*>(.*?)</th>\s*<td[^>]*>.*?</td>"), F.lit(1))

@@ -1,3 +1,5 @@
+import pytest
+
 import math
 
 from pyspark.sql import functions as F
@@ -161,3 +163,20 @@ def test_reports(spark):
     assert rows(Q.repeated_lines(lines, ["doc"], "page", "t"), "t", "margin") == [("Kopf", True)] * 3 + [("Text", False)]
     assert rows(A.provenance(spark.createDataFrame([("k", 2), ("k", 1), ("k", 2)], "k string, r int"), ["k"], "r"), "rows") == [([1, 2],)]
     assert rows(spark.createDataFrame([("Alt-Ruppin", 3), ("12", 4)], "l string, i int").select(T.label_tag(F.col("l"), F.col("i")).alias("t")), "t") == [("ALT",), ("S4",)]
+
+
+def test_graph_is_promoted_once(spark, tmp_path):
+    from limnos.operators import graph as G
+
+    nodes = spark.createDataFrame([("A", "1", {}), ("B", "2", {})], "label string, key string, properties map<string,string>")
+    edges = spark.createDataFrame([("e", "T", "A", "1", "B", "2", {})], "name string, type string, start_label string, start_key string, end_label string, end_key string, properties map<string,string>")
+    path = str(tmp_path / "graph")
+    G.promote(spark, nodes, edges, path)
+    with pytest.raises(ValueError, match="rebuild"):
+        G.promote(spark, nodes, edges, path)
+    for bad in ((nodes.union(nodes), edges), (nodes.where("label = 'A'"), edges)):
+        with pytest.raises(ValueError, match="nothing was published"):
+            G.promote(spark, *bad, path, rebuild=True)
+    kept = G.drop_labels(nodes, edges, ["B"])
+    G.promote(spark, *kept, path, rebuild=True)
+    assert spark.read.parquet(path + "/nodes").count() == 1 and spark.read.parquet(path + "/edges").count() == 0

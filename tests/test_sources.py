@@ -110,3 +110,10 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert rows(spark.table("w"), "k", "n") == [("a", 1), ("a", 1), ("b", 2)]
     assert rows(ingest.sessions(spark.read.parquet(table), "ts", "5 minutes", "1 minute", "k"), "k", "n") == [("a", 1), ("a", 1), ("b", 1)]
+
+
+def test_form_of_odd_pages(spark):
+    pages = [None, "", "<select name=a>", "<select><option>x</select>", "<select name=a><option>x<option value=2 selected>y --- (12 values)<p>", "<textarea name=t> a\nb", "<input name=r type=radio value=1><input name=r type=radio value=2 checked>"]
+    got = [r.f for r in spark.createDataFrame(list(enumerate(pages)), "i int, h string").select("i", rd.parse_form("h").alias("f")).orderBy("i").collect()]
+    assert [[(x.field, x.value) for x in f.fields] for f in got] == [[], [], [], [], [("a", "2")], [("t", "a b")], [("r", "2")]]
+    assert [tuple(o) for o in got[4].options] == [("a", "x", "x", None, False), ("a", "y", "2", 12, True)]
