@@ -1,7 +1,6 @@
-import pytest
-
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from limnos.functions import text as T
