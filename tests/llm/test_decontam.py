@@ -66,3 +66,34 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination_report(frame(spark, []), none).count() == 0
     assert not any(r.contaminated for r in decontam.contamination_report(frame(spark), none).collect())
+
+
+def test_longest_matches(spark, monkeypatch):
+    rows = [r for r in odd_documents(n=25) if len(r[1] or "") < 20_000]
+    items = [(str(i), t) for i, t in items_of(rows) + [(20, "same line again " * 40), (21, " ".join(words(rows[20][1])[:30]) + " and then " + " ".join(words(rows[21][1])[3:40]))]]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [(r[0], words(r[1])) for r in rows]
+
+    def longest(v):
+        """Length of the longest common run with any document, of 10 words or all."""
+        best = 0
+        for _, w in texts:
+            last = [0] * (len(v) + 1)
+            for x in w:
+                last = [0] + [last[k] + 1 if x == y else 0 for k, y in enumerate(v)]
+                best = max(best, *last)
+        return best if best >= min(10, len(v)) and best else 0
+
+    want = {}
+    for i, t in items:
+        n = longest(words(t)) if t else 0
+        if n:
+            want[i] = max(n, want.get(i, 0))
+    for block in (1 << 21, 50):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+        got = decontam.longest_matches(frame(spark, rows), bench).collect()
+        assert {r.item_id: r.words for r in got} == want
+        for r in got:
+            own = [" ".join(w[r.start : r.start + r.words]) for i, w in texts if i == r.doc_id]
+            assert any(s and s in " ".join(words(t)) for s in own for i, t in items if i == r.item_id)
+    assert max(want.values()) > 30
