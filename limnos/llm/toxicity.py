@@ -15,7 +15,9 @@
 
 Labels of rows with crc32(id as text) mod 5 = 0 are never used; a null id counts as the
 empty text there. Defined results: null and empty texts have no hits and get the score of a
-hitless text; repeated rows score alike; without any usable label only the fixed words score.
+hitless text; repeated rows score alike; without any usable label only the fixed words score; an
+empty table of documents gives no rows. Columns of any other name are not read. Lexicon entries
+of equal z are taken in the order of kind and hash.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm import textcodec as tc
+from limnos.session import store
 
 SAMPLE_ROWS = 8000
 LEXICON = 2048
@@ -201,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.select(labels["doc_id"].cast("long").alias("i"), labels["toxic"].cast("int").alias("toxic")).where("i is not null and toxic in (0, 1)").where(~held_out(F.col("i")))
     chosen = usable.groupBy("i").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("i"), "i").limit(rows)
     texts = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "i")
-    texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")  # copies count once
+    # copies count once; read three times below, so the at most ``rows`` texts are written down
+    texts = store(texts.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"))
     counted = texts.mapInArrow(_emit_entries, "kind int, entry long, toxic int").groupBy("kind", "entry").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     total = texts.agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).first()
     bad, good = total.a or 0, (total.n or 0) - (total.a or 0)
