@@ -1,11 +1,12 @@
 """URL filter: rules by host and path first, a character language-model ratio for the rest.
 
 Two smoothed variable-order Markov models over the characters of host and path are counted
-from all URLs that a rule accepts and from all that a rule rejects, orders 0 to ORDER. The
+from the URLs that a rule accepts and from those that a rule rejects, orders 0 to ORDER. The
 probability of a character under a context of k characters leans on that under k - 1:
 ``p_k = (n(context, c) + a * p_{k-1}) / (n(context) + a)``; a context never seen leaves the
 shorter one's value. A URL's figure is the difference of its log likelihoods per character,
-and the threshold is set where the two labelled sides, weighted alike, are told apart best.
+and the threshold is set where the two labelled sides, weighted alike, are told apart best, on
+about a fifth of the labelled URLs that the counts leave out (by a hash of host and path).
 
 A character with its context of ORDER is six bytes, so one integer names it exactly and nothing is
 hashed. Counts are rows of a table that grows with the labelled URLs and stays distributed: those
@@ -20,7 +21,6 @@ nothing on one side, the models know nothing and allow.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -35,8 +35,8 @@ from limnos.session import store
 ORDER = 5
 WEIGHT = 2.0
 BLOCK_CHARS = 1 << 18
-#: Entries an order of the hashed tables of Models, which judge() does not use.
-SLOTS = 1 << 16
+#: One labelled URL in this many sets the threshold and is left out of the counts.
+HELD_OUT = 5
 #: (verdict, host, path), fixed values.
 RULES = (
     ("allow", "org", "/"),
@@ -65,21 +65,6 @@ def by_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return pick([r[1] + r[2] for r in ordered]), pick([r[0] for r in ordered])
 
 
-def _slots(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By order: (context slot, gram slot, URL) of every character; the end counts as one."""
-    lead = bytes([_START] * ORDER)
-    raw = [lead + u.encode() + bytes([_END]) for u in urls]
-    sizes = np.array([len(r) for r in raw])
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    url = np.repeat(np.arange(len(raw)), sizes)
-    first = np.cumsum(sizes) - sizes
-    at = np.flatnonzero(np.arange(len(data)) - first[url] >= ORDER)
-    rolling = tc.RollingHash(data)
-    for k in range(ORDER + 1):
-        context = rolling.of(at - k, at) if k else np.zeros(len(at), np.uint64)
-        yield ((context % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS, (rolling.of(at - k, at + 1) % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS, url[at])
-
-
 def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(gram, URL) of every character; the end counts as one. A gram holds the ORDER bytes before and the character's own, last."""
     lead = bytes([_START] * ORDER)
@@ -158,25 +143,22 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(ratio)], [*part.schema.names[4:], "ratio"])
 
 
-@dataclass
-class Models:
-    """The same models over hashed tables in memory: exact while grams are few against SLOTS, as in the plain count of the tests."""
+def held_out(text: Column) -> Column:
+    """Whether a labelled URL, given as host and path, serves the threshold and not the counts: about one in HELD_OUT, repeats together."""
+    return F.pmod(F.xxhash64(text), F.lit(HELD_OUT)) == 0
 
-    grams: np.ndarray
-    contexts: np.ndarray
 
-    def ratio(self, urls: list[str]) -> np.ndarray:
-        """Difference of log likelihoods per character, allowed less rejected."""
-        p = None
-        for context, gram, url in _slots(urls):
-            p = np.full((2, len(url)), 1 / 256) if p is None else p
-            p = (np.minimum(self.grams[:, gram], self.contexts[:, context]) + WEIGHT * p) / (self.contexts[:, context] + WEIGHT)
-        difference = np.log(p[1]) - np.log(p[0])
-        return np.bincount(url, difference, len(urls)) / np.bincount(url, minlength=len(urls))
+def threshold_of(scored: DataFrame) -> float:
+    """Where the held-out rows of ``scored(host, path, ruled, ratio)`` are told apart best, in cells of 1/200.
 
+    Of equally good cuts the one nearest to 0 counts, where both models are equally likely. Where one side has no held-out rows, all labelled rows
+    are taken; without labelled rows on one side, the threshold is below everything.
+    """
+    held = _threshold(scored.where(held_out(F.concat("host", "path"))))
+    return _threshold(scored) if held == -np.inf else held
 
-def threshold_of(scored: DataFrame) -> float:
-    """Where ``scored(ruled, ratio)`` is told apart best; without rows on one side, below everything."""
+
+def _threshold(scored: DataFrame) -> float:
     cells = scored.where("ruled is not null").groupBy((F.col("ruled") == "allow").cast("int").alias("allow"), F.floor(F.col("ratio") * 200).alias("cell")).agg(F.count("*").alias("n")).collect()
     sides = [{r.cell: r.n for r in cells if r.allow == side} for side in (0, 1)]
     total = [sum(s.values()) for s in sides]
@@ -184,16 +166,17 @@ def threshold_of(scored: DataFrame) -> float:
         return -np.inf
     best = None
     missed = kept = 0
+    below = -np.inf
     for cell in sorted(set(sides[0]) | set(sides[1])):
-        # rejecting all below this cell
+        # rejecting all below this cell; any cut above the cell before does the same
         error = missed / total[1] + (total[0] - kept) / total[0]
-        if best is None or error < best[0] - 1e-12:
-            best = (error, cell, cell)
-        elif error <= best[0] + 1e-12:
-            best = (best[0], best[1], cell)
+        cut = min(max(0.0, below + 1), cell)
+        if best is None or error < best[0] - 1e-12 or (error <= best[0] + 1e-12 and abs(cut) < abs(best[1])):
+            best = (error, cut)
         missed += sides[1].get(cell, 0)
         kept += sides[0].get(cell, 0)
-    return (best[1] + best[2]) / 400
+        below = cell
+    return best[1] / 200
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -205,7 +188,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     chars = ruled.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).first().n or 0
     block = F.pmod(F.xxhash64("page_id", "text"), F.lit(1 + chars // BLOCK_CHARS)).alias("block")
     rows = store(ruled.select(block, "*").repartition("block").sortWithinPartitions("block"))
-    allow = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "allow").cast("int")).alias("allow")
+    allow = F.when(F.col("ruled").isNotNull() & ~held_out(F.col("text")), (F.col("ruled") == "allow").cast("int")).alias("allow")
     grams = store(rows.select("text", "block", allow).mapInArrow(_count, "block long, gram long, allow long, reject long"))
     values = log_ratios(store(grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("reject").alias("reject"))))
     needed = grams.select("block", "gram").join(values, "gram").select("block", "gram", "difference")

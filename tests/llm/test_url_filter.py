@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from limnos.llm import url_filter as uf
 
@@ -36,15 +37,14 @@ def test_rules_and_parts_match_brute_force(spark):
     assert got[len(rows) - 2].verdict == "allow" and got[len(rows) - 1].verdict == "block"
 
 
-def test_likelihoods_match_a_plain_count():
-    good, bad = ["abab", "abb"], ["bbb", "ba"]
-    size = (uf.ORDER + 1) * uf.SLOTS
-    table = np.zeros((2, 2 * size))
-    for side, texts in ((1, good), (0, bad)):
-        for context, gram, _ in uf._slots(texts):
-            np.add.at(table[side], gram, 1)
-            np.add.at(table[side], context + size, 1)
-    models = uf.Models(table[:, :size], table[:, size:])
+def test_likelihoods_match_a_plain_count(spark):
+    good, bad, asked = ["abab", "abb"], ["bbb", "ba"], ["abab", "bbb", "", "cab"]
+    table = {g: [0, 0] for texts in (good, bad, asked) for g in uf._grams(texts)[0].tolist()}
+    for side, texts in enumerate((good, bad)):
+        for g in uf._grams(texts)[0].tolist():
+            table[g][side] += 1
+    counts = spark.createDataFrame([(g, *n) for g, n in table.items()], "gram long, allow long, reject long")
+    difference = dict(map(tuple, uf.log_ratios(counts).collect()))
 
     def log_likelihood(texts, text):
         total, s = 0.0, "\2" * 5 + text + "\3"
@@ -58,8 +58,8 @@ def test_likelihoods_match_a_plain_count():
             total += np.log(p)
         return total / (len(s) - 5)
 
-    for text in ("abab", "bbb", "", "cab"):
-        assert np.isclose(models.ratio([text])[0], log_likelihood(good, text) - log_likelihood(bad, text))
+    for text in asked:
+        assert np.isclose(np.mean([difference[g] for g in uf._grams([text])[0].tolist()]), log_likelihood(good, text) - log_likelihood(bad, text))
 
 
 def test_tables_without_labels(spark):
@@ -75,17 +75,19 @@ def test_ratios_match_a_plain_count_with_more_grams_than_any_fixed_table(spark,
     rows = [(k, f"http://{word(4)}.{('com/fr/', 'com/de/', 'net/xx/')[k % 3]}{word(40)}") for k in range(5000)] + [(7, "http://é.net/é"), (8, None)]
     counts = [{}, {}]
     texts = {}
+    parts = spark.createDataFrame([("".join(brute(u)[:2]),) for _, u in rows], "text string")
+    held = {r.text for r in parts.where(uf.held_out(F.col("text"))).collect()}
     for i, u in rows:
         host, path, _, verdict = brute(u)
         s = b"\2" * 5 + (host + path).encode() + b"\3"
         texts.setdefault(i, []).append((host + path, s))
-        if verdict:
+        if verdict and host + path not in held:
             own = counts[verdict == "allow"]
             for j in range(5, len(s)):
                 for k in range(6):
                     for key in ((k, s[j - k : j + 1]), (k, s[j - k : j], "context")):
                         own[key] = own.get(key, 0) + 1
-    assert sum(len(key) == 2 and key[0] == 5 for key in counts[0]) > 1 << 16
+    assert sum(len(key) == 2 and key[0] == 5 for key in counts[0]) > 50_000
 
     def log_likelihood(own, s):
         total = 0.0
@@ -101,3 +103,16 @@ def test_ratios_match_a_plain_count_with_more_grams_than_any_fixed_table(spark,
     for r in got[::7]:
         s = next(s for text, s in texts[r.page_id] if text == r.host + r.path)
         assert np.isclose(r.ratio, log_likelihood(counts[1], s) - log_likelihood(counts[0], s), rtol=0, atol=1e-9), r
+
+
+def test_threshold_is_set_on_held_out_urls(spark):
+    rows = [("h", f"/{k}", "allow" if k % 2 else "block", 1.0 if k % 2 else -1.0) for k in range(100)]
+    seen = spark.createDataFrame(rows, "host string, path string, ruled string, ratio double")
+    held = uf.held_out(F.concat("host", "path"))
+    assert 0 < seen.where(held).count() < 50
+    # what the counts were made of may lie anywhere
+    moved = seen.withColumn("ratio", F.when(held, F.col("ratio")).otherwise(-9.0))
+    assert uf.threshold_of(seen) == uf.threshold_of(moved) and -1 < uf.threshold_of(moved) <= 1
+    # without held-out rows of one side all labelled rows count
+    assert uf.threshold_of(seen.where(~held | (F.col("ruled") == "allow"))) > -1
+    assert uf.threshold_of(seen.where("ruled = 'allow'")) == -np.inf
