@@ -5,8 +5,8 @@ from the URLs that a rule accepts and from those that a rule rejects, orders 0 t
 probability of a character under a context of k characters leans on that under k - 1:
 ``p_k = (n(context, c) + a * p_{k-1}) / (n(context) + a)``; a context never seen leaves the
 shorter one's value. A URL's figure is the difference of its log likelihoods per character,
-and the threshold is set where the two labelled sides, weighted alike, are told apart best, on
-about a fifth of the labelled URLs that the counts leave out (by a hash of host and path).
+and the threshold is where a logistic fit of the label to it, both sides weighted alike, gives
+one half, on about a fifth of the labelled URLs that the counts leave out (by a hash of host and path).
 
 A character with its context of ORDER is six bytes, so one integer names it exactly and nothing is
 hashed. Counts are rows of a table that grows with the labelled URLs and stays distributed: those
@@ -149,34 +149,35 @@ def held_out(text: Column) -> Column:
 
 
 def threshold_of(scored: DataFrame) -> float:
-    """Where the held-out rows of ``scored(host, path, ruled, ratio)`` are told apart best, in cells of 1/200.
+    """The ratio at which a held-out row of ``scored(host, path, ruled, ratio)`` is as likely accepted as rejected.
 
-    Of equally good cuts the one nearest to 0 counts, where both models are equally likely. Where one side has no held-out rows, all labelled rows
-    are taken; without labelled rows on one side, the threshold is below everything.
+    Where one side has no held-out rows, all labelled rows are taken; without labelled rows on one
+    side, the threshold is below everything.
     """
     held = _threshold(scored.where(held_out(F.concat("host", "path"))))
     return _threshold(scored) if held == -np.inf else held
 
 
 def _threshold(scored: DataFrame) -> float:
-    cells = scored.where("ruled is not null").groupBy((F.col("ruled") == "allow").cast("int").alias("allow"), F.floor(F.col("ratio") * 200).alias("cell")).agg(F.count("*").alias("n")).collect()
-    sides = [{r.cell: r.n for r in cells if r.allow == side} for side in (0, 1)]
-    total = [sum(s.values()) for s in sides]
-    if not total[0] or not total[1]:
+    """Logistic calibration of the ratio over cells of 1/200, both sides weighted alike; 0, where the models are equally likely, if it does not rise.
+
+    Targets are those of one more row of the other side each, so that sides told apart entirely leave it finite.
+    """
+    allow = F.col("ruled") == "allow"
+    cells = scored.where("ruled is not null").groupBy(F.floor(F.col("ratio") * 200).alias("cell")).agg(F.count_if(allow).alias("allow"), F.count_if(~allow).alias("block")).collect()
+    n = np.array([(r.allow, r.block) for r in sorted(cells, key=lambda r: r.cell)], float).reshape(-1, 2)
+    total = n.sum(0)
+    if not total.all():
         return -np.inf
-    best = None
-    missed = kept = 0
-    below = -np.inf
-    for cell in sorted(set(sides[0]) | set(sides[1])):
-        # rejecting all below this cell; any cut above the cell before does the same
-        error = missed / total[1] + (total[0] - kept) / total[0]
-        cut = min(max(0.0, below + 1), cell)
-        if best is None or error < best[0] - 1e-12 or (error <= best[0] + 1e-12 and abs(cut) < abs(best[1])):
-            best = (error, cut)
-        missed += sides[1].get(cell, 0)
-        kept += sides[0].get(cell, 0)
-        below = cell
-    return best[1] / 200
+    at = (np.array(sorted(r.cell for r in cells)) + 0.5) / 200
+    weight = n / total
+    wanted = weight @ [(total[0] + 1) / (total[0] + 2), 1 / (total[1] + 2)]
+    weight, x, fit = weight.sum(1), np.stack([at, np.ones(len(at))], 1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (wanted - weight * p) - 1e-6 * fit)
+        fit = fit + step * min(1.0, 2 / np.abs(step).max()) if np.abs(step).max() > 0 else fit
+    return float(-fit[1] / fit[0]) if fit[0] > 1e-9 else 0.0
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:

@@ -116,3 +116,13 @@ def test_threshold_is_set_on_held_out_urls(spark):
     # without held-out rows of one side all labelled rows count
     assert uf.threshold_of(seen.where(~held | (F.col("ruled") == "allow"))) > -1
     assert uf.threshold_of(seen.where("ruled = 'allow'")) == -np.inf
+
+
+def test_one_odd_url_does_not_move_the_threshold_far(spark):
+    rows = [("h", f"/{k}", "allow" if k % 2 else "block", 5.0 if k % 2 else -5.0) for k in range(400)]
+    seen = spark.createDataFrame(rows, "host string, path string, ruled string, ratio double")
+    odd = seen.where(uf.held_out(F.concat("host", "path")) & (F.col("ruled") == "allow")).limit(1).withColumn("ratio", F.lit(-4.5))
+    assert abs(uf.threshold_of(seen)) < 0.5
+    assert -3 < uf.threshold_of(seen.join(odd, "path", "left_anti").unionByName(odd)) <= 0
+    # a ratio that falls with the label tells nothing
+    assert uf.threshold_of(seen.withColumn("ratio", -F.col("ratio"))) == 0
