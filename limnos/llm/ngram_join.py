@@ -104,6 +104,7 @@ def trie_labels(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tc.release()
     for batch in batches:
         for part, column in tc.chunks(batch, "text"):
             sets = shingle_sets(*tc.buffer_of(column))
@@ -126,6 +127,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _resolve_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tc.release()
     for batch in batches:
         for part, column in tc.chunks(batch, "text"):
             sets = [s.view(np.int64) for s in shingle_sets(*tc.buffer_of(column))]
@@ -156,6 +158,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verify(threshold: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        tc.release()
         i, j = key[1].as_py(), key[2].as_py()
         fid = table.column("fid").to_numpy()
         _, one = np.unique(fid, return_index=True)

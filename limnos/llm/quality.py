@@ -221,6 +221,7 @@ def measure(docs: DataFrame, text_col: str = "text", path: str | None = None, ba
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             for part, column in tc.chunks(batch, "text"):
                 data, at = tc.buffer_of(column)

@@ -87,6 +87,7 @@ def _segments(batch: pa.RecordBatch, limit: int, window: int) -> Iterator[tuple[
 
 def _emit_spans(window: int, gram: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tc.release()
         for batch in batches:
             for part, data, at, lead in _segments(batch, limit, window):
                 s = spans_of(data, at, window, gram)

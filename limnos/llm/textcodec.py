@@ -35,6 +35,14 @@ def held(key: str, make):
     return _held[key]
 
 
+def release() -> None:
+    """Give back what a worker process still holds of earlier stages: its table, and the memory that Arrow's pool keeps free."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The column as 64-bit-offset strings; anything that is not text counts as empty."""
     return column.cast(pa.large_string()) if not pa.types.is_null(column.type) else pa.nulls(len(column), pa.large_string())
