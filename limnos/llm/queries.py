@@ -69,6 +69,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from limnos.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing, op11_exact_dedup, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -109,6 +115,13 @@ select d.doc_id, case when m.r is null then d.doc_id else ids.class_id end as cl
 from d left join m using (r) left join near on near.c = m.c left join roots on roots.c = m.c left join ids on ids.root = roots.root"""
 
 
+#: Grouped by the normalised texts themselves.
+_OP11 = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as normal from documents),
+k as (select *, count(*) over (partition by normal) as n, row_number() over w as place, first_value(doc_id) over w as keep_id from d window w as (partition by normal order by length(text) desc, doc_id nulls last, r desc))
+select doc_id, keep_id, n as group_size, place = 1 as kept, sha256(normal) as text_sha256 from k"""
+
+
 def _op8() -> str:
     from limnos.llm import license_scan as ls
 
@@ -130,4 +143,4 @@ select d.doc_id, len(d.w) as n_words, coalesce(base.n, 0) as n_base, base.a as f
 
 def oracle_sql() -> dict[str, str]:
     """Operators that SQL can express over whole tables; the others are tested against brute force."""
-    return {"op2_decontamination": _OP2, "op5_ngram_jaccard_join": _OP5, "op8_license_scan": _op8()}
+    return {"op2_decontamination": _OP2, "op5_ngram_jaccard_join": _OP5, "op8_license_scan": _op8(), "op11_exact_dedup": _OP11}
