@@ -75,6 +75,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from limnos.llm.conversation_trie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing, op11_exact_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing, op11_exact_dedup, op13_conversation_trie, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -122,6 +128,22 @@ k as (select *, count(*) over (partition by normal) as n, row_number() over w as
 select doc_id, keep_id, n as group_size, place = 1 as kept, sha256(normal) as text_sha256 from k"""
 
 
+#: Nodes are the lists of their turns; CRC-32 by its table, made from the polynomial.
+_OP13 = """
+with recursive bits(n, v, k) as (select range, range, 0 from range(256) union all select n, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(v order by n) as l from bits where k = 8), ids as (select distinct conv_id as c from conversations where conv_id is not null),
+h as (select c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), x -> cast(ascii(x) as bigint))), (a, b) -> xor(l[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 9 as h from ids, crc),
+s as (select conv_id as c, turn, coalesce(role, '') as role, strlen(coalesce(text, '')) as b, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as g from conversations),
+t as (select c, g, b, row_number() over (partition by c order by turn nulls first, role, g) as p from s),
+built as (select h.c, 0 as own, p, g, b from h join t on t.c = h.c - h.c % 5 and p <= h union all select h.c, 1, p, g, b from h join t on t.c = h.c and p > h),
+path as (select c, b, row_number() over w as d, list(g) over w as path from built window w as (partition by c order by own, p) union all select c, 0, 0, cast([] as varchar[]) from ids),
+n as (select path, d, min(c) as c, count(*) as n, max(b) as b from path group by path, d), ends as (select path, string_agg(cast(c as varchar), ',' order by c) as ids from (select c, path from path qualify row_number() over (partition by c order by d desc) = 1) group by path),
+kids as (select path[1 : d - 1] as path, count(*) as k from n where d > 0 group by 1), m as (select n.*, coalesce(k, 0) as k from n left join kids using (path)),
+sums as (select a.path, count(*) filter (x.k = 0) as leaves, sum((x.n - 1) * x.b) as saved from m a join m x on x.path[1 : a.d] = a.path group by a.path)
+select m.c as conv_id, m.d as depth, up.c as parent_conv_id, m.n as n_convs, m.k as n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from m join sums using (path) left join ends using (path) left join n up on m.d > 0 and up.path = m.path[1 : m.d - 1]"""
+
+
 def _op8() -> str:
     from limnos.llm import license_scan as ls
 
@@ -143,4 +165,4 @@ select d.doc_id, len(d.w) as n_words, coalesce(base.n, 0) as n_base, base.a as f
 
 def oracle_sql() -> dict[str, str]:
     """Operators that SQL can express over whole tables; the others are tested against brute force."""
-    return {"op2_decontamination": _OP2, "op5_ngram_jaccard_join": _OP5, "op8_license_scan": _op8(), "op11_exact_dedup": _OP11}
+    return {"op2_decontamination": _OP2, "op5_ngram_jaccard_join": _OP5, "op8_license_scan": _op8(), "op11_exact_dedup": _OP11, "op13_conversation_trie": _OP13}
