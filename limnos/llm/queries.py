@@ -132,7 +132,7 @@ select doc_id, keep_id, n as group_size, place = 1 as kept, sha256(normal) as te
 _OP13 = """
 with recursive bits(n, v, k) as (select range, range, 0 from range(256) union all select n, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from bits where k < 8),
 crc as (select list(v order by n) as l from bits where k = 8), ids as (select distinct conv_id as c from conversations where conv_id is not null),
-h as (select c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), x -> cast(ascii(x) as bigint))), (a, b) -> xor(l[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 9 as h from ids, crc),
+h as (select c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda a, b: xor(l[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 9 as h from ids, crc),
 s as (select conv_id as c, turn, coalesce(role, '') as role, strlen(coalesce(text, '')) as b, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as g from conversations),
 t as (select c, g, b, row_number() over (partition by c order by turn nulls first, role, g) as p from s),
 built as (select h.c, 0 as own, p, g, b from h join t on t.c = h.c - h.c % 5 and p <= h union all select h.c, 1, p, g, b from h join t on t.c = h.c and p > h),
