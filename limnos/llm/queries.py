@@ -75,6 +75,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from limnos.llm.collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.conversation_trie import prefix_trie
 
@@ -88,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing, op11_exact_dedup, op13_conversation_trie, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_html_extraction, op4_toxicity, op5_ngram_jaccard_join, op6_url_filter, op7_suffix_dedup, op8_license_scan, op9_quality_rules, op10_packing, op11_exact_dedup, op12_collocations, op13_conversation_trie, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -128,6 +134,18 @@ k as (select *, count(*) over (partition by normal) as n, row_number() over w as
 select doc_id, keep_id, n as group_size, place = 1 as kept, sha256(normal) as text_sha256 from k"""
 
 
+#: Windows over lists of words, products in 128 bits.
+_OP12 = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
+g as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase, count(*) as c from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (values (1), (2), (3)) v(m) where len(w) >= m) group by all),
+n as (select lang, cast(sum(c) as bigint) as n from g where m = 1 group by lang), cand as (select *, string_split(phrase, ' ') as ws from g where m >= 2 and c >= 10),
+inside as (select lang, array_to_string(ws[i : i + 1], ' ') as phrase, max(c) as longest from cand, (values (1), (2)) v(i) where m = 3 group by all),
+cuts as (select cand.lang, cand.phrase, c as a, k, array_to_string(ws[1 : k], ' ') as head, array_to_string(ws[k + 1 : m], ' ') as tail from cand left join inside using (lang, phrase), (values (1), (2)) v(k) where k < m and coalesce(100 * longest < 50 * c, true)),
+scored as (select cuts.*, x.c as l, y.c as r, cast((cast(1000000 as hugeint) * a * a) // (cast(x.c as hugeint) * y.c) as bigint) as score from cuts join g x on x.lang = cuts.lang and x.phrase = head join g y on y.lang = cuts.lang and y.phrase = tail),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from best join n using (lang) qualify rank <= 2000"""
+
 #: Nodes are the lists of their turns; CRC-32 by its table, made from the polynomial.
 _OP13 = """
 with recursive bits(n, v, k) as (select range, range, 0 from range(256) union all select n, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from bits where k < 8),
@@ -165,4 +183,4 @@ select d.doc_id, len(d.w) as n_words, coalesce(base.n, 0) as n_base, base.a as f
 
 def oracle_sql() -> dict[str, str]:
     """Operators that SQL can express over whole tables; the others are tested against brute force."""
-    return {"op2_decontamination": _OP2, "op5_ngram_jaccard_join": _OP5, "op8_license_scan": _op8(), "op11_exact_dedup": _OP11, "op13_conversation_trie": _OP13}
+    return {"op2_decontamination": _OP2, "op5_ngram_jaccard_join": _OP5, "op8_license_scan": _op8(), "op11_exact_dedup": _OP11, "op12_collocations": _OP12, "op13_conversation_trie": _OP13}
