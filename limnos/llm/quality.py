@@ -14,7 +14,9 @@ outside its bands:
   LEAST_GROUP such documents has no fitted band.
 
 The quartiles come from counts by language and hundredths, pre-aggregated before the shuffle,
-so a language of a third of all rows is a few hundred rows a task.
+so a language of a third of all rows is a few hundred rows a task. Texts are never shuffled: the
+fitted bounds, a row a language, go to the documents by broadcast, as long as they are no more
+than MOST_BANDS.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept;
 repeated rows are judged alike; every rule reads the whole text; an empty table gives an empty
@@ -43,6 +45,8 @@ KEPT = 200_000
 #: Fitted bands: least documents of a language, and how many robust standard deviations below the median is too fine.
 LEAST_GROUP = 100
 DEVIATIONS = 3.0
+#: Languages whose bounds are broadcast; more of them are joined by shuffle.
+MOST_BANDS = 10_000
 #: Least standard deviation, as a share of the median, so that a language of copies has a band too.
 LEAST_SPREAD = 0.005
 SCRIPTS = ("other", "latin", "cyrillic", "greek", "arabic", "indic", "kana", "han", "hangul")
@@ -244,28 +248,38 @@ def fitted_bands(measured: DataFrame, least_group: int = LEAST_GROUP, deviations
     return quartiles.select("band", (F.col("q")[1] - deviations * spread).alias("least"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None, bands: dict[str, Band] | None = None, least_group: int = LEAST_GROUP, carry: bool = True) -> DataFrame:
-    """The figures of ``measure``, and least (of the fitted band, or null) and kept. The texts are read once: the figures are stored, then judged.
-
-    Without ``carry`` the struct row holds all columns but the text.
-    """
+def _banded(measured: DataFrame, docs: DataFrame, lang_col: str) -> DataFrame:
+    """With the column band: the language of the document, or else its script."""
     language = F.col(f"row.`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None)
-    measured = measure(docs, text_col, path, bands).withColumn("band", F.coalesce(F.concat(F.lit("lang "), language), F.concat(F.lit("script "), "script")))
-    if not carry:
-        measured = measured.withColumn("row", F.col("row").dropFields(f"`{text_col}`"))
-    measured = store(measured)
-    judged = measured.join(fitted_bands(measured, least_group), "band", "left")
+    return measured.withColumn("band", F.coalesce(F.concat(F.lit("lang "), language), F.concat(F.lit("script "), "script")))
+
+
+def _verdict(measured: DataFrame, bands: DataFrame) -> DataFrame:
+    """With the columns least (of the fitted band, or null) and kept."""
+    bands = store(bands)
+    judged = measured.join(F.broadcast(bands) if bands.count() <= MOST_BANDS else bands, "band", "left")
     fine = F.col("least").isNull() | (F.col("chars_per_token") >= F.col("least"))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("in_script_band") & fine)
 
 
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None, bands: dict[str, Band] | None = None, least_group: int = LEAST_GROUP) -> DataFrame:
+    """The figures of ``measure``, and least and kept; the struct row holds all columns but the text. The texts are read once: the figures are stored, then judged."""
+    measured = _banded(measure(docs, text_col, path, bands), docs, lang_col).withColumn("row", F.col("row").dropFields(f"`{text_col}`"))
+    measured = store(measured)
+    return _verdict(measured, fitted_bands(measured, least_group))
+
+
 def quality_report(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, the base counts, base_failed, kept, the fertility figures and the fitted bound."""
-    judged = judge(docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")), carry=False)
+    judged = judge(docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")))
     figures = (F.round(c, 6).alias(c) for c in ("chars_per_token", "byte_share", "entropy", "least"))
     return judged.select(F.col("row.doc_id").cast("long").alias("doc_id"), *LONGS, "base_failed", "kept", "script", *figures)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return judge(docs).where("kept").select("row.*")
+    """The documents that pass, with their own columns.
+
+    Two narrow passes over the texts, one for the fitted bounds and one that judges, so that no text is written or shuffled in between.
+    """
+    figures = _banded(measure(docs), docs, "lang").select("band", "chars_per_token", "base_failed")
+    return _verdict(_banded(measure(docs), docs, "lang"), fitted_bands(figures)).where("kept").select("row.*")
