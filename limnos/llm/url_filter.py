@@ -175,7 +175,9 @@ def _threshold(scored: DataFrame) -> float:
     weight, x, fit = weight.sum(1), np.stack([at, np.ones(len(at))], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (wanted - weight * p) - 1e-6 * fit)
+        curve, slope = weight * p * (1 - p), x.T @ (wanted - weight * p) - 1e-6 * fit
+        a, b, d = curve @ at**2 + 1e-6, curve @ at, curve.sum() + 1e-6
+        step = np.array([d * slope[0] - b * slope[1], a * slope[1] - b * slope[0]]) / (a * d - b * b)
         fit = fit + step * min(1.0, 2 / np.abs(step).max()) if np.abs(step).max() > 0 else fit
     return float(-fit[1] / fit[0]) if fit[0] > 1e-9 else 0.0
 
