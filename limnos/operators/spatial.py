@@ -1,18 +1,26 @@
-"""Planar geometry on columns: rings as arrays of points, grid joins, exact predicates, projection."""
+"""Planar geometry on columns: rings and lines as arrays of points, joins by quadtree and along segments, union, exact predicates, projection."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
+from limnos.operators import overlay
+from limnos.operators.quadtree import build
+from limnos.session import cut_lineage
+
 POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 #: polygons, each an array of rings, the first the shell
 MULTIPOLYGON = ArrayType(ArrayType(ArrayType(POINT)))
+#: lines, each an array of points
+MULTILINE = ArrayType(ArrayType(POINT))
 #: GRS80 and UTM zone 33 north, fixed values.
 GRS80_A, GRS80_F = 6378137.0, 1 / 298.257222101
 UTM_K0, UTM_EAST = 0.9996, 500_000.0
@@ -53,22 +61,11 @@ def envelope(geometry: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def cells(box: Column, width: float) -> Column:
-    """Grid cells that a box touches."""
-    index = lambda c: F.floor(c / width)
-    return F.flatten(F.transform(F.sequence(index(box["x0"]), index(box["x1"])), lambda i: F.transform(F.sequence(index(box["y0"]), index(box["y1"])), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
-
-
 def _rings(polygon) -> list[list[tuple[float, float]]]:
-    out = []
-    for ring in polygon:
-        r = [(float(p["x"]), float(p["y"])) for p in ring]
-        out.append(r[:-1] if len(r) > 1 and r[0] == r[-1] else r)
-    return [r for r in out if len(r) >= 3]
+    return [r for r in map(overlay.open_ring, polygon) if len(r) >= 3]
 
 
-def _signed(r) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1])) / 2
+_signed = overlay.signed_area
 
 
 def triangles(ring) -> list[tuple]:
@@ -111,116 +108,264 @@ def _clip(subject, clip) -> list:
     return out
 
 
-def overlap_area(a, b) -> float:
-    """Area of the intersection of two multipolygons: shells count, holes are taken off, by triangles."""
+def _convex(ring) -> bool:
+    turns = [(b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) for a, b, c in zip(ring, ring[1:] + ring[:1], ring[2:] + ring[:2])]
+    return (all(t > 0 for t in turns) or all(t < 0 for t in turns)) and len(ring) < 9
 
-    def signed_triangles(geometry):
-        return [(sign, t if _signed(list(t)) > 0 else t[::-1]) for polygon in geometry for i, ring in enumerate(_rings(polygon)) for sign in ((1 if i == 0 else -1),) for t in triangles(ring)]
 
+def convex_parts(polygons: list[list]) -> list[tuple[int, list]]:
+    """(1 for shells, -1 for holes; a counter-clockwise convex piece): rings that are convex as they are, others in triangles."""
+    out = []
+    for rings in polygons:
+        for k, ring in enumerate(rings):
+            for piece in [ring] if _convex(ring) else triangles(ring):
+                piece = list(piece)
+                out.append((1 if k == 0 else -1, piece if _signed(piece) > 0 else piece[::-1]))
+    return out
+
+
+def shared_area(a: list[tuple[int, list]], b: list[tuple[int, list]]) -> float:
+    """Area of the intersection of two sets of convex pieces, holes taken off."""
     total = 0.0
-    left, right = signed_triangles(a), signed_triangles(b)
-    for s, t in left:
+    for s, t in a:
         tx, ty = [p[0] for p in t], [p[1] for p in t]
-        for u, v in right:
+        for u, v in b:
             if max(p[0] for p in v) < min(tx) or min(p[0] for p in v) > max(tx) or max(p[1] for p in v) < min(ty) or min(p[1] for p in v) > max(ty):
                 continue
-            c = _clip(list(t), list(v))
+            c = _clip(t, v)
             if len(c) >= 3:
                 total += s * u * abs(_signed(c))
     return max(0.0, total)
 
 
-@pandas_udf(DoubleType())
-def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([overlap_area(x, y) for x, y in zip(a, b)], dtype=float)
+def _edges(polygons: list[list]) -> list[tuple]:
+    return [(p, q) for rings in polygons for r in rings for p, q in zip(r, r[1:] + r[:1])]
 
 
-def _segments(geometry):
-    return [(p, q) for polygon in geometry for r in _rings(polygon) for p, q in zip(r, r[1:] + r[:1])]
+def _edges_meet(first: list[tuple], second: list[tuple]) -> bool:
+    o = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    on = lambda a, b, c: min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
 
+    def meet(p, q, r, s) -> bool:
+        d1, d2, d3, d4 = o(p, q, r), o(p, q, s), o(r, s, p), o(r, s, q)
+        if ((d1 > 0) != (d2 > 0)) and ((d3 > 0) != (d4 > 0)) and d1 and d2 and d3 and d4:
+            return True
+        return (d1 == 0 and on(p, q, r)) or (d2 == 0 and on(p, q, s)) or (d3 == 0 and on(r, s, p)) or (d4 == 0 and on(r, s, q))
 
-def _gap(p, a, b) -> float:
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
-    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+    return any(meet(*s, *t) for s in first for t in second)
 
 
-@pandas_udf(DoubleType())
-def point_distance(geometry: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    """Distance of a point to the nearest edge of a multipolygon."""
-    return pd.Series([min((_gap((px, py), a, b) for a, b in _segments(g)), default=math.inf) for g, px, py in zip(geometry, x, y)], dtype=float)
+MEETING = StructType([StructField("meets", BooleanType()), StructField("area", DoubleType())])
 
 
-@pandas_udf(BooleanType())
-def touches_or_overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether two multipolygons share an area or a boundary point."""
+@pandas_udf(MEETING)
+def meeting(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Whether two multipolygons share an area or a boundary point, and the area: each pair is read once."""
+    out = []
+    for x, y in zip(a, b):
+        left, right = [_rings(p) for p in x], [_rings(p) for p in y]
+        shared = shared_area(convex_parts(left), convex_parts(right))
+        out.append((shared > 0 or _edges_meet(_edges(left), _edges(right)), shared))
+    return pd.DataFrame(out, columns=["meets", "area"])
 
-    def meet(p, q, r, s) -> bool:
-        o = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-        on = lambda a, b, c: min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
-        d1, d2, d3, d4 = o(p, q, r), o(p, q, s), o(r, s, p), o(r, s, q)
-        if ((d1 > 0) != (d2 > 0)) and ((d3 > 0) != (d4 > 0)) and d1 and d2 and d3 and d4:
-            return True
-        return (d1 == 0 and on(p, q, r)) or (d2 == 0 and on(p, q, s)) or (d3 == 0 and on(r, s, p)) or (d4 == 0 and on(r, s, q))
 
-    return pd.Series([overlap_area(x, y) > 0 or any(meet(*s, *t) for s in _segments(x) for t in _segments(y)) for x, y in zip(a, b)])
+def _grown(geometry: Column, by: float) -> Column:
+    b = envelope(geometry)
+    return F.struct((b["x0"] - by).alias("x0"), (b["y0"] - by).alias("y0"), (b["x1"] + by).alias("x1"), (b["y1"] + by).alias("y1"))
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, width: float, margin: float = 0.0) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0) -> DataFrame:
     """Pairs of ``left(id, geometry)`` and ``right(id, geometry)`` whose boxes, the left widened by the margin, meet: each pair once.
 
-    Boxes are dealt to grid cells; a pair is emitted only in the cell of the lower left corner of what the
-    boxes share, so no pair repeats and none needs to be removed.
+    Boxes go to the leaves of a quadtree over the lower left corners of both sides; a pair is emitted only
+    in the leaf of the lower left corner of what the boxes share, so no pair repeats and none needs to be removed.
     """
-
-    def side(df: DataFrame, s: str, grow: float) -> DataFrame:
-        b = envelope(F.col("geometry"))
-        box = F.struct((b["x0"] - grow).alias("x0"), (b["y0"] - grow).alias("y0"), (b["x1"] + grow).alias("x1"), (b["y1"] + grow).alias("y1"))
-        rows = df.select(F.col("id").alias(f"{s}_id"), F.col("geometry").alias(f"{s}_geometry"), box.alias(f"{s}_box"))
-        return rows.withColumn("c", F.explode(cells(F.col(f"{s}_box"), width))).withColumn("cx", F.col("c.cx")).withColumn("cy", F.col("c.cy")).drop("c")
-
-    j = side(left, "left", margin).join(side(right, "right", 0.0), ["cx", "cy"])
+    side = lambda df, s, grow: df.where(F.size("geometry") > 0).select(F.col("id").alias(f"{s}_id"), F.col("geometry").alias(f"{s}_geometry"), _grown(F.col("geometry"), grow).alias(f"{s}_box"))
+    a, b = side(left, "left", margin), side(right, "right", 0.0)
+    tree = build(a.select("left_box.x0", "left_box.y0").toDF("x", "y").union(b.select("right_box.x0", "right_box.y0").toDF("x", "y")))
+    j = tree.of_boxes(a, F.col("left_box"), salted=True).join(tree.of_boxes(b, F.col("right_box")).drop("level", "i", "j"), ["leaf", "salt"])
     x0, y0 = F.greatest("left_box.x0", "right_box.x0"), F.greatest("left_box.y0", "right_box.y0")
     meets = (x0 <= F.least("left_box.x1", "right_box.x1")) & (y0 <= F.least("left_box.y1", "right_box.y1"))
-    return j.where(meets & (F.floor(x0 / width) == F.col("cx")) & (F.floor(y0 / width) == F.col("cy"))).select("left_id", "left_geometry", "right_id", "right_geometry")
+    return j.where(meets & tree.holds(x0, y0)).select("left_id", "left_geometry", "right_id", "right_geometry")
 
 
-def overlaps(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
-    """(left_id, right_id, overlap_area_km2, left_ratio, right_ratio) of polygons in metres that overlap."""
-    pairs = grid_pairs(left, right, width).where(touches_or_overlaps("left_geometry", "right_geometry")).withColumn("a", intersection_area("left_geometry", "right_geometry"))
-    ratio = lambda side: F.col("a") / F.nullif(area(F.col(f"{side}_geometry")), F.lit(0.0))
-    return pairs.select("left_id", "right_id", (F.col("a") / 1e6).alias("overlap_area_km2"), ratio("left").alias("left_ratio"), ratio("right").alias("right_ratio"), F.lit("spatial_intersection").alias("determination_method"))
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id, overlap_area_km2, left_ratio, right_ratio) of polygons in metres that overlap or touch."""
+    pairs = box_pairs(left, right).withColumn("m", meeting("left_geometry", "right_geometry")).where("m.meets")
+    ratio = lambda side: F.col("m.area") / F.nullif(area(F.col(f"{side}_geometry")), F.lit(0.0))
+    return pairs.select("left_id", "right_id", (F.col("m.area") / 1e6).alias("overlap_area_km2"), ratio("left").alias("left_ratio"), ratio("right").alias("right_ratio"), F.lit("spatial_intersection").alias("determination_method"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
+def _near_boxes(points: DataFrame, polygons: DataFrame, radius: float) -> DataFrame:
+    """(point_id, x, y, polygon_id, geometry) of points in the leaves of boxes widened by the radius."""
+    p = points.where("x is not null and y is not null").select(F.col("id").alias("point_id"), "x", "y")
+    g = polygons.where(F.size("geometry") > 0).select(F.col("id").alias("polygon_id"), "geometry")
+    tree = build(p.select("x", "y"))
+    box = _grown(F.col("geometry"), radius)
+    return tree.of_points(p, F.col("x"), F.col("y")).join(tree.of_boxes(g, box).drop("level", "i", "j"), ["leaf", "salt"])
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """(point_id, polygon_id) for ``points(id, x, y)``."""
-    p = points.select(F.col("id").alias("point_id"), "x", "y", F.floor(F.col("x") / width).alias("cx"), F.floor(F.col("y") / width).alias("cy"))
-    g = polygons.select(F.col("id").alias("polygon_id"), "geometry", F.explode(cells(envelope(F.col("geometry")), width)).alias("c")).select("polygon_id", "geometry", "c.cx", "c.cy")
-    return p.join(g, ["cx", "cy"]).where(contains_point(F.col("geometry"), F.col("x"), F.col("y"))).select("point_id", "polygon_id")
+    return _near_boxes(points, polygons, 0.0).where(contains_point(F.col("geometry"), F.col("x"), F.col("y"))).select("point_id", "polygon_id")
 
 
-def within_distance(points: DataFrame, polygons: DataFrame, radius: float, width: float) -> DataFrame:
+def within_distance(points: DataFrame, polygons: DataFrame, radius: float) -> DataFrame:
     """(point_id, polygon_id, distance), 0 inside, for points no farther than the radius."""
-    p = points.select(F.col("id").alias("point_id"), "x", "y", F.floor(F.col("x") / width).alias("cx"), F.floor(F.col("y") / width).alias("cy"))
-    b = envelope(F.col("geometry"))
-    box = F.struct((b["x0"] - radius).alias("x0"), (b["y0"] - radius).alias("y0"), (b["x1"] + radius).alias("x1"), (b["y1"] + radius).alias("y1"))
-    g = polygons.select(F.col("id").alias("polygon_id"), "geometry", F.explode(cells(box, width)).alias("c")).select("polygon_id", "geometry", "c.cx", "c.cy")
-    j = p.join(g, ["cx", "cy"])
-    d = F.when(contains_point(F.col("geometry"), F.col("x"), F.col("y")), 0.0).otherwise(point_distance("geometry", "x", "y"))
+    j = _near_boxes(points, polygons, radius)
+    px, py = F.col("x"), F.col("y")
+    rings = F.flatten("geometry")
+    edges = F.flatten(F.transform(rings, lambda r: F.transform(F.sequence(F.lit(1), F.size(r)), lambda k: F.struct(F.element_at(r, k).alias("a"), F.element_at(r, F.when(k == F.size(r), 1).otherwise(k + 1)).alias("b")))))
+    nearest = F.array_min(F.transform(edges, lambda e: point_gap(px, py, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
+    d = F.when(contains_point(F.col("geometry"), px, py), 0.0).otherwise(nearest)
     return j.withColumn("distance", d).where(F.col("distance") <= radius).select("point_id", "polygon_id", "distance")
 
 
-def union_per_code(shapes: DataFrame, code: str) -> DataFrame:
-    """All polygons of a code as one multipolygon."""
-    return shapes.groupBy(code).agg(F.flatten(F.collect_list("geometry")).alias("geometry"))
+def point_gap(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of a point to a segment."""
+    dx, dy = bx - ax, by - ay
+    t = F.coalesce(F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    return F.hypot(px - ax - t * dx, py - ay - t * dy)
+
+
+def segment_gap(a: Column, b: Column) -> Column:
+    """Distance of two segments (ax, ay, bx, by): 0 where they cross, else that of the nearest end."""
+    turn = lambda s, x, y: (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
+    split = lambda s, t: turn(s, t["ax"], t["ay"]) * turn(s, t["bx"], t["by"]) < 0
+    gaps = [point_gap(p[x], p[y], s["ax"], s["ay"], s["bx"], s["by"]) for s, p in ((a, b), (b, a)) for x, y in (("ax", "ay"), ("bx", "by"))]
+    return F.when(split(a, b) & split(b, a), 0.0).otherwise(F.least(*gaps))
+
+
+def segments(shapes: DataFrame) -> DataFrame:
+    """(id, s(ax, ay, bx, by)) of ``shapes(id, geometry)``, MULTILINE or MULTIPOLYGON; a line of one point is a segment of no length."""
+    areal = isinstance(shapes.schema["geometry"].dataType.elementType.elementType, ArrayType)
+    paths = shapes.select("id", F.explode(F.flatten("geometry") if areal else F.col("geometry")).alias("p")).where(F.size("p") > 0)
+    n = F.size("p")
+    end = lambda k: F.element_at("p", F.when(k == n, F.lit(1) if areal else n).otherwise(k + 1))
+    last = n if areal else F.greatest(n - 1, F.lit(1))
+    edge = lambda k: F.struct(F.element_at("p", k)["x"].alias("ax"), F.element_at("p", k)["y"].alias("ay"), end(k)["x"].alias("bx"), end(k)["y"].alias("by"))
+    return paths.select("id", F.explode(F.transform(F.sequence(F.lit(1), last), edge)).alias("s"))
+
+
+def pieces(segs: DataFrame, width: float) -> DataFrame:
+    """(id, s, cx, cy): segments cut where they pass from one grid cell to the next, so that each piece lies in one cell."""
+    s = F.col("s")
+    cell = lambda v: F.floor(v / width)
 
+    def crossings(a: str, b: str) -> Column:
+        lo, hi = F.least(s[a], s[b]), F.greatest(s[a], s[b])
+        lines = F.when(cell(hi) > cell(lo), F.sequence(cell(lo) + 1, cell(hi))).otherwise(F.array().cast("array<bigint>"))
+        return F.filter(F.transform(lines, lambda k: F.try_divide(k * width - s[a], s[b] - s[a])), lambda t: (t > 0) & (t < 1))
 
-def associations(sites: DataFrame, lakes: DataFrame, buffer_m: float, width: float) -> DataFrame:
+    at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("ax", "bx"), crossings("ay", "by"))))
+    cut = segs.withColumn("t", at).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("t") - 1)))
+    where = lambda k, a, b: s[a] + F.element_at("t", k) * (s[b] - s[a])
+    one, two = F.col("k"), F.col("k") + 1
+    piece = F.struct(where(one, "ax", "bx").alias("ax"), where(one, "ay", "by").alias("ay"), where(two, "ax", "bx").alias("bx"), where(two, "ay", "by").alias("by"))
+    cut = cut.select("id", piece.alias("s"))
+    return cut.select("id", "s", cell((F.col("s.ax") + F.col("s.bx")) / 2).alias("cx"), cell((F.col("s.ay") + F.col("s.by")) / 2).alias("cy"))
+
+
+def geometries_within(left: DataFrame, right: DataFrame, radius: float, width: float | None = None) -> DataFrame:
+    """(left_id, right_id, distance) of ``left(id, geometry)`` and ``right(id, geometry)``, lines or polygons, no farther apart than the radius.
+
+    0 where they meet or one lies in the other. Segments are cut at the lines of a grid of ``width`` (four times
+    the radius unless given); a left piece is in one cell, a right piece in those within the radius, so two pieces
+    meet once. Cells with a large share of the left pieces are cut by salt. The least distance of a pair is taken
+    before the shuffle and after it.
+    """
+    width = width or 4 * radius
+    a, b = pieces(segments(left), width), pieces(segments(right), width)
+    counts = a.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(1, total // 1000)  # at most 1,000 cells have more
+    dense = F.broadcast(counts.where(F.col("n") > share).select("cx", "cy", F.ceil(F.col("n") / share).alias("salts")))
+    salted = lambda df: df.join(dense, ["cx", "cy"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    a = salted(a).withColumn("salt", F.pmod(F.xxhash64("s"), F.col("salts"))).drop("salts")
+    low = lambda p, q: F.floor((F.least(F.col(f"s.{p}"), F.col(f"s.{q}")) - radius) / width)
+    high = lambda p, q: F.floor((F.greatest(F.col(f"s.{p}"), F.col(f"s.{q}")) + radius) / width)
+    b = b.drop("cx", "cy").withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
+    b = salted(b).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    j = a.toDF(*(f"left_{c}" if c in ("id", "s") else c for c in a.columns)).join(b.toDF(*(f"right_{c}" if c in ("id", "s") else c for c in b.columns)), ["cx", "cy", "salt"])
+    near = j.select("left_id", "right_id", segment_gap(F.col("left_s"), F.col("right_s")).alias("distance")).where(F.col("distance") <= radius)
+    for inner, outer, ids in ((left, right, ("left_id", "right_id")), (right, left, ("right_id", "left_id"))):
+        areal = lambda df: isinstance(df.schema["geometry"].dataType.elementType.elementType, ArrayType)
+        if areal(outer):  # a first point of each part tells whether the part lies inside
+            part = F.explode(F.transform("geometry", lambda p: F.get(p, 0)) if areal(inner) else F.col("geometry")).alias("p")
+            first = inner.select("id", part).select("id", F.get("p", 0).alias("p")).select("id", "p.x", "p.y")
+            near = near.unionByName(points_in_polygons(first, outer).select(F.col("point_id").alias(ids[0]), F.col("polygon_id").alias(ids[1]), F.lit(0.0).alias("distance")))
+    return near.groupBy("left_id", "right_id").agg(F.min("distance").alias("distance"))
+
+
+#: Polygons and points of a partial union.
+FAN, FAN_POINTS = 24, 20_000
+
+
+def _partial_unions(fan: int):
+    """A map over rows (code, z, geometry) sorted by code: consecutive geometries of a code become one, at most ``fan``, or FAN_POINTS points and two."""
+    shape = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    points = lambda r: [{"x": x, "y": y} for x, y in [*r, r[0]]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        first, size = None, 0
+
+        def united() -> tuple:
+            return (*first, [[points(r) for r in p] for p in overlay.union([p for g in held for p in g])])
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (*kinds, shape))], names)
+
+        for batch in batches:
+            out, names, kinds = [], batch.schema.names, batch.schema.types[:2]
+            for code, z, geometry in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (code != first[0] or len(held) >= fan or (len(held) > 1 and size > FAN_POINTS)):
+                    out.append(united())
+                    held, size = [], 0
+                if not held:
+                    first = (code, z)
+                held.append([_rings(p) for p in geometry])
+                size += sum(len(r) for p in held[-1] for r in p)
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of([united()])
+
+    return run
+
+
+def union_per_code(shapes: DataFrame, code: str) -> DataFrame:
+    """(code, geometry): the union of all polygons of each code, overlaps dissolved.
+
+    A tree of partial unions: rows are dealt by ranges of code and place, each task unites consecutive
+    neighbours of a code, a few at a time, until one row a code is left. Ranges split a code of any
+    size, so no code is gathered in one task before its last union. Null geometries are left out.
+    """
+    b = envelope(F.col("geometry"))
+    place = F.floor((b["x0"] + b["x1"]) / 2 + (b["y0"] + b["y1"]) / 2)
+    rows = shapes.where(F.size("geometry") > 0).select(code, F.coalesce(place, F.lit(0)).alias("z"), "geometry")
+    shape = StructType([rows.schema[code], rows.schema["z"], StructField("geometry", MULTIPOLYGON)])
+    done = None
+    while True:
+        parts = max(1, rows.count() // (8 * FAN))
+        dealt = rows.repartitionByRange(parts, code, "z") if parts > 1 else rows.coalesce(1)
+        rows = cut_lineage(dealt.sortWithinPartitions(code, "z").mapInArrow(_partial_unions(FAN), shape))
+        open_codes = rows.groupBy(code).agg(F.count("*").alias("n")).where("n > 1").select(F.col(code).alias("_open"))
+        is_open = F.col(code).eqNullSafe(F.col("_open"))
+        closed = rows.join(open_codes, is_open, "left_anti")
+        done = closed if done is None else done.unionByName(closed)
+        rows = rows.join(open_codes, is_open, "left_semi")
+        if rows.isEmpty():
+            return done.select(code, "geometry")
+
+
+def associations(sites: DataFrame, lakes: DataFrame, buffer_m: float) -> DataFrame:
     """Status of sites near lakes: named (the site's text names the lake), inside, or near; the strongest per pair.
 
     ``sites(id, x, y, text)``, ``lakes(id, name, geometry)``.
     """
-    near = within_distance(sites.select("id", "x", "y"), lakes.select("id", "geometry"), buffer_m, width)
+    near = within_distance(sites.select("id", "x", "y"), lakes.select("id", "geometry"), buffer_m)
     j = near.join(sites.select(F.col("id").alias("point_id"), "text"), "point_id").join(lakes.select(F.col("id").alias("polygon_id"), "name"), "polygon_id")
     named = F.contains(F.lower("text"), F.lower("name"))
     status = F.when(named & (F.col("distance") == 0), "named_inside").when(F.col("distance") == 0, "inside").when(named, "named_near").otherwise("near")

@@ -215,7 +215,7 @@ def _overlaps(t: Frames, cell_m: float) -> None:
         ("water_body_protected_area", ("water_body", "water_body_id", "water_body_overlap_ratio"), ("protected_area", "protected_area_id", None)),
     ):
         if has(a) and has(b):
-            o = S.overlaps(shape(a, ka), shape(b, kb), cell_m)
+            o = S.overlaps(shape(a, ka), shape(b, kb))
             t[target] = o.select(F.col("left_id").alias(ka), F.col("right_id").alias(kb), "overlap_area_km2", F.col("left_ratio").alias(ra), *([F.col("right_ratio").alias(rb)] if rb else []), F.col("determination_method").alias("relation_method" if target == "water_body_protected_area" else "determination_method"))
     if "protected_area_assessment" in t:
         stated = t["protected_area_assessment"].where("surface_water_body_id is not null and protected_area_id is not null").select(F.col("surface_water_body_id").alias("water_body_id"), "protected_area_id", F.lit("source_reference").alias("relation_method")).distinct()
@@ -225,7 +225,7 @@ def _overlaps(t: Frames, cell_m: float) -> None:
         points = t["monitoring_station"].where("x is not null and y is not null").select(F.col("station_id").alias("id"), "x", "y")
         for target, name, key in (("station_groundwater_body", "groundwater_body", "groundwater_body_id"), ("station_catchment", "catchment", "catchment_id")):
             if has(name):
-                t[target] = S.points_in_polygons(points, shape(name, key), cell_m).select(F.col("point_id").alias("station_id"), F.col("polygon_id").alias(key), F.lit("spatial_intersection").alias("determination_method"))
+                t[target] = S.points_in_polygons(points, shape(name, key)).select(F.col("point_id").alias("station_id"), F.col("polygon_id").alias(key), F.lit("spatial_intersection").alias("determination_method"))
 
 
 def violations(t: Frames) -> DataFrame:

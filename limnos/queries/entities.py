@@ -261,7 +261,7 @@ def geo_overlaps(spark, d):
 
 
 def _overlaps(left, right):
-    o = S.overlaps(left, right, width=200.0)
+    o = S.overlaps(left, right)
     return o.select("left_id", "right_id", F.round(F.col("overlap_area_km2") * 1e6, 4).alias("area"), F.round("left_ratio", 6).alias("left_ratio"), F.round("right_ratio", 6).alias("right_ratio"))
 
 
@@ -272,7 +272,7 @@ def geo_points_in_polygons(spark, d):
 
 def _inside(left, right):
     corner = F.get(F.get(F.get("geometry", 0), 0), 0)
-    return S.points_in_polygons(left.select("id", corner["x"].alias("x"), corner["y"].alias("y")), right, 200.0)
+    return S.points_in_polygons(left.select("id", corner["x"].alias("x"), corner["y"].alias("y")), right)
 
 
 @query(f"""
@@ -284,7 +284,7 @@ def geo_within_distance(spark, d):
 
 def _near(left, right):
     corner = F.get(F.get(F.get("geometry", 0), 0), 0)
-    return S.within_distance(left.select("id", corner["x"].alias("x"), corner["y"].alias("y")), right, 50.0, 200.0).withColumn("distance", F.round("distance", 6))
+    return S.within_distance(left.select("id", corner["x"].alias("x"), corner["y"].alias("y")), right, 50.0).withColumn("distance", F.round("distance", 6))
 
 
 def _every_customer(name: str) -> str:
@@ -305,3 +305,51 @@ def geo_points_in_polygons_all(spark, d):
 @query(_every_customer("geo_within_distance"))
 def geo_within_distance_all(spark, d):
     return _near(*_boxes(spark, d, "true"))
+
+
+_SLABS = """
+with b as (select c_nationkey as code, (c_custkey * 37) % 5000 + 0.5 as x, (c_custkey * 91) % 5000 + 0.25 as y, c_custkey % 7 * 30 + 60 as w, c_custkey % 5 * 40 + 40 as h from customer),
+e as (select code, x as v from b union select code, x + w from b), slab as (select code, v as x0, lead(v) over (partition by code order by v) as x1 from e),
+r as (select s.code, x0, x1, y as y0, y + h as y1 from slab s join b on b.code = s.code and b.x <= x0 and b.x + b.w >= x1 where x1 is not null),
+m as (select *, coalesce(max(y1) over (partition by code, x0 order by y0, y1 rows between unbounded preceding and 1 preceding), y0) as seen from r)
+select code, cast(round(sum((x1 - x0) * greatest(0, y1 - greatest(y0, seen))), 2) as double) as area from m group by code"""
+
+
+@query(_SLABS)
+def geo_union_area(spark, d):
+    """Area of each nation's union of overlapping boxes; the SQL adds up what is covered in slabs between edges."""
+    k = F.col("c_custkey")
+    boxes = t(spark, d, "customer").select("c_nationkey", *_box("c_custkey", (k * 37) % 5000 + 0.5, (k * 91) % 5000 + 0.25, k % 7 * 30 + 60, k % 5 * 40 + 40))
+    return S.union_per_code(boxes.withColumnRenamed("c_nationkey", "code"), "code").select("code", F.round(S.area(F.col("geometry")), 2).alias("area"))
+
+
+#: Lines with one corner, as two boxes without width or height.
+_BENT = "(select c_custkey as id, v.x, v.y, v.w, v.h from (select c_custkey, (c_custkey * 37) % 5000 + 0.5 as x, (c_custkey * 91) % 5000 + 0.25 as y from customer) c, lateral (values (x, y, 60, 0), (x + 60, y, 0, 400)) v(x, y, w, h))"
+_BARS = "(select s_suppkey as id, (s_suppkey * 53) % 5000 as x, (s_suppkey * 71) % 5000 as y, 900 as w, 0 as h from supplier)"
+
+
+def _gaps(right: str) -> str:
+    return f"""
+with j as (select a.id as left_id, b.id as right_id, greatest(b.x - a.x - a.w, a.x - b.x - b.w, 0) as dx, greatest(b.y - a.y - a.h, a.y - b.y - b.h, 0) as dy from {_BENT} a, {right} b)
+select left_id, right_id, round(min(sqrt(dx * dx + dy * dy)), 6) as distance from j where dx * dx + dy * dy <= 2500 group by 1, 2"""
+
+
+def _bent(spark, d):
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    x, y = (F.col("c_custkey") * 37) % 5000 + 0.5, (F.col("c_custkey") * 91) % 5000 + 0.25
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(F.array(point(x, y), point(x + 60, y), point(x + 60, y + 400))).alias("geometry"))
+
+
+@query(_gaps(_B))
+def geo_lines_near_polygons(spark, d):
+    """Bent lines and boxes no more than 50 apart, 0 where a line enters a box or lies in it."""
+    return S.geometries_within(_bent(spark, d), _boxes(spark, d, "true")[1], 50.0).withColumn("distance", F.round("distance", 6))
+
+
+@query(_gaps(_BARS))
+def geo_line_pairs(spark, d):
+    """Bent lines and long bars no more than 50 apart."""
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    x, y = (F.col("s_suppkey") * 53) % 5000, (F.col("s_suppkey") * 71) % 5000
+    bars = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.array(point(x, y), point(x + 900, y))).alias("geometry"))
+    return S.geometries_within(_bent(spark, d), bars, 50.0).withColumn("distance", F.round("distance", 6))
