@@ -1,12 +1,9 @@
-"""Streaming ingestion: landing folders into deduplicated tables, and event-time windows. An addition to the batch engine."""
+"""Event-time windows and sessions over streams; ``state`` holds what is keyed by content. An addition to the batch engine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from limnos.operators.relational import new_rows
 
 
 def windowed_counts(events: DataFrame, time: str, width: str, late: str, slide: str | None = None, keys: list[str] | None = None, value: str | None = None) -> DataFrame:
@@ -21,15 +18,3 @@ def windowed_counts(events: DataFrame, time: str, width: str, late: str, slide:
 def sessions(events: DataFrame, time: str, gap: str, late: str, key: str) -> DataFrame:
     base = events.withWatermark(time, late) if events.isStreaming else events
     return base.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def append_new(spark: SparkSession, stream: DataFrame, table: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Appends rows with unseen keys to a Parquet table, batch by batch; a batch that is run again adds nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-        there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        rows = new_rows(batch, spark.read.schema(batch.schema).parquet(table), keys) if there else batch.dropDuplicates(keys)
-        rows.write.mode("append").parquet(table)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

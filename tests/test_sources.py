@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from limnos.sources import readers as rd
 from limnos.sources import sinks
 from limnos.streaming import ingest
+from limnos.streaming.state import append_first
 
 
 def rows(df, *columns):
@@ -102,9 +103,9 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, at(1), "a"), (2, at(2), "b")], "id int, ts timestamp, k string").write.parquet(f"{src}/1")
     schema = spark.read.parquet(f"{src}/1").schema
     stream = lambda: spark.readStream.schema(schema).parquet(f"{src}/*")
-    ingest.append_new(spark, stream(), table, ["id"], str(tmp_path / "c1")).awaitTermination(60)
+    append_first(spark, stream(), table, ["id"], "ts", str(tmp_path / "c1")).awaitTermination(60)
     spark.createDataFrame([(2, at(2), "b"), (3, at(50), "a")], "id int, ts timestamp, k string").write.parquet(f"{src}/2")
-    ingest.append_new(spark, stream(), table, ["id"], str(tmp_path / "c1")).awaitTermination(60)
+    append_first(spark, stream(), table, ["id"], "ts", str(tmp_path / "c1")).awaitTermination(60)
     assert rows(spark.read.parquet(table), "id") == [(1,), (2,), (3,)]
     q = ingest.windowed_counts(stream(), "ts", "10 minutes", "5 minutes", keys=["k"]).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
