@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,13 +87,16 @@ def local_topics(text: Column, names: list[str], topics: list[str], reach: int =
     return F.array_distinct(F.flatten(F.transform(windows, lambda w: T.matched_terms(w, topics))))
 
 
-def assess(text: Column, names: list[str], topics: list[str], excluded: list[str], priority: Column, supporting: Column, status: Column, needs_confirmation: bool = False) -> Column:
-    """relevant, supporting, uncertain or irrelevant."""
+def assess(text: Column, names: list[str], topics: list[str], excluded: list[str], priority: Column, supporting: Column, status: Column, needs_confirmation: bool = False, geography: list[str] | None = None) -> Column:
+    """relevant, supporting, uncertain or irrelevant; with ``geography``, a text that names none of its terms is no more than uncertain."""
     identity, hits = F.size(T.matched_terms(text, names)) > 0, F.size(local_topics(text, names, topics)) > 0
     against = F.size(T.matched_terms(text, excluded)) > 0 if excluded else F.lit(False)
     out = F.when(against, "uncertain").when(identity & hits, "relevant").when(supporting, "supporting").when(identity | (F.trim(text) == "") | (~hits & (priority >= 60)), "uncertain").otherwise("irrelevant")
     out = F.when((out == "irrelevant") & (status != "ok"), "uncertain").otherwise(out)
-    return F.when(out.isin("relevant", "supporting"), "uncertain").otherwise(out) if needs_confirmation else out
+    gate = F.lit(needs_confirmation)
+    if geography is not None:
+        gate = gate | (F.size(T.matched_terms(text, geography)) == 0)
+    return F.when(out.isin("relevant", "supporting") & gate, "uncertain").otherwise(out)
 
 
 def links_of_text(text: Column) -> Column:
@@ -106,12 +111,46 @@ def bibliographic_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\((?:19|20)\d{2}[a-z]?\)") & x.rlike(r"[\p{Lu}][\p{L}-]+,\s*\p{Lu}\.|Hrsg|Verlag|ISBN|DOI"))
 
 
-def passages(text: Column, terms: list[str], before: int = 240, after: int = 540, n: int = 6) -> Column:
-    """Windows around term hits, distinct, those with most terms first."""
-    pattern = rf"(?is)(.{{0,{before}}}(?:{'|'.join(terms)}).{{0,{after}}})"
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)))
-    scored = F.transform(found, lambda w, i: F.struct((-F.size(T.matched_terms(w, terms))).alias("s"), i.alias("i"), w.alias("w")))
-    return F.slice(F.transform(F.array_sort(scored), lambda x: x["w"]), 1, n)
+def term_positions(text: Column, term: str) -> Column:
+    """Array of (start, end), from 0, where the term stands between other characters than letters and digits; its blanks match any white space."""
+    pattern = r"(?iU)(?<!\w)" + r"\s+".join(map(re.escape, term.split())) + r"(?!\w)"
+    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    sizes = F.zip_with(F.transform(F.slice(parts, 1, F.size(hits)), F.length), F.transform(hits, F.length), lambda p, h: F.struct(p.alias("p"), h.alias("h")))
+    spans = "array<struct<start:int,end:int>>"
+    step = lambda acc, x: F.struct((acc["at"] + x["p"] + x["h"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["h"]).alias("end"))).cast(spans).alias("out"))
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), step, lambda acc: acc["out"])
+
+
+def passages(fragments: DataFrame, names: list[str], topics: list[str], cap: int = 12_000, most: int = 30, before: int = 240, after: int = 540, spacing: int = 300) -> DataFrame:
+    """(doc, evidence_id, locator, offset, text): original passages around the names in ``fragments(doc, number, locator, text)``.
+
+    A window of ``before`` and ``after`` characters around each name is widened to whole words. Equal passages of a
+    locator count once. Passages go by their score, 3 and 1 a topic, then by place; the beginnings of the first and last
+    fragment come last. One is taken unless it would pass ``cap`` characters in all, or begins less than ``spacing``
+    from one of its locator that was taken; ``most`` at most. Null texts are empty.
+    """
+    f = fragments.select("doc", "number", "locator", F.coalesce("text", F.lit("")).alias("t"))
+    t = F.col("t")
+    found = f.withColumn("m", F.explode(F.concat(*(term_positions(t, n) for n in names))))
+    low, high = F.greatest(F.col("m.start") - before, F.lit(0)), F.least(F.length(t), F.col("m.end") + after)
+    space_before = F.instr(F.reverse(F.substr(t, F.lit(1), low)), " ")
+    start = F.when((low == 0) | (space_before == 0), 0).otherwise(low - space_before + 1)
+    space_after = F.call_function("locate", F.lit(" "), t, high + 1)
+    end = F.when((high == F.length(t)) | (space_after == 0), F.length(t)).otherwise(space_after - 1)
+    quoted = found.withColumns({"start": start, "end": end}).withColumn("quote", F.substr(t, F.col("start") + 1, F.col("end") - F.col("start")))
+    quoted = quoted.where(F.size(T.matched_terms(F.col("quote"), names)) > 0).withColumn("norm", T.collapse_norm(F.col("quote")))
+    once = quoted.groupBy("doc", "locator", "norm").agg(F.min(F.struct("number", "m.start", F.col("start").alias("offset"), F.col("quote").alias("text"))).alias("c"))
+    score = 3 + F.size(T.matched_terms(F.col("c.text"), topics))
+    candidate = lambda s, number, at, m, text: F.struct((-s).cast("int").alias("score"), number.cast("long").alias("number"), at.cast("int").alias("offset"), m.cast("int").alias("m"), F.col("locator"), text.alias("text"))
+    windows = once.select("doc", candidate(score, F.col("c.number"), F.col("c.offset"), F.col("c.start"), F.col("c.text")).alias("c"))
+    ends = f.groupBy("doc").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    edges = f.join(ends, "doc").where(F.col("number").isin(F.col("first"), F.col("last")) & (F.trim(t) != "")).select("doc", candidate(F.lit(0), F.col("number"), F.lit(0), F.lit(0), F.substr(t, F.lit(1), F.lit(1000))).alias("c"))
+    shape = "array<struct<locator:string,offset:int,text:string>>"
+    fits = lambda acc, c: (acc["used"] + F.length(c["text"]) <= cap) & (F.size(acc["out"]) < most) & ~F.exists(acc["out"], lambda x: (x["locator"] == c["locator"]) & (F.abs(x["offset"] - c["offset"]) < spacing))
+    taken = lambda acc, c: F.struct((acc["used"] + F.length(c["text"])).alias("used"), F.array_append(acc["out"], F.struct(c["locator"].alias("locator"), c["offset"].alias("offset"), c["text"].alias("text"))).cast(shape).alias("out"))
+    ordered = windows.union(edges).groupBy("doc").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    chosen = F.aggregate("c", F.struct(F.lit(0).alias("used"), F.array().cast(shape).alias("out")), lambda acc, c: F.when(fits(acc, c), taken(acc, c)).otherwise(acc), lambda acc: acc["out"])
+    return ordered.select("doc", F.posexplode(chosen).alias("k", "p")).select("doc", F.concat(F.lit("e"), (F.col("k") + 1).cast("string")).alias("evidence_id"), "p.locator", "p.offset", "p.text")
 
 
 def enqueue(old: DataFrame, new: DataFrame) -> DataFrame:

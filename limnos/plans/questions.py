@@ -177,8 +177,43 @@ def interpret(key: str, rows: DataFrame) -> str:
     }[key]()
 
 
-_READS = re.compile(r"\s*(select|with|values|from|table)\b", re.I)
-_WRITES = re.compile(r"\b(create|delete|drop|merge|insert|update|alter|truncate|set|load|call|grant|deny|revoke|refresh|cache|uncache|use|add|execute)\b", re.I)
+#: Functions that run code of the machine, and plan nodes that do.
+_RUNS_CODE = {"reflect", "java_method", "try_reflect"}
+_RUNS_SCRIPTS = "ScriptTransformation"
+
+
+def _each(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def only_reads(spark: SparkSession, statement: str) -> bool:
+    """Whether Spark's parser takes the text for one statement that only reads: no command, insert or script anywhere in its plan.
+
+    What stands in quotes, comments or names is no matter, since the plan is judged and not the text. Raises ValueError if it cannot be parsed.
+    """
+    jvm = spark.sparkContext._jvm
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except Exception as e:
+        raise ValueError(f"not a statement: {str(e)[:200]}") from e
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    kind = lambda name: jvm.java.lang.Class.forName(name)
+    writes = [kind(logical + n) for n in ("Command", "ParsedStatement", "CompoundPlanStatement")]
+    a_plan, a_function = kind(logical + "LogicalPlan"), kind("org.apache.spark.sql.catalyst.analysis.UnresolvedFunction")
+    subquery = kind("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        if any(w.isInstance(node) for w in writes) or _RUNS_SCRIPTS in node.getClass().getSimpleName():
+            return False
+        if a_function.isInstance(node) and _each(node.nameParts())[-1].lower() in _RUNS_CODE:
+            return False
+        if subquery.isInstance(node):
+            stack.append(node.plan())
+        stack += _each(node.children())
+        if a_plan.isInstance(node):
+            stack += _each(node.expressions()) + [x for x in _each(node.innerChildren()) if a_plan.isInstance(x)]
+    return True
 
 
 class QuestionService:
@@ -200,8 +235,7 @@ class QuestionService:
         return {"intent": key, "title": CATALOGUE[key].title, "columns": rows.columns, "interpretation": interpret(key, rows), "rows": rows}
 
     def read_only(self, statement: str) -> DataFrame:
-        bare = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S).strip().rstrip(";")
-        if not _READS.match(bare) or _WRITES.search(bare) or ";" in bare:
+        if not only_reads(self.spark, statement):
             raise ValueError("only one reading statement is allowed")
         return self.spark.sql(statement.strip().rstrip(";"))
 

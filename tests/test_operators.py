@@ -133,8 +133,8 @@ def test_urls_and_priorities(spark):
     links = spark.createDataFrame([("http://a/1", "Salzsee Gutachten", "Phosphor", False, True), ("http://a/2", "Impressum", "", False, False), ("http://a/3", "Arendsee", "", False, False), ("http://a/4", "weiter", "", True, False)], "u string, l string, c string, n boolean, p boolean")
     assert [r.w for r in links.select(C.link_priority(F.col("u"), F.col("l"), F.col("c"), F.col("n"), F.col("p"), ["Salzsee"], ["Phosphor"]).alias("w")).collect()] == [95, 0, 12, 0]
     text = spark.createDataFrame([("Der Salzsee hat Phosphor. https://a.de/x, doi 10.1234/ab.c",)], "t string")
-    r = text.select(C.local_topics(F.col("t"), ["Salzsee"], ["Phosphor", "Blei"]).alias("a"), C.links_of_text(F.col("t")).alias("b"), C.assess(F.col("t"), ["Salzsee"], ["Phosphor"], [], F.lit(50), F.lit(False), F.lit("ok")).alias("c"), C.passages(F.col("t"), ["Phosphor"]).alias("d")).first()
-    assert r.a == ["Phosphor"] and r.b == ["https://a.de/x", "https://doi.org/10.1234/ab.c"] and r.c == "relevant" and len(r.d) == 1
+    r = text.select(C.local_topics(F.col("t"), ["Salzsee"], ["Phosphor", "Blei"]).alias("a"), C.links_of_text(F.col("t")).alias("b"), C.assess(F.col("t"), ["Salzsee"], ["Phosphor"], [], F.lit(50), F.lit(False), F.lit("ok")).alias("c"), C.assess(F.col("t"), ["Salzsee"], ["Phosphor"], [], F.lit(50), F.lit(False), F.lit("ok"), geography=["Sachsen"]).alias("d"), C.assess(F.col("t"), ["Salzsee"], ["Phosphor"], [], F.lit(50), F.lit(False), F.lit("ok"), geography=["doi"]).alias("e")).first()
+    assert r.a == ["Phosphor"] and r.b == ["https://a.de/x", "https://doi.org/10.1234/ab.c"] and (r.c, r.d, r.e) == ("relevant", "uncertain", "relevant")
     assert rows(spark.createDataFrame([("Müller, A. (1999) See.\nText (2001)",)], "t string").select(F.size(C.bibliographic_lines(F.col("t"))).alias("n")), "n") == [(1,)]
 
 
