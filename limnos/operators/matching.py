@@ -34,25 +34,63 @@ def nearest(points: DataFrame, targets: DataFrame, max_distance: float) -> DataF
     return points.select("id").join(best, "id", "left").select("id", F.col("b.target").alias("target"), F.col("b.distance").alias("distance"), status.alias("status"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.9, least: int = 5) -> DataFrame:
-    """Pairs (name, other, similarity) with a Ratcliff-Obershelp ratio of at least the threshold.
+#: Segments beyond those that unmatched characters can spoil: so many of the most common ones need no look-up.
+SPARE_SEGMENTS = 4
+
+
+def _segment_counts(a: Column, threshold: float) -> tuple[Column, Column]:
+    """(segments of a name of length a, how many of them are looked up)."""
+    longest = F.floor(a * (2 - threshold) / threshold + 1e-9)
+    spoilt = F.floor((1 - threshold) * (a + longest) + 1e-9)
+    segments = F.least(a, spoilt + 1 + SPARE_SEGMENTS)
+    return segments.cast("int"), F.least(spoilt + 1, segments).cast("int")
+
+
+def _segment(name: Column, a: Column, n: Column, i: Column, shift: Column | None = None) -> Column:
+    """The i-th of n segments of a name of length a; with a shift, what stands as much later in another name."""
+    start = F.floor(i * a / n)
+    size = F.floor((i + 1) * a / n) - start
+    return F.substr(name, (start + 1 + (shift if shift is not None else 0)).cast("int"), size.cast("int"))
 
-    Names are short, so two bounds do most of the work: 2 * min / (a + b) bounds the ratio by the lengths, and
-    a ratio r leaves at most (1 - r) * (a + b) characters unmatched, so cutting the shorter name into one
-    more stretch than there can be unmatched characters leaves one intact: some q-gram is shared. Candidates
-    share a q-gram, q from the lengths; then the character multisets are compared, then the ratio itself.
+
+def name_candidates(shorter: DataFrame, longer: DataFrame, threshold: float = 0.9, least: int = 5) -> DataFrame:
+    """(short, long): pairs of ``name`` of the two tables, the first no longer, that can have a ratio of ``threshold``.
+
+    A ratio r of names of lengths a <= b leaves at most (1 - r) * (a + b) characters unmatched in both, and each spoils one
+    of the shorter name's segments at most. With SPARE_SEGMENTS more segments than can be spoilt, that many more stay
+    whole, so it does to look up the rarest ones and leave out the most common: each is looked for in the
+    longer name at its place, shifted by no more than the unmatched characters allow.
     """
-    q = max(1, int(least * threshold / (least * 2 * (1 - threshold) + 1)))
+    names = lambda df: df.select("name").where(F.length("name") >= least).distinct()
+    a, n, keep = F.col("a"), F.col("n"), F.col("keep")
+    segments, looked_up = _segment_counts(F.length("name"), threshold)
+    short = names(shorter).select(F.col("name").alias("short"), F.length("name").alias("a"), segments.alias("n"), looked_up.alias("keep"))
+    cut = short.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("segment", _segment(F.col("short"), a, n, F.col("i")))
+    often = cut.groupBy("a", "i", "segment").agg(F.count("*").alias("often"))
+    rare = cut.join(often, ["a", "i", "segment"]).withColumn("r", F.row_number().over(Window.partitionBy("short").orderBy("often", "i"))).where(F.col("r") <= keep).select("short", "a", "i", "segment")
+    b = F.length("name")
+    low = F.greatest(F.lit(1), F.ceil(b * threshold / (2 - threshold) - 1e-9)).cast("int")
+    lengths = names(longer).withColumn("a", F.explode(F.sequence(low, b))).withColumn("n", _segment_counts(a, threshold)[0]).withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+    matched = threshold * (a + b) / 2 - 1e-9
+    start, end = F.floor(F.col("i") * a / n), F.floor((F.col("i") + 1) * a / n)
+    back, ahead = F.least(start, F.floor(a - matched)), F.least(b - end, F.floor(b - matched))
+    shifts = F.sequence((-back).cast("int"), F.greatest(ahead, -back).cast("int"))
+    probes = lengths.withColumn("segment", F.explode(F.array_distinct(F.transform(shifts, lambda s: _segment(F.col("name"), a, n, F.col("i"), s)))))
+    return probes.select(F.col("name").alias("long"), "a", "i", "segment").join(rare, ["a", "i", "segment"]).select("short", "long").distinct()
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col("name").alias(name)).where(F.length(name) >= least).distinct()
-        return rows.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - q + 1), lambda i: F.substr(F.col(name), i, F.lit(q))))))
 
-    la, lb = F.length("name"), F.length("other")
-    pairs = grams(left, "name").join(grams(right, "other"), "gram").where((2 * F.least(la, lb) / (la + lb) >= threshold) & (F.col("name") != F.col("other"))).select("name", "other").distinct()
+def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.9, least: int = 5) -> DataFrame:
+    """Pairs (name, other, similarity) of different names with a Ratcliff-Obershelp ratio of at least the threshold.
+
+    Candidates come from ``name_candidates``, the shorter name on either side; then the character multisets are
+    compared, then the ratio itself.
+    """
+    one = name_candidates(left, right, threshold, least).toDF("name", "other")
+    two = name_candidates(right, left, threshold, least).toDF("other", "name").where(F.length("other") < F.length("name"))
+    pairs = one.unionByName(two).where(F.col("name") != F.col("other"))
     counts = lambda c: F.split(F.col(c), "")
-    shared = F.aggregate(F.array_distinct(F.filter(counts("name"), lambda x: x != "")), F.lit(0), lambda a, x: a + F.least(F.size(F.filter(counts("name"), lambda y: y == x)), F.size(F.filter(counts("other"), lambda y: y == x))))
-    likely = pairs.where(2 * shared / (la + lb) >= threshold)
+    shared = F.aggregate(F.array_distinct(F.filter(counts("name"), lambda x: x != "")), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter(counts("name"), lambda y: y == x)), F.size(F.filter(counts("other"), lambda y: y == x))))
+    likely = pairs.where(2 * shared / (F.length("name") + F.length("other")) >= threshold - 1e-9)
     return likely.withColumn("similarity", T.ratcliff_ratio("name", "other")).where(F.col("similarity") >= threshold)
 
 

@@ -214,3 +214,22 @@ def page_parse(spark, d):
     from limnos.sources.readers import parse_page
 
     return t(spark, d, "pages").select("page_id", parse_page("html").alias("p")).select("page_id", "p.title", F.size("p.links").alias("links"), F.length("p.text").alias("text_chars"))
+
+
+@query(r"""
+with recursive d as (select doc_id as doc, coalesce(text, '') as t from documents), p as (select doc, t, regexp_split_to_array(t, '(?i)\bwith\b') as parts from d),
+m as (select doc, t, cast(list_sum(list_transform(parts[1 : i], lambda x: length(x))) as bigint) + 4 * (i - 1) as s from (select *, unnest(range(1, len(parts))) as i from p)),
+b as (select *, greatest(0, s - 240) as low, least(length(t), s + 544) as high from m),
+w as (select doc, s, t, case when low = 0 or strpos(reverse(left(t, low)), ' ') = 0 then 0 else low - strpos(reverse(left(t, low)), ' ') + 1 end as a, case when high = length(t) or strpos(substr(t, high + 1), ' ') = 0 then length(t) else high + strpos(substr(t, high + 1), ' ') - 1 end as z from b),
+q as (select doc, s, a, substr(t, a + 1, z - a) as text, trim(regexp_replace(replace(lower(trim(substr(t, a + 1, z - a))), 'ß', 'ss'), '\s+', ' ', 'g'), ' .,;:') as norm from w),
+c as (select doc, s, a, text, 3 + cast(regexp_matches(norm, '(^|[^\p{L}\p{N}_])and($|[^\p{L}\p{N}_])') as int) + cast(regexp_matches(norm, '(^|[^\p{L}\p{N}_])mit($|[^\p{L}\p{N}_])') as int) as score from q qualify row_number() over (partition by doc, norm order by s) = 1
+  union all select doc, 0, 0, left(t, 1000), 0 from d where trim(t) <> ''),
+o as (select *, row_number() over (partition by doc order by score desc, a, s) as k from c),
+f(doc, k, used, places, taken, a, text) as (select doc, 0, 0, cast([] as bigint[]), false, cast(0 as bigint), '' from d
+  union all select o.doc, o.k, case when ok then used + length(o.text) else used end, case when ok then list_append(places, o.a) else places end, ok, o.a, o.text
+  from (select f.doc, f.k, f.used, f.places, f.used + length(o.text) <= 12000 and len(f.places) < 30 and len(list_filter(f.places, lambda x: abs(x - o.a) < 300)) = 0 as ok from f join o on o.doc = f.doc and o.k = f.k + 1) g join o on o.doc = g.doc and o.k = g.k + 1)
+select doc, 'e' || len(places) as evidence_id, cast(a as int) as "offset", text from f where taken""")
+def evidence_passages(spark, d):
+    """Passages around a name in every document, the best first, spaced and up to a size."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("number"), F.lit("text").alias("locator"), "text")
+    return C.passages(docs, ["with"], ["and", "mit"]).select("doc", "evidence_id", "offset", "text")
