@@ -1,24 +1,24 @@
 """License scan: phrases by place, and an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. A block is BLOCK_LINES consecutive lines of a text (fewer at its
-end), starting at any line, as a set of words; so notices wrapped at the usual width are whole
-in some block. A template is contained in a block when at least THRESHOLD of its distinct words
-are in the block; the score is that share. Templates that share most of their words are told
-apart by MARKS: words that the block must hold, and words of a rival that it must not. The join
-finds every such pair:
+DataFrame functions only. For a template of n words, repeats counted, a block is a run of ceil(n / THRESHOLD)
+consecutive words of a text, at any place and over any line feeds, as a set of words. So a notice is
+found however it is wrapped, and words strewn over a text are not one. A template is contained in a block when
+at least THRESHOLD of its distinct words are in the block; the score is that share. Templates that share most of
+their words are told apart by MARKS: words that the block must hold, and words of a rival that
+neither the block nor the REACH words around it may hold. The join finds every such pair:
 
 * One pass reads the texts. It counts words, finds the phrases and keeps the *skeleton* of each
-  text: its line feeds and the words that templates or marks know. No other word can be shared.
-* Words are ordered by how many lines of the corpus hold them, rarest first, over all lines.
-* Prefix filter. A block that contains n - k words of a template holds one of its k + 1
-  rarest; only those words are joined on.
-* Length filter. A block whose skeleton has fewer distinct words than the template needs is dropped.
-* Positional filter. If the first shared word of the order stands at place p of the template,
-  at most n - p words can still be shared; pairs that fall short are dropped before the
-  words are compared in full.
+  text: the words that templates or marks know, and a dot for any other word; no other word can be
+  shared. Runs of dots longer than any block and its surroundings are cut to that length.
+* Words are ordered by how many texts of the corpus hold them, rarest first, over all texts.
+* Prefix filter. A block that contains n - k distinct words of a template holds one of its k + 1
+  rarest; only around those words are blocks looked at.
+* Length filter. Words around the rare one that cannot fill a block are dropped.
+* Positional filter. A block begins no farther before the rare word than it is long, and with a word
+  of the template; so what stands around bounds what can be shared, before blocks are compared.
 
 The template side is fixed and small, so it is broadcast; blocks never shuffle, only the few
-candidate pairs are grouped, by row.
+pairs found are grouped, by row.
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after folding A-Z. Defined results: null
 and empty texts have no words, no labels and score 0; repeated rows are judged alike;
@@ -57,7 +57,7 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
-#: Of templates that resemble others: words a block must hold, and words it must not.
+#: Of templates that resemble others: words a block must hold, and words that it and its surroundings must not.
 MARKS = {
     "gpl": (["general"], ["lesser", "library", "affero"]),
     "lgpl": (["lesser"], []),
@@ -68,10 +68,12 @@ MARKS = {
     "cc-by-nc-sa": (["noncommercial", "sharealike"], []),
 }
 THRESHOLD = 0.8
-#: Lines in a block.
-BLOCK_LINES = 4
-#: Between words, before folding: line feeds apart.
-_GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words on either side of a block that must not be a rival's mark.
+REACH = 8
+#: Between words, before folding.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A character for each known word, from here on.
+_FIRST_SIGN = 0xE000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,18 +81,9 @@ def _fold(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def _replace(text: Column, old: str, new: str) -> Column:
-    return F.replace(text, F.lit(old), F.lit(new))
-
-
-def _lines_framed(text: Column) -> Column:
-    """Every word as `<word>`, in its own case; line feeds stay, and there may be empty frames. The frame characters are never part of words."""
-    return F.concat(F.lit("<"), _replace(F.regexp_replace(text, _GAP, "><"), "\n", ">\n<"), F.lit(">"))
-
-
-def _framed(lines: Column) -> Column:
-    """The same without line feeds and empty frames: the words of the text in order."""
-    return _replace(_replace(lines, ">\n<", "><"), "<>", "")
+def _framed(text: Column) -> Column:
+    """Every word as `<word>`, in its own case. The frame characters are never part of words."""
+    return F.replace(F.concat(F.lit("<"), F.regexp_replace(text, _GAP, "><"), F.lit(">")), F.lit("<>"), F.lit(""))
 
 
 def _count(text: Column, part: str | Column) -> Column:
@@ -138,45 +131,61 @@ def _any_of(words: list[str]) -> str:
     return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in letters.items()) + ")"
 
 
-def _skeleton(lines: Column, templates: dict[str, str]) -> Column:
-    """Of framed lines only the known words, folded, each after a `<`, and the line feeds."""
-    known = F.regexp_extract_all(lines, F.lit(f"(?i)<{_any_of(_known_words(templates))}(?=>)|\n"), F.lit(0))
-    return _fold(F.array_join(known, ""))
+def block_words(text: str, threshold: float = THRESHOLD) -> int:
+    """Words in a block for a template."""
+    return -(-int(round(len(_words(text)) / threshold * 1e6)) // 10**6)
+
+
+def _widest(templates: dict[str, str], threshold: float) -> int:
+    return max(block_words(t, threshold) for t in templates.values()) + REACH
 
 
-def _held(block: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(block, "<"), ""))
+def _skeleton(framed: Column, templates: dict[str, str], threshold: float) -> Column:
+    """Of framed words the known ones, folded, and dots."""
+    dots = _widest(templates, threshold)
+    dotted = F.regexp_replace(framed, f"(?i)<(?!{_any_of(_known_words(templates))}>)[^<>]*>", ".")
+    return _fold(F.regexp_replace(dotted, r"\.{%d,}" % dots, "." * dots))
 
 
-def line_frequencies(rows: DataFrame, templates: dict[str, str]) -> dict[str, int]:
-    """For each known word, how many lines of ``rows(skeleton)`` hold it. As many rows as there are known words come back."""
-    held = rows.select(F.explode(F.split("skeleton", "\n")).alias("line")).where("line <> ''").select(F.explode(_held(F.col("line"))).alias("word"))
+def text_frequencies(rows: DataFrame, templates: dict[str, str]) -> dict[str, int]:
+    """For each known word, how many of ``rows(skeleton)`` hold it. As many rows as there are known words come back."""
+    held = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("skeleton", F.lit("<([^>]*)>"), F.lit(1)))).alias("word"))
     counts = {r.word: r.n for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
     return {w: counts.get(w, 0) for w in _known_words(templates)}
 
 
 def template_matches(rows: DataFrame, frequencies: dict[str, int], templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
     """(id, label, share) for every block of ``rows(id, skeleton)`` that contains a template, by the filters above."""
+    sign = {w: chr(_FIRST_SIGN + k) for k, w in enumerate(frequencies)}
     order = {w: k for k, (w, _) in enumerate(sorted(frequencies.items(), key=lambda x: (x[1], x[0])))}
+    signs = lambda words: [sign[w] for w in words]
     prefixes, facts = [], []
     for name, words in sorted(_template_words(templates).items()):
         words = sorted(words, key=order.__getitem__)
         need = -(-int(round(threshold * len(words) * 1e6)) // 10**6)
-        facts.append((name, words, need, *MARKS.get(name, ([], []))))
-        prefixes += [(name, w, p) for p, w in enumerate(words[: len(words) - need + 1])]
+        must, never = MARKS.get(name, ([], []))
+        facts.append((name, signs(words), need, block_words(templates[name], threshold), signs(must), signs(never)))
+        prefixes += [(name, w) for w in words[: len(words) - need + 1]]
     spark = rows.sparkSession
-    prefix = F.broadcast(spark.createDataFrame(prefixes, "label string, word string, place int"))
-    template = F.broadcast(spark.createDataFrame(facts, "label string, words array<string>, need int, must array<string>, never array<string>"))
-    rare = f"<{_any_of(sorted({w for _, w, _ in prefixes}))}(?![^<\n])"
-    lines = rows.where(F.col("skeleton").rlike(rare)).select("id", F.split("skeleton", "\n").alias("lines"))
-    starts = F.transform("lines", lambda first, k: F.struct(k.alias("line"), F.array_join(F.slice("lines", k + 1, F.lit(BLOCK_LINES)), "").alias("block")))
-    blocks = lines.select("id", F.inline(starts)).where(F.col("block").rlike(rare)).select("id", "line", _held(F.col("block")).alias("held"))
-    blocks = blocks.where(F.size("held") >= min(f[2] for f in facts))
-    pairs = blocks.select("*", F.explode("held").alias("word")).join(prefix, "word").groupBy("id", "line", "label").agg(F.min("place").alias("place"), F.first("held").alias("held"))
-    pairs = pairs.join(template, "label").where("size(held) >= need and size(words) - place >= need")
-    shared = F.size(F.array_intersect("words", "held"))
-    marked = (F.size(F.array_intersect("must", "held")) == F.size("must")) & ~F.arrays_overlap("never", "held")
-    return pairs.where((shared >= F.col("need")) & marked).select("id", "label", (shared / F.size("words")).alias("share"))
+    prefix = F.broadcast(spark.createDataFrame([(name, sign[w]) for name, w in prefixes], "label string, sign string"))
+    template = F.broadcast(spark.createDataFrame(facts, "label string, words array<string>, need int, width int, must array<string>, never array<string>"))
+    rare = sorted({w for _, w in prefixes})
+    signed = reduce(lambda text, w: F.replace(text, F.lit(f"<{w}>"), F.lit(sign[w])), frequencies, F.col("skeleton"))
+    texts = rows.where(F.col("skeleton").rlike(f"<{_any_of(rare)}>")).select("id", F.split(signed, "").alias("signs"))
+    # the words around each rare one: a word a character, the rare one the (before + 1)-th
+    around = _widest(templates, threshold)
+    places = F.filter(F.transform("signs", lambda c, k: F.struct(c.alias("sign"), k.alias("k"))), lambda x: x["sign"].isin(signs(rare)))
+    near = F.transform(places, lambda x: F.struct(x["sign"].alias("sign"), F.least(x["k"], F.lit(around)).alias("before"), F.slice("signs", F.greatest(x["k"] - around, F.lit(0)) + 1, F.lit(2 * around + 1)).alias("near")))
+    pairs = texts.select("id", F.inline(near)).join(prefix, "sign").join(template, "label")
+    shared_in = lambda block: F.size(F.array_intersect("words", block))
+    low = F.greatest(F.col("before") - F.col("width") + 1, F.lit(0))
+    pairs = pairs.where(shared_in(F.slice("near", low + 1, F.col("before") + F.col("width") - low)) >= F.col("need"))
+    starts = F.filter(F.sequence(low, F.col("before")), lambda k: F.array_contains("words", F.get("near", k)))
+    blocks = pairs.withColumn("start", F.explode(starts)).withColumn("block", F.slice("near", F.col("start") + 1, F.col("width")))
+    left = F.greatest(F.col("start") - REACH, F.lit(0))
+    surroundings = F.slice("near", left + 1, F.col("start") + F.col("width") + REACH - left)
+    marked = (F.size(F.array_intersect("must", "block")) == F.size("must")) & ~F.arrays_overlap("never", surroundings)
+    return blocks.where((shared_in(F.col("block")) >= F.col("need")) & marked).select("id", "label", (shared_in(F.col("block")) / F.size("words")).alias("share"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,8 +195,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"))
 
     framed = F.col("framed")
-    counted = keyed.select("doc_id", "dk", "rk", _lines_framed(F.col("text")).alias("lines"))
-    counted = counted.select("doc_id", "dk", "rk", _framed(F.col("lines")).alias("framed"), _skeleton(F.col("lines"), templates).alias("skeleton"))
+    counted = keyed.select("doc_id", "dk", "rk", _framed(F.col("text")).alias("framed"))
+    counted = counted.select("doc_id", "dk", "rk", "framed", _skeleton(framed, templates, threshold).alias("skeleton"))
     # only texts with a phrase in some case are folded
     any_phrase = "(?i)" + "|".join("".join(f"<{w}>" for w in _words(p)) for p in phrases)
     counted = counted.select("doc_id", "dk", "rk", "skeleton", _count(framed, "<").alias("n_words"), F.when(framed.rlike(any_phrase), _fold(framed)).otherwise("").alias("framed"))
@@ -200,7 +209,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     counted = store(counted)
 
     rows = counted.select(F.struct("dk", "rk").alias("id"), "skeleton")
-    found = template_matches(rows, line_frequencies(rows, templates), templates, threshold)
+    found = template_matches(rows, text_frequencies(rows, templates), templates, threshold)
     added = found.groupBy("id").agg(F.collect_set("label").alias("added"), F.max("share").alias("share")).select("id.dk", "id.rk", "added", "share")
 
     joined = counted.drop("skeleton").join(added, ["dk", "rk"], "left")

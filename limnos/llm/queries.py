@@ -166,16 +166,15 @@ def _op8() -> str:
     from limnos.llm import license_scan as ls
 
     listed = lambda words: f"[{', '.join(repr(w) for w in words)}]::varchar[]"
-    templates = ", ".join(f"('{name}', {listed(words)}, {', '.join(map(listed, ls.MARKS.get(name, ([], []))))})" for name, words in ls._template_words(ls.TEMPLATES).items())
+    templates = ", ".join(f"('{name}', {listed(words)}, {ls.block_words(ls.TEMPLATES[name])}, {', '.join(map(listed, ls.MARKS.get(name, ([], []))))})" for name, words in ls._template_words(ls.TEMPLATES).items())
     phrases = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in ls.PHRASES.items())
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
-p(label, phrase, m) as (values {phrases}), t(label, words, must, never) as (values {templates}),
+p(label, phrase, m) as (values {phrases}), t(label, words, width, must, never) as (values {templates}),
 hit as (select r, label, i - 1 as pos from (select r, w, label, phrase, m, unnest(range(1, len(w) - m + 2)) as i from d, p where len(w) >= m) where array_to_string(w[i : i + m - 1], ' ') = phrase),
 base as (select r, count(*) as n, min(pos) as a, max(pos) as z, string_agg(distinct label, ',' order by label) as labels from hit group by r),
-ls as (select r, string_split(text, chr(10)) as l from d),
-line as (select r, list_distinct({_WORDS.format(text="x")}) as held from (select r, array_to_string(l[i : i + {ls.BLOCK_LINES - 1}], chr(10)) as x from (select r, l, unnest(range(1, len(l) + 1)) as i from ls))),
-tm as (select r, label, len(list_intersect(t.words, line.held)) / len(t.words) as share from line, t where len(list_intersect(t.words, line.held)) >= ceil({ls.THRESHOLD} * len(t.words) - 1e-9) and list_has_all(line.held, t.must) and not list_has_any(line.held, t.never)),
+win as (select r, label, words, must, never, w[i : i + width - 1] as held, w[greatest(1, i - {ls.REACH}) : i + width - 1 + {ls.REACH}] as around from (select r, w, t.*, unnest(range(1, len(w) + 1)) as i from d, t where len(list_intersect(t.words, d.w)) >= {ls.THRESHOLD} * len(t.words) - 1e-9)),
+tm as (select r, label, len(list_intersect(words, held)) / len(words) as share from win where len(list_intersect(words, held)) >= {ls.THRESHOLD} * len(words) - 1e-9 and list_has_all(held, must) and not list_has_any(around, never)),
 more as (select r, max(share) as share from tm group by r), every as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from hit union all select r, label from tm) group by r)
 select d.doc_id, len(d.w) as n_words, coalesce(base.n, 0) as n_base, base.a as first_word, base.z as last_word, coalesce(base.labels, '') as base_labels, coalesce(every.labels, '') as labels,
   case when base.n > 0 then 1.0::double else coalesce(more.share, 0.0::double) end as score from d left join base using (r) left join more using (r) left join every using (r)"""

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 import textwrap
 
@@ -23,11 +25,11 @@ def brute(text):
     for name, template in ls.TEMPLATES.items():
         v = set(words(template))
         must, never = map(set, ls.MARKS.get(name, ([], [])))
-        lines = (text or "").split("\n")
-        for i in range(len(lines)):
-            held = set(words("\n".join(lines[i : i + ls.BLOCK_LINES])))
+        width = math.ceil(len(words(template)) / ls.THRESHOLD - 1e-9)
+        for i in range(len(w)):
+            held = set(w[i : i + width])
             got = len(v & held) / len(v)
-            if got >= ls.THRESHOLD - 1e-9 and must <= held and not never & held:
+            if got >= ls.THRESHOLD - 1e-9 and must <= held and not never & set(w[max(0, i - ls.REACH) : i + width + ls.REACH]):
                 added.add(name)
                 share = max(share, got)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | added)), 1.0 if places else share)
@@ -75,6 +77,22 @@ def test_wrapped_notices_and_rivals(spark):
     assert got == dict(enumerate(texts))
 
 
+def test_strewn_words_are_no_notice_and_narrow_ones_are(spark):
+    rng = random.Random(2)
+    other = lambda k: " ".join(rng.choice(["water", "lake", "gauge", "level"]) for _ in range(k))
+    strewn = lambda text, k: " ".join(w + " " + other(k) for w in text.split())
+    texts = [
+        strewn(ls.TEMPLATES["mit"], 20),
+        "this " + other(130) + " is free " + other(130) + " and software released into " + other(130) + " the public domain",
+        "\n".join(textwrap.wrap(ls.TEMPLATES["mit"], 24)),
+        other(500) + " " + ls.TEMPLATES["mit"] + " " + other(500),
+        "free " * 3000 + ls.TEMPLATES["isc"],
+    ]
+    assert len(texts[2].split("\n")) >= 6
+    got = {r.doc_id: (r.labels, r.score) for r in ls.scan(frame(spark, [(k, t, *[None] * 5) for k, t in enumerate(texts)])).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("mit", 1.0), 3: ("mit", 1.0), 4: ("isc", 1.0)}
+
+
 def test_no_python_on_the_main_path(spark):
     plan = ls.scan(frame(spark, rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
