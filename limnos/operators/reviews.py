@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -170,6 +172,6 @@ def excerpts(fragments: DataFrame, terms: list[str], budget: int, best: int = 8)
     ranked = fragments.withColumn("_h", hits).withColumn("_r", F.row_number().over(w.orderBy(F.desc("_h"), "pos"))).withColumn("_last", F.max("pos").over(w)).withColumn("_first", F.min("pos").over(w))
     chosen = ranked.where((F.col("_r") <= best) | (F.col("pos") == F.col("_first")) | (F.col("pos") == F.col("_last"))).withColumn("_n", F.greatest(F.lit(300), F.floor(F.lit(budget) / F.count("*").over(w))).cast("int"))
     n, text = F.col("_n"), F.col("text")
-    spot = F.regexp_extract(text, "(?is)(.{0,80}(?:" + "|".join(terms) + ").{0,160})", 1)
+    spot = F.regexp_extract(text, "(?is)(.{0,80}(?:" + "|".join(map(re.escape, terms)) + ").{0,160})", 1)
     cut = F.concat_ws("\n[…]\n", F.left(text, (n / 3).cast("int")), F.nullif(spot, F.lit("")), F.right(text, (n / 6).cast("int")))
     return chosen.select("doc", "pos", F.when(F.length(text) <= n, text).otherwise(F.left(cut, n)).alias("text"))

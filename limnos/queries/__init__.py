@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.queries import addressed, documents, entities, forms, landing, measures, planning
+from limnos.queries import addressed, documents, entities, evidence, forms, landing, measures, planning
 
-MODULES = (measures, entities, documents, planning, forms, landing, addressed)
+MODULES = (measures, entities, documents, planning, forms, landing, addressed, evidence)
 
 
 #: Queries that once read part of their tables, by the name of the one that reads every row: both names do now.
