@@ -7,12 +7,6 @@ from limnos.queries import addressed, documents, entities, evidence, forms, land
 MODULES = (measures, entities, documents, planning, forms, landing, addressed, evidence)
 
 
-#: Queries that once read part of their tables, by the name of the one that reads every row: both names do now.
-WHOLE = {name.removesuffix("_all"): name for m in MODULES for name in m.QUERIES if name.endswith("_all") and name.removesuffix("_all") in m.QUERIES}
-for _module in MODULES:
-    _module.QUERIES.update({name: _module.QUERIES[whole] for name, whole in WHOLE.items() if name in _module.QUERIES})
-
-
 def queries() -> dict:
     return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
 

@@ -77,20 +77,12 @@ def possible_duplicate_rows(spark, d):
 
 
 @query("""
-with q as (select doc_id as id, doc_id as block, substr(text, 1, 40) as quote from documents union all select doc_id, doc_id + 1, substr(text, 1, 40) from documents),
+with q as (select doc_id as id, doc_id as block, text as quote from documents union all select doc_id, doc_id + 1, text from documents),
 n as (select q.id, trim(regexp_replace(q.quote, '\\s+', ' ', 'g')) as quote, d.doc_id as known, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) as text from q left join documents d on d.doc_id = q.block)
 select distinct id, case when known is null then 'unknown block' else 'quote not in block' end as problem from n where known is null or not contains(text, quote)""")
 def quote_containment(spark, d):
-    return _quotes(t(spark, d, "documents"), F.substr("text", F.lit(1), F.lit(40)))
-
-
-@query(QUERIES["quote_containment"][1].replace("substr(text, 1, 40)", "text"))
-def quote_containment_all(spark, d):
-    """Whole texts as quotes; quote_containment takes the 40 characters that its SQL states."""
-    return _quotes(t(spark, d, "documents"), F.col("text"))
-
-
-def _quotes(docs, quote):
+    """Whole texts as quotes, of their own block and of the next."""
+    docs, quote = t(spark, d, "documents"), F.col("text")
     facts = docs.select(F.col("doc_id").alias("id"), F.array(F.struct(F.col("doc_id").alias("block_id"), quote.alias("quote")), F.struct((F.col("doc_id") + 1).alias("block_id"), quote.alias("quote"))).alias("evidence"))
     return D.evidence_problems(facts, docs.select(F.col("doc_id").alias("block_id"), "text"))
 
@@ -179,19 +171,11 @@ def table_continuation(spark, d):
 
 
 @query("""
-with a as (select lang || '/' || (doc_id % 50) as k, count(*) as n from documents where doc_id % 2 = 0 group by 1), b as (select lang || '/' || (doc_id % 40) as k, count(*) as n from documents where doc_id % 3 = 0 group by 1)
+with a as (select lang || '/' || (doc_id % 50) as k, count(*) as n from documents where doc_id % 2 = 0 group by 1), b as (select lang || '/' || (doc_id % 40) as k, count(*) as n from documents where doc_id % 2 = 1 group by 1)
 select coalesce(a.k, b.k) as k, coalesce(a.n, 0) as n_fine, coalesce(b.n, 0) as n_coarse, case when b.n is null then 'only_fine' when a.n is null then 'only_coarse' when a.n = 1 and b.n = 1 then 'matched' else 'ambiguous' end as status from a full join b on a.k = b.k""")
 def compare_variants(spark, d):
-    return _variants(t(spark, d, "documents"), "doc_id % 3 = 0")
-
-
-@query(QUERIES["compare_variants"][1].replace("doc_id % 3 = 0", "doc_id % 2 = 1"))
-def compare_variants_all(spark, d):
-    """Every document is on one side; compare_variants leaves out the third that its SQL does."""
-    return _variants(t(spark, d, "documents"), "doc_id % 2 = 1")
-
-
-def _variants(docs, coarse):
+    """Every document is on one side."""
+    docs, coarse = t(spark, d, "documents"), "doc_id % 2 = 1"
     key = lambda n: F.concat("lang", F.lit("/"), (F.col("doc_id") % n).cast("string")).alias("k")
     return D.compare_variants(docs.where("doc_id % 2 = 0").select(key(50)), docs.where(coarse).select(key(40)), "k")
 

@@ -84,16 +84,10 @@ def nearest_neighbour(spark, d):
 
 
 @query("""
-with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select * from v where vec_id < 5),
+with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select * from v where vec_id % 100 = 0),
 s as (select q.vec_id as q, v.vec_id as id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) as c from q, v where q.vec_id <> v.vec_id)
 select q, id, round(c, 4) as cosine, rank from (select *, row_number() over (partition by q order by round(c, 9) desc, id) as rank from s) where rank <= 5""")
 def vector_topk(spark, d):
-    """Five stated query vectors against all: the queries are broadcast, each partition keeps its best, one small merge."""
-    return _topk(spark, d, F.col("vec_id") < 5)
-
-
-@query(QUERIES["vector_topk"][1].replace("vec_id < 5", "vec_id % 100 = 0"))
-def vector_topk_all(spark, d):
     """Every vector whose id is divisible by 100 against all, the queries broadcast a block of 100,000 ids at a time."""
     ids = t(spark, d, "embeddings").agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).first()
     out = _topk(spark, d, F.lit(False))
@@ -113,24 +107,12 @@ def _topk(spark, d, queries):
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q", "id", F.round("c", 4).alias("cosine"), "rank")
 
 
-@query("""
-with w as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as t from part where p_partkey <= 300)
-select a.p_partkey as a, b.p_partkey as b, round(200.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 4) as score from w a join w b on a.p_partkey < b.p_partkey where len(list_intersect(a.t, b.t)) > 0 and 200.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)) >= 50""")
-def token_set_match(spark, d):
-    """Pairs come from an equi join on shared tokens, never from all pairs."""
-    p = t(spark, d, "part").where("p_partkey <= 300").select("p_partkey", "p_name")
-    words = p.select("p_partkey", "p_name", F.explode(T.informative_tokens(F.col("p_name"))).alias("token"))
-    a, b = (words.select(F.col("p_partkey").alias(s), F.col("p_name").alias(f"{s}_name"), "token") for s in "ab")
-    pairs = a.join(b, "token").where("a < b").select("a", "b", "a_name", "b_name").distinct()
-    return pairs.withColumn("s", T.token_set_score(F.col("a_name"), F.col("b_name"))).where("s >= 50").select("a", "b", F.round("s", 4).alias("score"))
-
-
 @query("""
 with w as (select p_name, count(*) as n, list_distinct(string_split(lower(p_name), ' ')) as t from part group by 1),
 s as (select a.p_name as a, b.p_name as b, a.n as n, b.n as m, 200.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)) as s from w a join w b on a.p_name <= b.p_name)
 select a, b, round(s, 4) as score, cast(case when a = b then n * (n - 1) // 2 else n * m end as bigint) as parts from s where s >= 50""")
-def token_set_match_all(spark, d):
-    """Every part: pairs of names, found by prefixes of their rarest tokens, with the number of pairs of parts. token_set_match is the id subset that its SQL states."""
+def token_set_match(spark, d):
+    """Every part: pairs of names, found by prefixes of their rarest tokens, with the number of pairs of parts."""
     names = t(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
     words = names.select("name", "n", F.explode(T.informative_tokens(F.col("name"))).alias("token"))
     rare = words.join(words.groupBy("token").agg(F.count("*").alias("often")), "token")
@@ -206,20 +188,11 @@ def graph_paths(spark, d):
 
 
 @query("""
-with e as (select cast(p_partkey as varchar) as id, p_brand as code, case when p_size > 25 then 'Messung' else 'Zustand' end as kind, p_name as st from part where p_partkey <= 500)
+with e as (select cast(p_partkey as varchar) as id, p_brand as code, case when p_size > 25 then 'Messung' else 'Zustand' end as kind, p_name as st from part)
 select 'finding/' || id as s, p, o from e, lateral (values ('a', 'DocumentedFinding'), ('label', st), ('statementText', st), ('recordType', kind), ('wasDerivedFrom', 'document/d'), ('concernsWaterBody', 'water-body/' || code), ('a', case when kind = 'Messung' then 'MeasurementFinding' end)) v(p, o) where o is not null
 union all select 'causal-link/' || s_suppkey, p, o from supplier, lateral (values ('a', 'CausalLink'), ('cause', 'finding/' || s_suppkey), ('effect', 'finding/' || (s_suppkey + 1)), ('relationshipType', 'x'), ('wasDerivedFrom', 'document/d')) v(p, o)""")
 def triples(spark, d):
-    return _triples(spark, d, t(spark, d, "part").where("p_partkey <= 500"))
-
-
-@query(QUERIES["triples"][1].replace(" where p_partkey <= 500", ""))
-def triples_all(spark, d):
-    """Every part; triples is the id subset that its SQL states."""
-    return _triples(spark, d, t(spark, d, "part"))
-
-
-def _triples(spark, d, p):
+    p = t(spark, d, "part")
     events = p.select(F.col("p_partkey").cast("string").alias("event_id"), F.col("p_brand").alias("eu_cd_lw"), F.when(F.col("p_size") > 25, "Messung").otherwise("Zustand").alias("record_type"), F.col("p_name").alias("statement"), F.lit(None).cast("string").alias("time_original"), F.lit("").alias("quote"), F.lit("d").alias("source_document"))
     k = F.col("s_suppkey")
     rel = t(spark, d, "supplier").select(k.cast("string").alias("relationship_id"), k.cast("string").alias("source_event_id"), (k + 1).cast("string").alias("target_event_id"), F.lit("x").alias("relationship_type"), F.lit(None).cast("string").alias("mechanism"), F.lit("d").alias("source_document"))
@@ -241,12 +214,12 @@ def _box(id_, x, y, w, h):
     return F.col(id_).alias("id"), F.array(F.array(F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h), point(x, y)))).alias("geometry")
 
 
-_A = "(select c_custkey as id, (c_custkey * 37) % 5000 + 0.5 as x, (c_custkey * 91) % 5000 + 0.25 as y, 60 as w, 40 as h from customer where c_custkey <= 400)"
+_A = "(select c_custkey as id, (c_custkey * 37) % 5000 + 0.5 as x, (c_custkey * 91) % 5000 + 0.25 as y, 60 as w, 40 as h from customer)"
 _B = "(select s_suppkey as id, (s_suppkey * 53) % 5000 as x, (s_suppkey * 71) % 5000 as y, 150 as w, 100 as h from supplier)"
 
 
-def _boxes(spark, d, subset="c_custkey <= 400"):
-    c, s = t(spark, d, "customer").where(subset), t(spark, d, "supplier")
+def _boxes(spark, d):
+    c, s = t(spark, d, "customer"), t(spark, d, "supplier")
     left = c.select(*_box("c_custkey", (F.col("c_custkey") * 37) % 5000 + 0.5, (F.col("c_custkey") * 91) % 5000 + 0.25, F.lit(60), F.lit(40)))
     right = s.select(*_box("s_suppkey", (F.col("s_suppkey") * 53) % 5000, (F.col("s_suppkey") * 71) % 5000, F.lit(150), F.lit(100)))
     return left, right
@@ -257,20 +230,13 @@ with j as (select a.id as left_id, b.id as right_id, (least(a.x + a.w, b.x + b.w
 from {_A} a join {_B} b on a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h)
 select left_id, right_id, cast(round(ar, 4) as double) as area, round(ar / 2400.0, 6) as left_ratio, round(ar / 15000.0, 6) as right_ratio from j""")
 def geo_overlaps(spark, d):
-    return _overlaps(*_boxes(spark, d))
-
-
-def _overlaps(left, right):
-    o = S.overlaps(left, right)
+    o = S.overlaps(*_boxes(spark, d))
     return o.select("left_id", "right_id", F.round(F.col("overlap_area_km2") * 1e6, 4).alias("area"), F.round("left_ratio", 6).alias("left_ratio"), F.round("right_ratio", 6).alias("right_ratio"))
 
 
 @query(f"select p.id as point_id, b.id as polygon_id from {_A} p join {_B} b on p.x >= b.x and p.x < b.x + b.w and p.y >= b.y and p.y < b.y + b.h")
 def geo_points_in_polygons(spark, d):
-    return _inside(*_boxes(spark, d))
-
-
-def _inside(left, right):
+    left, right = _boxes(spark, d)
     corner = F.get(F.get(F.get("geometry", 0), 0), 0)
     return S.points_in_polygons(left.select("id", corner["x"].alias("x"), corner["y"].alias("y")), right)
 
@@ -279,34 +245,11 @@ def _inside(left, right):
 with j as (select p.id as point_id, b.id as polygon_id, greatest(b.x - p.x, 0, p.x - b.x - b.w) as dx, greatest(b.y - p.y, 0, p.y - b.y - b.h) as dy from {_A} p, {_B} b)
 select point_id, polygon_id, round(sqrt(dx * dx + dy * dy), 6) as distance from j where dx * dx + dy * dy <= 2500""")
 def geo_within_distance(spark, d):
-    return _near(*_boxes(spark, d))
-
-
-def _near(left, right):
+    left, right = _boxes(spark, d)
     corner = F.get(F.get(F.get("geometry", 0), 0), 0)
     return S.within_distance(left.select("id", corner["x"].alias("x"), corner["y"].alias("y")), right, 50.0).withColumn("distance", F.round("distance", 6))
 
 
-def _every_customer(name: str) -> str:
-    return QUERIES[name][1].replace(" where c_custkey <= 400", "")
-
-
-@query(_every_customer("geo_overlaps"))
-def geo_overlaps_all(spark, d):
-    """Every customer, as in the next two; the queries without _all are the id subset that their SQL states."""
-    return _overlaps(*_boxes(spark, d, "true"))
-
-
-@query(_every_customer("geo_points_in_polygons"))
-def geo_points_in_polygons_all(spark, d):
-    return _inside(*_boxes(spark, d, "true"))
-
-
-@query(_every_customer("geo_within_distance"))
-def geo_within_distance_all(spark, d):
-    return _near(*_boxes(spark, d, "true"))
-
-
 _SLABS = """
 with b as (select c_nationkey as code, (c_custkey * 37) % 5000 + 0.5 as x, (c_custkey * 91) % 5000 + 0.25 as y, c_custkey % 7 * 30 + 60 as w, c_custkey % 5 * 40 + 40 as h from customer),
 e as (select code, x as v from b union select code, x + w from b), slab as (select code, v as x0, lead(v) over (partition by code order by v) as x1 from e),
@@ -343,7 +286,7 @@ def _bent(spark, d):
 @query(_gaps(_B))
 def geo_lines_near_polygons(spark, d):
     """Bent lines and boxes no more than 50 apart, 0 where a line enters a box or lies in it."""
-    return S.geometries_within(_bent(spark, d), _boxes(spark, d, "true")[1], 50.0).withColumn("distance", F.round("distance", 6))
+    return S.geometries_within(_bent(spark, d), _boxes(spark, d)[1], 50.0).withColumn("distance", F.round("distance", 6))
 
 
 @query(_gaps(_BARS))

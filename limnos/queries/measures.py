@@ -130,27 +130,18 @@ def dim_parameter_ids(spark, d):
     return R.dense_ids(t(spark, d, "part"), ["p_type", "p_brand"], "parameter_id")
 
 
-@query("""
-with f as (select l_partkey, l_suppkey, arg_min(l_extendedprice, row(l_orderkey, l_linenumber, l_extendedprice)) as first_price from lineitem group by 1, 2)
-select p_partkey, s_suppkey, first_price from (select p_partkey from part where p_partkey <= 200) cross join (select s_suppkey from supplier where s_suppkey <= 20) left join f on l_partkey = p_partkey and l_suppkey = s_suppkey""")
-def lookup_first_match(spark, d):
-    pairs = t(spark, d, "part").where("p_partkey <= 200").select("p_partkey").crossJoin(t(spark, d, "supplier").where("s_suppkey <= 20").select("s_suppkey"))
-    lines = t(spark, d, "lineitem").withColumn("pos", F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))
-    return R.resolve(pairs, lines, {"p_partkey": "l_partkey", "s_suppkey": "l_suppkey"}, "l_extendedprice", "first_price", "pos")
-
-
 @query("select l_partkey as p_partkey, l_suppkey as s_suppkey, arg_min(l_extendedprice, row(l_orderkey, l_linenumber, l_extendedprice)) as first_price from lineitem group by 1, 2")
-def lookup_first_match_all(spark, d):
-    """Every pair that lineitem holds; lookup_first_match is the id subset that its SQL states."""
+def lookup_first_match(spark, d):
+    """The first price of every pair that lineitem holds."""
     lines = t(spark, d, "lineitem").withColumn("pos", F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))
     pairs = lines.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     return R.resolve(pairs, lines, {"p_partkey": "l_partkey", "s_suppkey": "l_suppkey"}, "l_extendedprice", "first_price", "pos")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def anti_new_rows(spark, d):
     c = t(spark, d, "customer").select("c_custkey", "c_name")
-    return R.new_rows(c, t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return R.new_rows(c, t(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)")

@@ -1,4 +1,4 @@
-"""Queries that must read every row, on tables whose ids lie beyond the subsets of their namesakes."""
+"""Queries that must read every row, on tables whose ids lie far apart."""
 
 import pytest
 from test_oracle import plain
@@ -14,7 +14,7 @@ TABLES = {
     "documents": "select k as doc_id, 'en' as lang, 'The first forty characters are all alike, then: ' || k // 2 as text from range(0, 200) r(k)",
     "embeddings": "select k as vec_id, [sin(k), cos(k * 3), sin(k * 7)]::float[] as embedding from range(0, 250) r(k) union all select 300000 + k, [cos(k), sin(k * 5), 0.5]::float[] from range(0, 250) r(k)",
 }
-QUERIES = "lookup_first_match_all token_set_match_all triples_all geo_overlaps_all geo_points_in_polygons_all geo_within_distance_all vector_topk_all source_inventory frontier_score_all compare_variants_all quote_containment_all".split()
+QUERIES = "lookup_first_match token_set_match triples geo_overlaps geo_points_in_polygons geo_within_distance vector_topk source_inventory frontier_score compare_variants quote_containment".split()
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,3 @@ def test_every_row_is_read(spark, tables, name):
     columns = [c[0] for c in cursor.description]
     want = sorted(tuple(map(plain, r)) for r in cursor.fetchall())
     assert want and sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == want
-    short = name.removesuffix("_all")
-    if short in ("lookup_first_match", "triples", "geo_overlaps", "geo_points_in_polygons", "geo_within_distance", "vector_topk", "frontier_score"):
-        assert len(want) == entry.queries()[short](spark, folder).count()
