@@ -40,6 +40,8 @@ WINDOW = 400
 GRAM = 128
 #: Spans in a shard of step 3, on average; anchors with more distinct spans than that are settled by windows.
 SHARD_SPANS = 1500
+#: Bytes of spans that are sorted at once in a task, beyond those of one anchor.
+SORTED_BYTES = 1 << 18
 _U = np.uint64
 
 
@@ -175,16 +177,17 @@ def _settle(window: int):
     """Rows (shard, dk, rk, start, bytes, single) of a shard to the repeated ranges of its single spans."""
 
     def run(table: pa.Table) -> pa.Table:
+        tc.release()
         texts = table.column("bytes").to_pylist()
         single = table.column("single").to_numpy()
-        # no more than a few megabytes are sorted at once: spans of an anchor stay together
+        # a task sorts its spans a part at a time: spans of an anchor stay together
         anchors = table.column("anchor").to_numpy()
         order = np.argsort(anchors, kind="stable")
         sizes = np.cumsum([len(texts[k]) for k in order])
         row, start, end = [], [], []
         lo = 0
         while lo < len(order):
-            hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 20), "right"))
+            hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SORTED_BYTES, "right"))
             hi = max(hi, lo + 1)
             while hi < len(order) and anchors[order[hi]] == anchors[order[hi - 1]]:
                 hi += 1
@@ -284,6 +287,7 @@ def _cut(whole: bool):
     """(row, text, ranges) to (row, text, n_bytes, n_removed, n_spans, kept); ``whole`` removes characters entirely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tc.release()
         for batch in batches:
             texts, ranges = tc.text_array(batch.column(1)), batch.column(2)
             out: tuple[list, list, list, list] = ([], [], [], [])

@@ -7,6 +7,7 @@ whatever the batch; only a single longer document makes a longer chunk.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,11 +37,14 @@ def held(key: str, make):
 
 
 def release() -> None:
-    """Give back what a worker process still holds of earlier stages: its table, and the memory that Arrow's pool keeps free."""
+    """Give back what a worker process still holds of earlier stages: its table, and the memory that Arrow's pool and the C library keep free."""
     if _held:
         _held.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_array(column: pa.Array) -> pa.Array:
