@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from limnos.queries import addressed, documents, entities, evidence, forms, landing, measures, planning
+from limnos.queries import addressed, documents, entities, evidence, forms, landing, measures, planning, streams
 
-MODULES = (measures, entities, documents, planning, forms, landing, addressed, evidence)
+MODULES = (measures, entities, documents, planning, forms, landing, addressed, evidence, streams)
 
 
 def queries() -> dict:
