@@ -113,6 +113,26 @@ def name_similarity(pairs: DataFrame, left: str, right: str, contexts: list[str]
     return best.select("_row.*", F.least(F.lit(100.0), F.col("_best") + bonus).alias("name_score"))
 
 
+#: Score from which a water body counts as the station's own, a fixed value.
+CERTAIN_BODY = 85
+
+
+def best_bodies(names: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(wb, b(water_body_id, body_name, body_score)): the body whose name resembles ``wb`` most, the largest id of equals.
+
+    Names that resemble a body at CERTAIN_BODY or more find theirs by segments; only the others are compared with every body.
+    """
+    left = names.withColumn("name", T.ascii_tokens(F.col("wb")))
+    right = bodies.select("water_body_id", F.col("name").alias("body_name")).withColumn("other", T.ascii_tokens(F.col("body_name")))
+    own, theirs = left.select("name").distinct(), right.select(F.col("other").alias("name")).distinct()
+    near = similar_names(own, theirs, CERTAIN_BODY / 100, least=1).select("name", "other").unionByName(own.join(theirs, "name").select("name", F.col("name").alias("other")))
+    found = left.join(near, "name").join(right, "other")
+    rest = left.join(near.select("name").distinct(), "name", "left_anti").join(right)
+    pairs = found.select("wb", "name", "other", "water_body_id", "body_name").unionByName(rest.select("wb", "name", "other", "water_body_id", "body_name"))
+    scored = pairs.withColumn("body_score", 100 * T.ratcliff_ratio("name", "other"))
+    return scored.groupBy("wb").agg(F.max_by(F.struct("water_body_id", "body_name", "body_score"), F.struct("body_score", "water_body_id")).alias("b"))
+
+
 def link_stations(stations: DataFrame, sources: DataFrame, bodies: DataFrame, top_n: int = 5) -> tuple[DataFrame, DataFrame]:
     """(mappings, candidates): the best source per station of ``stations(key, name, waterway, water_body, x, y)``.
 
@@ -120,11 +140,16 @@ def link_stations(stations: DataFrame, sources: DataFrame, bodies: DataFrame, to
     water bodies; candidates are scored per pair of distinct names, and a station is compared with the register it is stated against.
     """
     names = stations.select(F.col("water_body").alias("wb")).distinct()
-    pairs = names.join(bodies.select("water_body_id", F.col("name").alias("body_name"))).withColumn("body_score", 100 * T.ratcliff_ratio(T.ascii_tokens(F.col("wb")), T.ascii_tokens(F.col("body_name"))))
-    body = pairs.groupBy("wb").agg(F.max_by(F.struct("water_body_id", "body_name", "body_score"), F.struct("body_score", "water_body_id")).alias("b"))
-    candidates = stations.join(body, stations.water_body == body.wb, "left").join(sources.select("station_id", F.col("name").alias("source_name"), F.col("water_body_id").alias("source_body"), F.col("x").alias("sx"), F.col("y").alias("sy")))
+    body = best_bodies(names, bodies)
+    registered = sources.select("station_id", F.col("name").alias("source_name"), F.col("water_body_id").alias("source_body"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    known = stations.join(body, stations.water_body == body.wb, "left")
+    # a source in the station's body scores 65 or more, any other 60 at most: with enough of the former the latter cannot rank
+    enough = sources.groupBy(F.col("water_body_id").alias("_body")).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(top_n, 2))
+    certain = (F.col("b.body_score") >= CERTAIN_BODY) & (F.col("b.water_body_id") == F.col("_body"))
+    settled = known.join(enough, certain, "left_semi").join(registered, F.col("b.water_body_id") == F.col("source_body"))
+    candidates = settled.unionByName(known.join(enough, certain, "left_anti").join(registered))
     scored = name_similarity(candidates.select("key", "name", "waterway", "water_body", "x", "y", "station_id", "source_name", "source_body", "sx", "sy", "b"), "name", "source_name", ["waterway", "water_body"])
-    same = (F.col("b.body_score") >= 85) & (F.col("source_body") == F.col("b.water_body_id"))
+    same = (F.col("b.body_score") >= CERTAIN_BODY) & (F.col("source_body") == F.col("b.water_body_id"))
     distance = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
     score = F.when(same & distance.isNotNull(), 65 + 0.35 * F.greatest(F.lit(0.0), 100 - distance / 15)).when(same, F.greatest(F.lit(70.0), 0.3 * F.col("name_score") + 70)).otherwise(0.35 * F.col("name_score") + 0.25 * F.coalesce("b.body_score", F.lit(0.0)))
     w = Window.partitionBy("key").orderBy(F.desc("score"), "station_id")

@@ -54,3 +54,21 @@ def test_parts_equal_all_pairs_with_few_candidates(spark):
     assert got == set(all_pairs(near, near, 0.9)) and got
     candidates = M.name_candidates(frame(near), frame(near)).where(F.col("short") != F.col("long")).count()
     assert candidates < 25 * len(got), (candidates, len(got), len(near) ** 2)
+
+
+def test_links_by_body_equal_links_over_all_pairs(spark):
+    """With two ranks wanted, certain bodies are joined by id; with many, every source is compared. The first two ranks are the same."""
+    rng = random.Random(3)
+    bodies = [(f"B{k}", n) for k, n in enumerate(["Tiefer See", "Großer Müggelsee", "Flacher Teich", "Havel", "Schlachtensee"])]
+    sources = [(f"S{k:02}", rng.choice(["Nordufer", "Pegel Brücke", "Mitte", "Westufer"]) + f" {k % 7}", rng.choice(bodies[:4])[0], rng.choice([None, 100.0 * k]), 50.0) for k in range(24)]
+    stations = [(f"k{k:02}", rng.choice(["Pegel Brücke", "Mitte", "Nordufer West"]), "Spree", rng.choice(["Tiefer See", "Tiefersee", "Grosser Müggelsee", "Havl", "Nirgends", "Schlachtensee", None]), rng.choice([None, 70.0 * k]), 40.0) for k in range(16)]
+    frames = [
+        spark.createDataFrame(stations, "key string, name string, waterway string, water_body string, x double, y double"),
+        spark.createDataFrame(sources, "station_id string, name string, water_body_id string, x double, y double"),
+        spark.createDataFrame(bodies, "water_body_id string, name string"),
+    ]
+    some, every = M.link_stations(*frames, top_n=2), M.link_stations(*frames, top_n=100)
+    ranked = lambda df: sorted((r.key, r.rank, r.station_id, round(r.score, 9)) for r in df.where("rank <= 2").collect())
+    assert ranked(some[1]) == ranked(every[1]) and len(ranked(every[1])) == 32
+    chosen = lambda df: sorted((r.key, r.station_id, r.status, round(r.margin, 9), round(r.body_score or 0, 9)) for r in df.collect())
+    assert chosen(some[0]) == chosen(every[0])
