@@ -35,12 +35,16 @@ from limnos.llm import textcodec as tc
 from limnos.llm.lookup import look_up
 from limnos.session import store
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of texts that a task holds for shards that are not full.
-HELD_BYTES = 12 << 20
+HELD_BYTES = 8 << 20
+#: Bytes of texts that a task is handed at a time; a longer text comes alone.
+BATCH_BYTES = 4 << 20
 #: Bits of the table of frequent phrases, as a power of two: 8 MB, at any size of the input.
 FILTER_BITS = 26
 SLICES = 64
+#: Words that are made strings at a time.
+_WORDS = 1 << 16
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _IS_SEPARATOR = np.isin(np.arange(256), np.frombuffer(_SEPARATORS, np.uint8))
 _IS_WORD = ~(_IS_SEPARATOR | np.isin(np.arange(256), np.frombuffer(b"\x20\x09", np.uint8)))
@@ -53,23 +57,24 @@ def word_ids(data: bytes) -> tuple[list[bytes], np.ndarray]:
     """(the words by id, ids of all words in order with a zero after each piece; ids begin with 1)."""
     folded = data.translate(_FOLD)
     raw = np.frombuffer(folded, np.uint8)
-    start, _, _ = tc.words(raw, np.array([0, len(raw)]), _IS_WORD)
+    start, end, _ = tc.words(raw, np.array([0, len(raw)]), _IS_WORD)
     index: dict[bytes, int] = defaultdict(lambda: len(index) + 1)
-    ids = np.fromiter(map(index.__getitem__, folded.split()), np.int64, len(start))
-    piece = np.cumsum(raw == 10)[start] if len(start) else start
-    out = np.zeros(len(ids) + np.count_nonzero(np.diff(piece)) + 1, np.int64)
-    breaks = np.concatenate([[0], np.cumsum(np.diff(piece) != 0)]) if len(ids) else np.zeros(0, np.int64)
-    out[np.arange(len(ids)) + breaks] = ids
+    piece = np.cumsum(raw == 10, dtype=np.int32)[start] if len(start) else start
+    breaks = np.cumsum(np.diff(piece, prepend=piece[:1]) != 0)
+    out = np.zeros(len(start) + (int(breaks[-1]) if len(breaks) else 0) + 1, np.int32)
+    for lo in range(0, len(start), _WORDS):
+        hi = min(lo + _WORDS, len(start))
+        out[np.arange(lo, hi) + breaks[lo:hi]] = np.fromiter(map(index.__getitem__, folded[start[lo] : end[hi - 1]].split()), np.int32, hi - lo)
     return list(index), out
 
 
 def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by the ``depth`` ids from there on at least, by prefix doubling."""
-    rank, k, order = ids.astype(np.int64), 1, None
+    rank, k, order = ids, 1, None
     while order is None or k < depth:
         after = np.zeros_like(rank)
         after[:-k] = rank[k:]
-        key = rank * (int(rank.max()) + 1) + after
+        key = rank.astype(np.int64) * (int(rank.max()) + 1) + after
         order = np.argsort(key, kind="stable")
         rank = np.empty_like(rank)
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
@@ -80,7 +85,7 @@ def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
 def intervals(ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, a position of each n-gram, its count) for n up to ``most``: the intervals of a common prefix of n or more."""
     order = suffix_order(ids, most)
-    padded = np.concatenate([ids, np.zeros(most, np.int64)])
+    padded = np.concatenate([ids, np.zeros(most, ids.dtype)])
     whole = np.ones(len(order), bool)
     new = np.zeros(len(order), bool)  # the common prefix with the neighbour before is shorter than n
     new[0] = True
@@ -165,6 +170,7 @@ def shard_counts(rows: DataFrame, lengths: range, table: bytes | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(spread.value, np.uint8) if spread else None
         for lang, data in shards(batches):
+            tc.release()
             words, ids = word_ids(data)
             if not words:
                 continue
@@ -216,8 +222,14 @@ def frequencies(docs: DataFrame, most: int = 3, least: int = 10, text_col: str =
     """COUNTS over all rows, of phrases of up to ``most`` words with ``least`` occurrences or more; n_words 0 counts a language's words."""
     rows = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.concat(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit("\n")).alias("text"))
     merged = lambda counts: counts.groupBy("lang", "n_words", "phrase").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | (F.col("n_words") == 0))
-    short = store(merged(shard_counts(rows, range(1, most))))
-    long = store(merged(shard_counts(rows, range(most, most + 1), bit_table(short.where(F.col("n_words") == most - 1)))))
+    setting, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
+    before = conf.get(setting, None)
+    conf.set(setting, str(BATCH_BYTES))
+    try:
+        short = store(merged(shard_counts(rows, range(1, most))))
+        long = store(merged(shard_counts(rows, range(most, most + 1), bit_table(short.where(F.col("n_words") == most - 1)))))
+    finally:
+        conf.unset(setting) if before is None else conf.set(setting, before)
     return short.unionByName(long)
 
 
