@@ -14,7 +14,8 @@ Defined results: null and empty pages give empty text; scripts, styles, template
 comments are never text; what SVG, MathML and media elements hold is text of the node around
 them, and `/>` closes within SVG and MathML; unclosed or crossed tags are repaired as browsers do for blocks; a
 tag cut off by the end of the page is dropped; repeated rows are treated alike; pages of
-any length are read whole.
+any length are read whole. An empty table gives an empty one; only the id, the url and the page
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations

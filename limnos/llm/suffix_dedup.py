@@ -19,7 +19,8 @@ the text is cut into *spans*: the runs of windows with one anchor, about one per
 
 Defined results: null and empty texts have 0 bytes; repeated rows repeat each other; texts
 under 400 bytes lose nothing; windows never cross documents; very long texts are handled in
-overlapping segments. Equality of spans rests on 64-bit hashes of their content.
+overlapping segments; an empty table gives an empty one; the columns of documents are carried as one
+struct, so no name clashes. Equality of spans rests on 64-bit hashes of their content.
 """
 
 from __future__ import annotations

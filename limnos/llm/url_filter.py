@@ -10,12 +10,14 @@ one half, on about a fifth of the labelled URLs that the counts leave out (by a
 
 A character with its context of ORDER is six bytes, so one integer names it exactly and nothing is
 hashed. Counts are rows of a table that grows with the labelled URLs and stays distributed: those
-of lower orders are sums over it, and a key meets at most 256 rows in any join or window. URLs are
+of lower orders are sums over it, and a key meets at most 256 rows in any window; a common gram has
+a row in each block that it goes back to. URLs are
 scored in blocks of about BLOCK_CHARS characters, each with the figures of its own grams only.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no rule and
 is judged by the models as an empty string; repeated rows are judged alike; if rules label
-nothing on one side, the models know nothing and allow.
+nothing on one side, the models know nothing and allow. An empty table gives an empty one; only the
+id and the url are read, so other columns may have any name.
 """
 
 from __future__ import annotations
