@@ -3,6 +3,9 @@
 Every stage takes all rows that its predecessor kept. Between stages ``run`` writes the rows to
 the shared checkpoint folder, so that a stage which reads its input more than once never
 repeats the work of the stages before it, and a lost executor costs one stage at most.
+
+Every stage takes null, empty and very long texts, repeated rows and columns of any name, as its operator
+defines them; an empty table of documents gives an empty one.
 """
 
 from __future__ import annotations
