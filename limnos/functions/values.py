@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRUE_CODES = ("y", "yes", "ja", "true", "1")
@@ -185,6 +185,25 @@ def canonical_digest(*columns: Column) -> Column:
     return F.sha2(reduce(lambda a, b: F.concat(a, F.lit("\u0001"), b), [F.coalesce(c.cast("string"), F.lit("\u0002")) for c in columns]), 256)
 
 
+def json_value(c: Column, kind: str) -> Column:
+    """A value as JSON text can hold it, for a column of type ``kind``: dates and times in ISO form, what JSON has no type for as its text; arrays and maps by their members."""
+    if kind.startswith("timestamp"):
+        whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        micros = F.date_format(c, "SSSSSS")
+        return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+    if kind.startswith("array<"):
+        return F.transform(c, lambda x: json_value(x, kind[6:-1]))
+    if kind.startswith("map<string,"):
+        return F.transform_values(c, lambda _, x: json_value(x, kind[11:-1]))
+    plain = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+    return c if kind in plain or kind.startswith("struct<") else c.cast("string")
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """(json): every row as an object, nulls kept."""
+    return df.select(F.to_json(F.struct(*(json_value(F.col(f"`{name}`"), kind).alias(name) for name, kind in df.dtypes)), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def csv_guard(c: Column) -> Column:
     """Cells that a spreadsheet would run as formulas get a leading apostrophe."""
     return F.when(F.ltrim(c).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)

@@ -213,8 +213,13 @@ def ancestors(classes: DataFrame) -> DataFrame:
         size = now
 
 
-def viewer_json(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """One row per source label for the viewer: nodes and edges as JSON, split by label so that no row holds the whole graph."""
-    n = node_table.groupBy("label").agg(F.to_json(F.array_sort(F.collect_list(F.struct("key", "label")))).alias("json")).select(F.concat(F.lit("nodes/"), "label").alias("part"), "json")
-    e = edge_table.groupBy("name").agg(F.to_json(F.array_sort(F.collect_list(F.struct("start_key", "end_key", "type")))).alias("json")).select(F.concat(F.lit("edges/"), "name").alias("part"), "json")
-    return n.union(e)
+def viewer_json(node_table: DataFrame, edge_table: DataFrame, size: int = 100_000) -> DataFrame:
+    """(part, json): nodes and edges for the viewer as JSON arrays, a part per label, numbered parts of about ``size`` entries where a label has more."""
+
+    def parts(df: DataFrame, kind: str, label: str, entry: list[str]) -> DataFrame:
+        pieces = df.groupBy(label).agg(F.ceil(F.count("*") / size).alias("_n"))
+        keyed = df.join(F.broadcast(pieces), label).withColumn("_k", F.pmod(F.xxhash64(*entry), F.col("_n")))
+        part = F.concat(F.lit(f"{kind}/"), label, F.when(F.col("_n") > 1, F.concat(F.lit("/"), F.col("_k").cast("string"))).otherwise(""))
+        return keyed.groupBy(part.alias("part")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*entry)))).alias("json"))
+
+    return parts(node_table, "nodes", "label", ["key", "label"]).union(parts(edge_table, "edges", "name", ["start_key", "end_key", "type"]))

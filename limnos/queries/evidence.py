@@ -108,3 +108,35 @@ def family_by_gain(spark, d):
     o = t(spark, d, "orders").select(F.col("o_custkey").alias("profile"), F.col("o_orderpriority").alias("family"), F.when(F.col("o_totalprice") > 150000, 3).otherwise(0).alias("gain"), "o_orderkey")
     best = C.family_choice(o.where("o_orderkey % 2 = 0"), o.select("profile", "family").distinct(), epsilon=0.0)
     return best.withColumn("value", F.round("value", 9))
+
+
+@query("""
+select '{"key":' || o_orderkey || ',"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","status":"' || o_orderstatus || '","none":null,"parts":["' || o_orderdate::date || '"],"more":{"k":"' || cast(cast(o_custkey as decimal(12, 2)) as varchar) || '"}}' as json from orders""")
+def order_objects(spark, d):
+    """Every order as a JSON object: dates in ISO form, decimals as text, in members too."""
+    o = t(spark, d, "orders")
+    day, price = F.col("o_orderdate").cast("date"), F.col("o_custkey").cast("decimal(12,2)")
+    return V.json_rows(o.select(F.col("o_orderkey").alias("key"), day.alias("day"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("timestamp").alias("none"), F.array(day).alias("parts"), F.create_map(F.lit("k"), price).alias("more")))
+
+
+@query("""
+with n as (select 'nation' as t, 'Nation' as label, cast(n_nationkey as varchar) as key from nation union all select 'customer', 'Customer', cast(c_custkey as varchar) from customer union all select 'orders', 'Order', cast(o_orderkey as varchar) from orders),
+e as (select 'in_nation' as name, cast(c_custkey as varchar) as start_key, cast(c_nationkey as varchar) as end_key, 'IN_NATION' as type from customer union all select 'placed', cast(o_custkey as varchar), cast(o_orderkey as varchar), 'PLACED' from orders)
+select 'nodes/' || label as part, sha256('[' || string_agg('{"key":"' || key || '","label":"' || label || '"}', ',' order by key) || ']') as sha from n group by label
+union all select 'edges/' || name, sha256('[' || string_agg('{"start_key":"' || start_key || '","end_key":"' || end_key || '","type":"' || type || '"}', ',' order by start_key, end_key, type) || ']') from e group by name""")
+def viewer_parts(spark, d):
+    """The graph of nations, customers and orders for the viewer."""
+    from limnos.operators import graph as G
+    from limnos.queries.entities import _graph
+
+    return G.viewer_json(*_graph(spark, d)).select("part", F.sha2("json", 256).alias("sha"))
+
+
+@query("select trim(n_name) as code, arg_max(c_name, c_custkey) as name, arg_max(c_mktsegment, c_custkey) as segment from customer join nation on n_nationkey = c_nationkey group by 1")
+def properties_by_code(spark, d):
+    """The properties of each code's last feature."""
+    from limnos.sources.readers import last_by_code
+
+    rows = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    features = rows.select(F.col("c_custkey").alias("position"), F.create_map(F.lit("owk"), F.trim("n_name"), F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")).alias("properties"))
+    return last_by_code(features, "owk").select("code", F.col("properties.name").alias("name"), F.col("properties.segment").alias("segment"))
