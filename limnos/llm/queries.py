@@ -134,11 +134,12 @@ k as (select *, count(*) over (partition by normal) as n, row_number() over w as
 select doc_id, keep_id, n as group_size, place = 1 as kept, sha256(normal) as text_sha256 from k"""
 
 
-#: Windows over lists of words, products in 128 bits.
+#: Words with the two after them, products in 128 bits.
 _OP12 = r"""
 with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
-w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
-g as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase, count(*) as c from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (values (1), (2), (3)) v(m) where len(w) >= m) group by all),
+w as (select lang, row_number() over () as r, regexp_extract_all(p, '[^\x20\x09]+') as w from p), u as (select lang, r, unnest(w) as a, generate_subscripts(w, 1) as i from w),
+t as (select lang, a, lead(a, 1) over o as b, lead(a, 2) over o as c from u window o as (partition by r order by i)),
+g as (select lang, 1 as m, a as phrase, count(*) as c from t group by all union all select lang, 2, a || ' ' || b, count(*) from t where b is not null group by all union all select lang, 3, a || ' ' || b || ' ' || c, count(*) from t where c is not null group by all),
 n as (select lang, cast(sum(c) as bigint) as n from g where m = 1 group by lang), cand as (select *, string_split(phrase, ' ') as ws from g where m >= 2 and c >= 10),
 inside as (select lang, array_to_string(ws[i : i + 1], ' ') as phrase, max(c) as longest from cand, (values (1), (2)) v(i) where m = 3 group by all),
 cuts as (select cand.lang, cand.phrase, c as a, k, array_to_string(ws[1 : k], ' ') as head, array_to_string(ws[k + 1 : m], ' ') as tail from cand left join inside using (lang, phrase), (values (1), (2)) v(k) where k < m and coalesce(100 * longest < 50 * c, true)),
