@@ -54,7 +54,7 @@ def prefix_causal_candidates(spark, d):
     p = t(spark, d, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "Maßnahme").when(F.col("p_size") % 3 == 1, "Zustand").otherwise("Sonstiges")
     events = p.select(F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("event_id"), F.concat(F.lit("X_"), (F.col("p_partkey") % 100 + 1).cast("string")).alias("code"), kind.alias("record_type"), F.col("p_name").alias("statement"), F.lit("s").alias("source"))
-    return P.causal_candidates(events, P.spatial_edges(_bodies(spark, d))).select("cause_event_id", "effect_event_id", F.col("hydro_distance").cast("long").alias("hydro_distance"))
+    return P.causal_candidates(events, P.flow_edges(_bodies(spark, d), events)).select("cause_event_id", "effect_event_id", F.col("hydro_distance").cast("long").alias("hydro_distance"))
 
 
 @query("select p_brand as key, arg_min(p_name, row(length(p_name), p_partkey)) as name, min(p_partkey) as pos from part group by 1")
