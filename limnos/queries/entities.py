@@ -41,7 +41,7 @@ def prefix_relations(spark, d):
 select relation, count(*) as edges, count(*) filter (where sa <> sb) as cross_document_edges from (select {_REL} as relation, a.src as sa, b.src as sb
 from {_BODIES} a join {_BODIES} b on a.pos < b.pos and left(a.gkz, 2) = left(b.gkz, 2)) group by 1""")
 def relation_summary(spark, d):
-    return P.relation_summary(P.spatial_edges(_bodies(spark, d)))
+    return P.relation_counts(_bodies(spark, d))
 
 
 @query(f"""
