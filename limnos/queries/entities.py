@@ -247,7 +247,7 @@ select point_id, polygon_id, round(sqrt(dx * dx + dy * dy), 6) as distance from
 def geo_within_distance(spark, d):
     left, right = _boxes(spark, d)
     corner = F.get(F.get(F.get("geometry", 0), 0), 0)
-    return S.within_distance(left.select("id", corner["x"].alias("x"), corner["y"].alias("y")), right, 50.0).withColumn("distance", F.round("distance", 6))
+    return S.within_distance(left.select("id", corner["x"].alias("x"), corner["y"].alias("y")), right, 50.0, digits=6)
 
 
 _SLABS = """
