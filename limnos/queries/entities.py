@@ -286,7 +286,7 @@ def _bent(spark, d):
 @query(_gaps(_B))
 def geo_lines_near_polygons(spark, d):
     """Bent lines and boxes no more than 50 apart, 0 where a line enters a box or lies in it."""
-    return S.geometries_within(_bent(spark, d), _boxes(spark, d)[1], 50.0).withColumn("distance", F.round("distance", 6))
+    return S.geometries_within(_bent(spark, d), _boxes(spark, d)[1], 50.0, digits=6)
 
 
 @query(_gaps(_BARS))
