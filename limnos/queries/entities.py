@@ -295,4 +295,4 @@ def geo_line_pairs(spark, d):
     point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     x, y = (F.col("s_suppkey") * 53) % 5000, (F.col("s_suppkey") * 71) % 5000
     bars = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.array(point(x, y), point(x + 900, y))).alias("geometry"))
-    return S.geometries_within(_bent(spark, d), bars, 50.0).withColumn("distance", F.round("distance", 6))
+    return S.geometries_within(_bent(spark, d), bars, 50.0, digits=6)
