@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,3 +226,63 @@ def viewer_json(node_table: DataFrame, edge_table: DataFrame, size: int = 100_00
         return keyed.groupBy(part.alias("part")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*entry)))).alias("json"))
 
     return parts(node_table, "nodes", "label", ["key", "label"]).union(parts(edge_table, "edges", "name", ["start_key", "end_key", "type"]))
+
+
+#: Bytes of entries that travel in one row.
+PIECE = 16_384
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(task, part, number, piece) of entries sorted by part: consecutive ones joined by commas, about PIECE bytes each."""
+    last, held, size, number = None, [], 0, 0
+
+    def rows(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(("task", "part", "number", "piece"), map(list, zip(*done)))), pa.schema([("task", pa.int32()), ("part", pa.string()), ("number", pa.int64()), ("piece", pa.string())]))
+
+    for batch in batches:
+        done = []
+        for task, part, entry in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and (part != last[1] or size > PIECE):
+                done.append((*last, number, ",".join(held)))
+                held, size, number = [], 0, number + 1
+            last = (task, part)
+            held.append(entry)
+            size += len(entry)
+        if done:
+            yield rows(done)
+    if held:
+        yield rows([(*last, number, ",".join(held))])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, sha) of pieces sorted by part and place."""
+    last, running, done = None, None, []
+    for batch in batches:
+        for part, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            if running is not None and part == last:
+                running.update(b"," + piece.encode())
+                continue
+            if running is not None:
+                done.append((last, running))
+            last, running = part, hashlib.sha256(b"[" + piece.encode())
+    if running is not None:
+        done.append((last, running))
+    for _, running in done:
+        running.update(b"]")
+    yield pa.RecordBatch.from_pydict({"part": [p for p, _ in done], "sha": [r.hexdigest() for _, r in done]}, pa.schema([("part", pa.string()), ("sha", pa.string())]))
+
+
+def viewer_digests(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """(part, sha): the SHA-256 of each label's whole JSON array for the viewer, entries in order.
+
+    Entries are sorted by ranges over all tasks and joined to small pieces there; a part's digest reads its pieces
+    in order as a stream in one task, since it can be computed in no other way, and holds none of them.
+    """
+
+    def entries(df: DataFrame, kind: str, label: str, entry: list[str]) -> DataFrame:
+        return df.select(F.concat(F.lit(f"{kind}/"), label).alias("part"), F.array(*entry).alias("at"), F.to_json(F.struct(*entry)).alias("entry"))
+
+    rows = entries(node_table, "nodes", "label", ["key", "label"]).union(entries(edge_table, "edges", "name", ["start_key", "end_key", "type"]))
+    dealt = rows.repartitionByRange("part", "at").sortWithinPartitions("part", "at")
+    pieces = dealt.select(F.spark_partition_id().alias("task"), "part", "entry").mapInArrow(_pieces, "task int, part string, number long, piece string")
+    return pieces.repartition("part").sortWithinPartitions("part", "task", "number").select("part", "piece").mapInArrow(_digests, "part string, sha string")
