@@ -140,12 +140,42 @@ def identity_spans(text: Column, names: list[str], exclusions: list[str] = (), r
         v = F.regexp_replace(v, r"(?U)(?<!\w)" + re.escape(other) + r"(?!\w)", " " * len(other))
     found = []
     for name in names:
-        term = re.escape(name.lower().replace("-", ""))
-        windows = F.regexp_extract_all(v, F.lit(rf"(?Us)((?:.{{0,{reach}}})(?<!\w){term}(?!\w).{{0,{reach}}})"), F.lit(1))
-        found.append(F.transform(windows, _named(name)))
+        found.append(F.transform(_windows(v, name.lower().replace("-", ""), reach), _named(name)))
     return F.concat(*found)
 
 
+def _windows(v: Column, term: str, reach: int) -> Column:
+    r"""What ``(?Us).{0,reach}(?<!\w)term(?!\w).{0,reach}`` finds one after another, in one pass.
+
+    The text is split where the term begins; a fold over the parts opens a window at the first place
+    not yet used, moves its term on as far as ``reach`` allows, and closes it.
+    """
+    quoted = re.escape(term)
+    if not term:
+        return F.regexp_extract_all(v, F.lit(rf"(?Us)(.{{0,{reach}}}(?<!\w)(?!\w).{{0,{reach}}})"), F.lit(1))
+    end = lambda w: w["name"] + len(term) + reach
+    span = lambda w: F.array(F.struct(w["start"].alias("start"), end(w).alias("end")))
+
+    def moved(w: Column, part: Column) -> Column:
+        at = w["at"]
+        named, open_ = (at > 0) | w["leads"], w["start"] >= 0
+        keeps = named & open_ & (at <= w["start"] + reach)
+        closes = named & open_ & (at > w["start"] + reach)
+        used = F.when(closes, end(w)).otherwise(w["used"])
+        opens = named & ~keeps & (at >= used)
+        start = F.when(~named | keeps, w["start"]).when(opens, F.greatest(used, at - reach)).otherwise(-1)
+        return F.struct((at + F.length(part)).alias("at"), w["leads"].alias("leads"), used.alias("used"), start.alias("start"), F.when(keeps | opens, at).otherwise(w["name"]).alias("name"), F.when(closes, F.concat(w["out"], span(w))).otherwise(w["out"]).alias("out"))
+
+    def spans(u: Column) -> Column:
+        none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+        first = F.struct(F.lit(0).alias("at"), F.coalesce(F.regexp_like(u, F.lit(rf"(?U)^{quoted}(?!\w)")), F.lit(False)).alias("leads"), F.lit(0).alias("used"), F.lit(-1).alias("start"), F.lit(0).alias("name"), none.alias("out"))
+        parts = F.split(u, rf"(?U)(?={quoted}(?!\w))(?<!\w)", -1)
+        found = F.aggregate(parts, first, moved, lambda w: F.when(w["start"] >= 0, F.concat(w["out"], span(w))).otherwise(w["out"]))
+        return F.when(F.contains(u, F.lit(term)), F.transform(found, lambda s: F.substr(u, s["start"] + 1, s["end"] - s["start"]))).when(u.isNotNull(), F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(v), spans), 0)
+
+
 def clip(c: Column, n: int) -> Column:
     return F.substr(F.coalesce(c, F.lit("")), F.lit(1), F.lit(n))
 

@@ -83,7 +83,16 @@ def link_priority(url: Column, label: Column, context: Column, navigation: Colum
 
 def local_topics(text: Column, names: list[str], topics: list[str], reach: int = 250) -> Column:
     """Topics within so many characters of a name, in one paragraph."""
-    windows = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n"), lambda p: F.transform(T.identity_spans(p, names, (), reach), lambda s: s["window"])))
+    return window_topics(local_windows(text, names, reach), topics)
+
+
+def local_windows(text: Column, names: list[str], reach: int = 250) -> Column:
+    """Surroundings of names, each within its paragraph."""
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n"), lambda p: F.transform(T.identity_spans(p, names, (), reach), lambda s: s["window"])))
+
+
+def window_topics(windows: Column, topics: list[str]) -> Column:
+    """Topics in any of the windows."""
     return F.array_distinct(F.flatten(F.transform(windows, lambda w: T.matched_terms(w, topics))))
 
 
