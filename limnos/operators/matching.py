@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +37,88 @@ def nearest(points: DataFrame, targets: DataFrame, max_distance: float) -> DataF
     return points.select("id").join(best, "id", "left").select("id", F.col("b.target").alias("target"), F.col("b.distance").alias("distance"), status.alias("status"))
 
 
+#: Queries and vectors of one block of products, and those of one matrix within it.
+QUERIES, VECTORS = 8_192, 16_384
+TILE = (512, 4_096)
+
+
+def _matrix(lists: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors filled up with zeros, their lengths): -1 for one that is null or holds a null."""
+    lists = lists.combine_chunks() if lists.num_chunks != 1 else lists.chunk(0)
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    out = np.zeros((len(size), width))
+    out[np.arange(width) < size[:, None]] = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    broken = lists.is_null().to_numpy(zero_copy_only=False)
+    broken[pc.list_parent_indices(lists).to_numpy()[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+    out[broken] = 0.0
+    return out, np.where(broken, -1, size)
+
+
+def _best_of_block(k: int):
+    """The k best vectors of a block for each of its queries: matrix products, of which only what may still be among the best is kept."""
+    names, kinds = ("q", "id", "c"), (pa.int64(), pa.int64(), pa.float64())
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if queries.num_rows and vectors.num_rows:
+            vectors = vectors.sort_by("id")
+            width = max(pc.max(pc.list_value_length(x["v"])).as_py() or 0 for x in (queries, vectors))
+            (a, a_size), (b, b_size) = _matrix(queries["v"], width), _matrix(vectors["v"], width)
+            a_norm, b_norm = (np.sqrt((m * m).sum(1)) for m in (a, b))
+            a_id, b_id = queries["id"].to_numpy(), vectors["id"].to_numpy()
+            for lo in range(0, len(a), TILE[0]):
+                mine = slice(lo, lo + TILE[0])
+                best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
+                least = np.full(len(a_id[mine]), -np.inf)  # what the k-th best so far has; of equals the one that came first stays
+                for at in range(0, len(b), TILE[1]):
+                    theirs = slice(at, at + TILE[1])
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        c = (a[mine] @ b[theirs].T) / (a_norm[mine, None] * b_norm[None, theirs])
+                    score = np.floor(c * 1e9 + 0.5)
+                    score[np.isnan(c)] = np.inf
+                    score[(a_size[mine, None] != b_size[None, theirs]) | (a_size[mine, None] < 0)] = -1e300
+                    score[a_id[mine, None] == b_id[None, theirs]] = -np.inf
+                    if at == 0 and score.shape[1] > k:
+                        floor = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
+                        keep = (score >= floor[:, None]) & (score > -np.inf)
+                    else:
+                        keep = score > least[:, None]
+                    i, j = np.nonzero(keep)
+                    if not len(i):
+                        continue
+                    i, j, s, c = (np.concatenate(x) for x in zip(best, (i, at + j, score[i, j], c[i, j])))
+                    order = np.lexsort((j, -s, i))
+                    i, j, s, c = i[order], j[order], s[order], c[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    least[i[rank == k - 1]] = s[rank == k - 1]
+                    best = tuple(x[rank < k] for x in (i, j, s, c))
+                i, j, s, c = best
+                for column, x in zip(out, (a_id[mine][i], b_id[j], pa.array(c, mask=s == -1e300))):
+                    column.append(pa.array(x))
+        return pa.table([pa.chunked_array(x, kind) for x, kind in zip(out, kinds)], names=names)
+
+    return run
+
+
+def most_similar(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(q, id, c, rank): for each of ``queries(id, v)`` the k of ``vectors(id, v)`` with other ids and the greatest cosine, exact to 9 digits; of equals the least ids.
+
+    A vector without length has no direction (NaN, first); one that is null, holds a null or has another length has no cosine (last).
+    Queries are dealt to blocks of about QUERIES, vectors to blocks of about VECTORS; each pair of blocks is one
+    group, of which k rows a query are left, so memory is bounded and the products are spread over all tasks.
+    """
+    queries, vectors = (df.select(F.col("id").cast("long").alias("id"), F.col("v").alias("v")).where("id is not null") for df in (queries, vectors))
+    blocks, shards = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERIES), (vectors, VECTORS)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("id", "v", dealt(blocks).alias("block")).withColumn("shard", every(shards))
+    right = vectors.select("id", "v", dealt(shards).alias("shard")).withColumn("block", every(blocks))
+    found = left.repartition(blocks * shards, "block", "shard").groupBy("block", "shard").cogroup(right.repartition(blocks * shards, "block", "shard").groupBy("block", "shard")).applyInArrow(_best_of_block(k), "q long, id long, c double")
+    w = Window.partitionBy("q").orderBy(F.desc(F.round("c", 9)), "id")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
 #: Segments beyond those that unmatched characters can spoil: so many of the most common ones need no look-up.
 SPARE_SEGMENTS = 4
 

@@ -88,23 +88,9 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double))
 s as (select q.vec_id as q, v.vec_id as id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) as c from q, v where q.vec_id <> v.vec_id)
 select q, id, round(c, 4) as cosine, rank from (select *, row_number() over (partition by q order by round(c, 9) desc, id) as rank from s) where rank <= 5""")
 def vector_topk(spark, d):
-    """Every vector whose id is divisible by 100 against all, the queries broadcast a block of 100,000 ids at a time."""
-    ids = t(spark, d, "embeddings").agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).first()
-    out = _topk(spark, d, F.lit(False))
-    for k in range(ids.lo // 100_000, ids.hi // 100_000 + 1) if ids.lo is not None else ():
-        out = out.union(_topk(spark, d, (F.col("vec_id") % 100 == 0) & (F.floor(F.col("vec_id") / 100_000) == k)))
-    return out
-
-
-def _topk(spark, d, queries):
-    v = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = v.where(queries).select(F.col("vec_id").alias("q"), F.col("e").alias("qe"))
-    s = F.broadcast(q).join(v, F.expr("q <> vec_id")).select("q", F.col("vec_id").alias("id"), (dot(F.col("qe"), F.col("e")) / (F.sqrt(dot(F.col("qe"), F.col("qe"))) * F.sqrt(dot(F.col("e"), F.col("e"))))).alias("c"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("q").orderBy(F.desc(F.round("c", 9)), "id")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q", "id", F.round("c", 4).alias("cosine"), "rank")
+    """Every vector whose id is divisible by 100 against all."""
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return M.most_similar(v.where("id % 100 = 0"), v, 5).select("q", "id", F.round("c", 4).alias("cosine"), "rank")
 
 
 @query("""
