@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.functions import text as T
-from limnos.session import cut_lineage
+from limnos.session import store
 from limnos.sources.sinks import publish
 
 
@@ -201,19 +201,18 @@ def triples(events: DataFrame, relationships: DataFrame) -> DataFrame:
 def ancestors(classes: DataFrame) -> DataFrame:
     """(class, ancestor, depth) closure of ``classes(class, parent)``, however deep; the least depth of each pair.
 
-    Pairs of distance up to 2^k are joined with each other, so a chain of n classes takes log2(n)
-    rounds. A class on a cycle is an ancestor of itself; rounds end where no pair is new or nearer.
+    Pairs of distance exactly 2^k are joined with those of up to 2^k, so a chain of n classes takes log2(n) rounds and no
+    distance beyond 2^k is met by more than one of its splits. A class on a cycle is an ancestor of itself; rounds end
+    where no pair is as far apart as the round reaches.
     """
-    known = cut_lineage(classes.where("parent is not null and class is not null").select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    size = known.agg(F.count("*"), F.coalesce(F.sum("depth"), F.lit(0))).first()
-    while True:
+    known = store(classes.where("parent is not null and class is not null").select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    reach = 1
+    while not (far := known.where(F.col("depth") == reach)).isEmpty():
         upper = known.select(F.col("class").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
-        further = known.join(upper, "ancestor").select("class", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
-        known = cut_lineage(known.union(further).groupBy("class", "ancestor").agg(F.min("depth").alias("depth")))
-        now = known.agg(F.count("*"), F.coalesce(F.sum("depth"), F.lit(0))).first()
-        if now == size:
-            return known
-        size = now
+        further = far.join(upper, "ancestor").groupBy("class", F.col("_a").alias("ancestor")).agg((F.min("_d") + reach).alias("depth"))
+        known = known.union(store(further.join(known.select("class", "ancestor"), ["class", "ancestor"], "left_anti")))
+        reach *= 2
+    return known
 
 
 def viewer_json(node_table: DataFrame, edge_table: DataFrame, size: int = 100_000) -> DataFrame:

@@ -43,3 +43,22 @@ def test_most_similar_equals_all_pairs(spark, monkeypatch, sizes):
 
 def test_vector_topk_multiplies_blocks(spark):
     assert "NestedLoop" not in plan(entry.queries()["vector_topk"](spark, "/root/testdata/sf0.001"))
+
+
+def test_closure_stores_no_pair_twice(spark, monkeypatch):
+    """A random graph with cycles and several parents against breadth-first search."""
+    from limnos.operators import graph as G
+
+    rng = random.Random(5)
+    parents = {k: {rng.randrange(60) for _ in range(rng.choice([0, 1, 1, 2]))} for k in range(60)} | {k: {k + 1} for k in range(100, 140)}
+    stored, store = [], G.store
+    monkeypatch.setattr(G, "store", lambda df: stored.append(store(df)) or stored[-1])
+    df = spark.createDataFrame([(c, p) for c, ps in parents.items() for p in [*ps, None]], "class long, parent long")
+    want, steps = {}, 0
+    for c in parents:
+        level, depth = parents[c], 1
+        while level:
+            want |= {(c, a): depth for a in level}
+            level, depth = {p for a in level for p in parents.get(a, ())} - {a for x, a in want if x == c}, depth + 1
+    assert {(r["class"], r.ancestor): r.depth for r in G.ancestors(df).collect()} == want
+    assert sum(s.count() for s in stored) == len(want)
