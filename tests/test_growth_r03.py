@@ -62,3 +62,15 @@ def test_closure_stores_no_pair_twice(spark, monkeypatch):
             level, depth = {p for a in level for p in parents.get(a, ())} - {a for x, a in want if x == c}, depth + 1
     assert {(r["class"], r.ancestor): r.depth for r in G.ancestors(df).collect()} == want
     assert sum(s.count() for s in stored) == len(want)
+
+
+def test_triples_are_dealt_by_subject_before_they_are_made(spark, monkeypatch):
+    from limnos.operators import graph as G
+
+    monkeypatch.setattr(G, "RECORDS", 10)
+    events = spark.range(100).selectExpr("cast(id % 40 as string) as event_id", "'w' as eu_cd_lw", "'Messung' as record_type", "concat('s', id % 80) as statement", "cast(null as string) as time_original", "'' as quote", "'d' as source_document")
+    links = spark.range(0).selectExpr("'' as relationship_id", "'' as source_event_id", "'' as target_event_id", "'' as relationship_type", "'' as mechanism", "'' as source_document")
+    out = G.triples(events, links)
+    assert out.count() == out.distinct().count() == 40 * 5 + 80 * 2
+    own = plan(out).split("Union")[1].split("causal-link")[0]
+    assert own.index("Generate") < own.index("Exchange hashpartitioning")  # in the printed tree what comes first stands below
