@@ -75,17 +75,23 @@ def merge_facts(df: DataFrame, id_column: str, order: str, evidence: str = "evid
     return out, ids
 
 
-def resolve_references(rows: DataFrame, ids: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+#: Ids that one task sorts or holds.
+IDS = 500_000
+
+
+def resolve_references(rows: DataFrame, ids: DataFrame, columns: list[str], size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Local references to global ids: ``ids(chunk_id, local_id, global_id)``, the own chunk first, then a global id given outright.
 
-    (resolved rows, rows with an unresolved reference).
+    (resolved rows, rows with an unresolved reference). Both sides are dealt to tasks of about IDS ids; ``size`` is how
+    many there are at most, if that is known, and saves counting them.
     """
     out = rows
-    known = ids.select("global_id").distinct()
+    parts = max(1, -(-(ids.count() if size is None else size) // IDS))
+    known = ids.select("global_id").repartition(parts, "global_id").distinct()
     for c in columns:
-        local = ids.select("chunk_id", F.col("local_id").alias(c), F.col("global_id").alias(f"_{c}"))
+        local = ids.select("chunk_id", F.col("local_id").alias(c), F.col("global_id").alias(f"_{c}")).repartition(parts, "chunk_id", c)
         outright = known.select(F.col("global_id").alias(c), F.col("global_id").alias(f"_g{c}"))
-        out = out.join(local, ["chunk_id", c], "left").join(outright, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", f"_g{c}")).drop(f"_g{c}")
+        out = out.repartition(parts, "chunk_id", c).join(local, ["chunk_id", c], "left").repartition(parts, c).join(outright, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", f"_g{c}")).drop(f"_g{c}")
     fine = F.lit(True)
     for c in columns:
         fine = fine & F.col(f"_{c}").isNotNull()

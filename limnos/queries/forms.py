@@ -86,9 +86,12 @@ select o_orderkey as chunk_id, o_orderkey || ':1' as a, o_orderkey || ':2' as b,
 union all select o_orderkey, '1', o_orderkey || ':2', false from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 1) or o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 2)""")
 def reference_resolution(spark, d):
     """Local numbers of lines, and lines named outright, to global ids; orders that lack one are unresolved."""
-    ids = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").cast("string").alias("local_id"), _text(F.col("l_orderkey"), ":", F.col("l_linenumber")).alias("global_id")).distinct()
+    items = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    size = items.count()
+    keys = items.repartition(max(1, -(-size // D.IDS)), "l_orderkey", "l_linenumber").distinct()
+    ids = keys.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").cast("string").alias("local_id"), _text(F.col("l_orderkey"), ":", F.col("l_linenumber")).alias("global_id"))
     rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.lit("1").alias("a"), _text(F.col("o_orderkey"), ":2").alias("b"))
-    good, bad = D.resolve_references(rows, ids, ["a", "b"])
+    good, bad = D.resolve_references(rows, ids, ["a", "b"], size)
     return good.withColumn("resolved", F.lit(True)).unionByName(bad.withColumn("resolved", F.lit(False)))
 
 

@@ -74,3 +74,11 @@ def test_triples_are_dealt_by_subject_before_they_are_made(spark, monkeypatch):
     assert out.count() == out.distinct().count() == 40 * 5 + 80 * 2
     own = plan(out).split("Union")[1].split("causal-link")[0]
     assert own.index("Generate") < own.index("Exchange hashpartitioning")  # in the printed tree what comes first stands below
+
+
+def test_references_are_dealt_by_number_of_ids(spark, monkeypatch):
+    from limnos.operators import facts as D
+
+    monkeypatch.setattr(D, "IDS", 100)
+    out = plan(entry.queries()["reference_resolution"](spark, "/root/testdata/sf0.001"))
+    assert out.count("REPARTITION_BY_NUM") >= 6
