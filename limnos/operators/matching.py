@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from limnos.functions import text as T
+from limnos.session import store
 
 
 def name_to_code(rows: DataFrame, prefer: str = "") -> DataFrame:
@@ -20,19 +21,38 @@ def name_to_code(rows: DataFrame, prefer: str = "") -> DataFrame:
     return counted.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("key", "code")
 
 
+#: Targets in the cell of a target, on average, with which the search for neighbours begins, and how often cells can be halved for it.
+CROWD, HALVINGS = 8, 24
+
+
 def nearest(points: DataFrame, targets: DataFrame, max_distance: float) -> DataFrame:
     """Nearest target of each point within 2 * max_distance, with status auto, review or none.
 
-    A grid of that width finds it: a target that near lies in one of the nine cells around the
-    point. ``points(id, x, y)``, ``targets(target, x, y)``; ties go to the least target.
+    A grid finds it: a target no farther than a cell is wide lies in one of the nine cells around the point. The search
+    begins with cells so small that they hold few targets; points without a target that near go on to cells twice as
+    wide, up to 2 * max_distance, so that no point is compared with all of a crowd. Equal places are compared once.
+    ``points(id, x, y)``, ``targets(target, x, y)``; ties go to the least target.
     """
     width = 2 * max_distance
-    cell = lambda c: F.floor(F.col(c) / width)
-    around = F.array(*(F.struct((cell("x") + dx).alias("cx"), (cell("y") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    near = points.select("id", "x", "y", F.explode(around).alias("c")).select("id", "x", "y", "c.cx", "c.cy")
-    held = targets.select("target", F.col("x").alias("tx"), F.col("y").alias("ty"), cell("x").alias("cx"), cell("y").alias("cy"))
+    held = store(targets.where("x is not null and y is not null").groupBy(F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("target").alias("target")))
+    rest = store(points.where("x is not null and y is not null").select("x", "y").distinct())
+    cell = lambda c, w: F.floor(F.col(c) / w)
+    crowd = lambda w: held.groupBy(cell("tx", w), cell("ty", w)).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")) / F.sum("n"), F.lit(0.0))).first()[0]
+    halvings = 0
+    while halvings < HALVINGS and crowd(width / 2**halvings) > CROWD:
+        halvings += 1
+    found = None
     d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    best = near.join(held, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= width).groupBy("id").agg(F.min(F.struct("distance", "target")).alias("b"))
+    for k in range(halvings, -1, -1):
+        w = width / 2**k
+        around = F.array(*(F.struct((cell("x", w) + dx).alias("cx"), (cell("y", w) + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
+        near = rest.select("x", "y", F.explode(around).alias("c")).select("x", "y", "c.cx", "c.cy")
+        met = near.join(held.withColumn("cx", cell("tx", w)).withColumn("cy", cell("ty", w)), ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= w)
+        settled = store(met.groupBy("x", "y").agg(F.min(F.struct("distance", "target")).alias("b")))
+        found = settled if found is None else found.unionByName(settled)
+        if k:
+            rest = store(rest.join(settled, ["x", "y"], "left_anti"))
+    best = points.select("id", "x", "y").join(found, ["x", "y"]).groupBy("id").agg(F.min("b").alias("b"))
     status = F.when(F.col("b.distance") <= max_distance, "auto").when(F.col("b.distance").isNotNull(), "review").otherwise("none")
     return points.select("id").join(best, "id", "left").select("id", F.col("b.target").alias("target"), F.col("b.distance").alias("distance"), status.alias("status"))
 

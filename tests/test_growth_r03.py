@@ -82,3 +82,21 @@ def test_references_are_dealt_by_number_of_ids(spark, monkeypatch):
     monkeypatch.setattr(D, "IDS", 100)
     out = plan(entry.queries()["reference_resolution"](spark, "/root/testdata/sf0.001"))
     assert out.count("REPARTITION_BY_NUM") >= 6
+
+
+def test_nearest_in_crowds_equals_all_pairs(spark, monkeypatch):
+    """Crowds of several widths, equal places, lone points at the edge; the search begins with small cells."""
+    stored, store = [], M.store
+    monkeypatch.setattr(M, "store", lambda df: stored.append(store(df)) or stored[-1])
+    rng = random.Random(8)
+    at = lambda s: (rng.gauss(0.3, s), rng.gauss(-0.2, s))
+    points, targets = ([at(rng.choice([1e-5, 1e-3, 0.05, 0.5])) for _ in range(400)] for _ in range(2))
+    points += points[:30] + targets[:30] + [(None, 0.0)]
+    targets += targets[:30] + [(0.3, None)]
+    p, t = (spark.createDataFrame([(k, *xy) for k, xy in enumerate(side)], f"{name} long, x double, y double") for side, name in ((points, "id"), (targets, "target")))
+    got = {r.id: (r.target, r.status) for r in M.nearest(p, t, 0.05).collect()}
+    for k, (x, y) in enumerate(points):
+        best = min(((math.hypot(x - a, y - b), j) for j, (a, b) in enumerate(targets) if b is not None), default=None) if x is not None else None
+        far = best is None or best[0] > 0.1
+        assert got[k] == ((None, "none") if far else (best[1], "auto" if best[0] <= 0.05 else "review"))
+    assert len(got) == len(points) and len(stored) > 8
