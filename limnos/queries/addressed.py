@@ -33,8 +33,10 @@ def dbf_ranges(spark, d):
     path = scratch(spark)
     record = F.concat(F.when(F.col("p_partkey") % 7 == 0, "*").otherwise(" "), F.rpad(F.col("p_partkey").cast("string"), 10, " "), F.lpad(F.col("p_size").cast("string"), 6, " "))
     files = t(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("g")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", record.alias("r")))).alias("r"))
-    files.select("g", F.concat(_dbf_head(F.size("r")), F.array_join(F.transform("r", lambda x: x["r"]), "")).alias("value")).repartition("g").write.partitionBy("g").text(path)
-    rows = spark.read.format("dbf").option("suffix", ".txt").option("records", 40).load(path)
+    body = F.concat(_dbf_head(F.size("r")), F.array_join(F.transform("r", lambda x: x["r"]), ""))
+    name = F.concat(F.floor(F.col("g") / 1000).cast("string"), F.lit("/"), F.col("g").cast("string"), F.lit(".dbf"))
+    files.select(name.alias("name"), F.encode(body, "UTF-8").alias("body")).write.format("whole_files").mode("append").save(path)
+    rows = spark.read.format("dbf").option("records", 40).load(path)
     return rows.select(F.col("fields.KEY").cast("long").alias("p_partkey"), F.col("fields.SIZE").cast("int").alias("size"), "deleted", F.col("numeric_hex.SIZE").alias("raw"), F.col("source_row_number").alias("number"))
 
 
@@ -45,7 +47,8 @@ def _pages(spark, d, path):
     layer = F.when(key % 3 == 0, "rivers").otherwise("lakes")
     rows = t(spark, d, "supplier").select(layer.alias("layer"), (F.floor(key / 20) * 20).alias("start"), feature.alias("f"))
     pages = rows.groupBy("layer", "start").agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
-    pages.repartition("layer", "start").write.partitionBy("layer", "start").text(path)
+    name = F.concat(F.lit("layer="), "layer", F.lit("/start="), F.col("start").cast("string"), F.lit("/page.json"))
+    pages.select(name.alias("name"), F.encode("value", "UTF-8").alias("body")).write.format("whole_files").mode("append").save(path)
     return spark.read.format("captured_pages").option("key", "nation").load(path)
 
 

@@ -4,6 +4,9 @@
 * ``shp``: partitions by ranges of the ``.shx`` index beside it; without an index, one task reads the file.
 * ``captured_pages``: pages of a paged service under ``layer=<name>/start=<offset>/``; filters on layer, start,
   feature_id and the key property are pushed into the source: pages are not opened, features not built.
+* ``whole_files``: a writer of ``(name, body)``, each row a file of its own, for many small files of any layout.
+
+Ranges and pages are dealt to TASKS tasks where there are more of them than that.
 
 Paths may be local or a URI that Arrow's file systems open. ``register`` makes the formats known to a session.
 """
@@ -13,17 +16,34 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.window import Window
 
 from limnos.sources.readers import _text, dbf_fields, shp_shapes
 
 RECORDS = 100_000
+#: Most tasks of a scan, and files whose heads are read at once.
+TASKS, HEADS = 400, 32
+
+
+@dataclass
+class Dealt(InputPartition):
+    """Neighbouring ranges or pages that one task reads, one after the other."""
+
+    parts: list
+
+
+def _dealt(parts: list) -> list[InputPartition]:
+    """All parts, in their order, in at most TASKS partitions, one at least."""
+    size = max(1, -(-len(parts) // TASKS))
+    return [Dealt(parts[k : k + size]) for k in range(0, len(parts), size)] or [Dealt([])]
 
 
 def _system(path: str) -> tuple:
@@ -45,7 +65,7 @@ def _files(path: str, suffix: str) -> tuple[object, list]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     first: int
     last: int
@@ -57,18 +77,22 @@ class DbfReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, files = _files(self.path, self.suffix)
-        out = []
-        for f in files:
+
+        def ranges(f) -> list[Range]:
             with system.open_input_file(f.path) as file:
                 n, head, size = struct.unpack("<IHH", file.read(12)[4:])
             n = min(n, max(0, f.size - head) // size) if size else 0  # a file that was cut short ends with its last whole record
-            out += [Range(f.path, lo, min(lo + self.records, n)) for lo in range(0, n, self.records)]
-        return out or [Range("", 0, 0)]
+            return [Range(f.path, lo, min(lo + self.records, n)) for lo in range(0, n, self.records)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.path:
-            return
+        with ThreadPoolExecutor(HEADS) as heads:
+            return _dealt([r for found in heads.map(ranges, files) for r in found])
+
+    def read(self, partition: Dealt) -> Iterator[tuple]:
         system, _ = _system(self.path)
+        for part in partition.parts:
+            yield from self._range(system, part)
+
+    def _range(self, system, partition: Range) -> Iterator[tuple]:
         with system.open_input_file(partition.path) as file:
             head = file.read(struct.unpack("<H", file.read(10)[8:])[0] - 10)
             fields, (head_size, size) = dbf_fields(b"\0" * 10 + head), (len(head) + 10, 0)
@@ -111,17 +135,19 @@ class ShpReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, files = _files(self.path, ".shp")
-        out: list[InputPartition] = []
+        out: list[Range] = []
         for f in files:
             index = self._index(system, f.path)
             n = (index.size - 100) // 8 if index else 0
             out += [Range(f.path, lo, min(lo + self.records, n)) for lo in range(0, n, self.records)] if index else [Range(f.path, 0, -1)]
-        return out or [Range("", 0, 0)]
+        return _dealt(out)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.path:
-            return
+    def read(self, partition: Dealt) -> Iterator[tuple]:
         system, _ = _system(self.path)
+        for part in partition.parts:
+            yield from self._range(system, part)
+
+    def _range(self, system, partition: Range) -> Iterator[tuple]:
         with system.open_input_file(partition.path) as file:
             if partition.last < 0:
                 stretches = [(100, file.size())]
@@ -149,14 +175,14 @@ class ShpSource(DataSource):
 
 
 @dataclass
-class Page(InputPartition):
+class Page:
     path: str
     layer: str
     start: int
 
 
 class PagesReader(DataSourceReader):
-    """Pages as partitions. What ``pushFilters`` takes over is evaluated here and nowhere else."""
+    """Pages as parts of partitions. What ``pushFilters`` takes over is evaluated here and nowhere else."""
 
     def __init__(self, path: str, key: str) -> None:
         self.path, self.key = path, key
@@ -182,20 +208,22 @@ class PagesReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         _, files = _files(self.path, "")
-        out: list[InputPartition] = []
+        out: list[Page] = []
         for f in files:
             m = re.search(r"(?:^|/)layer=([^/]*)/start=(\d+)/[^/_.][^/]*$", f.path)
             if m and self._asked("layer", m[1]) and self._asked("start", int(m[2])) and int(m[2]) >= self.low and (self.high is None or int(m[2]) < self.high):
                 out.append(Page(f.path, m[1], int(m[2])))
-        return out or [Page("", "", 0)]
+        return _dealt(out)
 
     def _asked(self, name: str, value: object) -> bool:
         return (name not in self.wanted or value in self.wanted[name]) and (name not in self.present or value is not None)
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        if not partition.path:
-            return
+    def read(self, partition: Dealt) -> Iterator[tuple]:
         system, _ = _system(self.path)
+        for part in partition.parts:
+            yield from self._page(system, part)
+
+    def _page(self, system, partition: Page) -> Iterator[tuple]:
         with system.open_input_file(partition.path) as file:
             body = json.loads(file.read() or b"{}")
         for f in body.get("features") or []:
@@ -217,10 +245,42 @@ class PagesSource(DataSource):
         return PagesReader(self.options["path"], self.options.get("key", "id"))
 
 
+class FilesWriter(DataSourceWriter):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        system, root = _system(self.path)
+        last = None
+        for name, body in iterator:
+            at = f"{root}/{name}"
+            folder = at.rpartition("/")[0]
+            if folder != last:
+                system.create_dir(folder, recursive=True)
+                last = folder
+            part = f"{folder}/_{uuid.uuid4()}"  # a repeated task replaces whole files
+            with system.open_output_stream(part) as file:
+                file.write(bytes(body))
+            system.move(part, at)
+        return WriterCommitMessage()
+
+
+class FilesSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "whole_files"
+
+    def schema(self) -> str:
+        return "name string, body binary"
+
+    def writer(self, schema, overwrite: bool) -> FilesWriter:
+        return FilesWriter(self.options["path"])
+
+
 def register(spark: SparkSession) -> None:
     """Make the formats known, and let Spark push filters into them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (DbfSource, ShpSource, PagesSource):
+    for source in (DbfSource, ShpSource, PagesSource, FilesSource):
         spark.dataSource.register(source)
 
 

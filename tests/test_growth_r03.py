@@ -100,3 +100,28 @@ def test_nearest_in_crowds_equals_all_pairs(spark, monkeypatch):
         far = best is None or best[0] > 0.1
         assert got[k] == ((None, "none") if far else (best[1], "auto" if best[0] <= 0.05 else "review"))
     assert len(got) == len(points) and len(stored) > 8
+
+
+def test_ranges_and_pages_share_tasks_where_there_are_many(monkeypatch, tmp_path):
+    from limnos.sources import datasources as ds
+    from test_datasources import dbf, pages
+
+    monkeypatch.setattr(ds, "TASKS", 4)
+    for k in range(9):
+        (tmp_path / f"{k}.dbf").write_bytes(dbf(k))
+    pages(tmp_path, [3] * 10)
+    for reader, n in ((ds.DbfReader(str(tmp_path), 2, ".dbf"), sum(range(9))), (ds.PagesReader(str(tmp_path), "wb"), 30)):
+        tasks = reader.partitions()
+        assert 1 < len(tasks) <= 4
+        rows = [r for task in tasks for r in reader.read(task)]
+        assert len(rows) == n and len(set(map(repr, rows))) == n
+
+
+def test_whole_files_holds_each_row_as_a_file(spark, tmp_path):
+    from limnos.sources import datasources as ds
+
+    ds.register(spark)
+    df = spark.range(20).selectExpr("concat('a', id % 3, '/', id, '.bin') as name", "cast(concat('\\0', repeat('x', cast(id as int))) as binary) as body")
+    for _ in range(2):  # a second run replaces the files
+        df.write.format("whole_files").mode("append").save(str(tmp_path))
+    assert {str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file()} == {f"a{k % 3}/{k}.bin": b"\0" + b"x" * k for k in range(20)}
