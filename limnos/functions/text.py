@@ -6,9 +6,10 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Spellings of ä ö ü ß in ASCII, fixed values.
@@ -217,9 +218,16 @@ def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
 
-@pandas_udf(ArrayType(StringType()))
-def split_near(texts: pd.Series, limits: pd.Series) -> pd.Series:
-    """Pieces of at most `limit` characters, cut at the last line feed, else the last blank, else hard."""
+#: Texts that are split at once.
+TEXTS = 64
+
+
+@arrow_udf(ArrayType(StringType()))
+def split_near(texts: pa.Array, limits: pa.Array) -> pa.Array:
+    """Pieces of at most `limit` characters, cut at the last line feed, else the last blank, else hard.
+
+    Only TEXTS texts and their pieces are Python objects at a time, all others stay in Arrow's buffers.
+    """
 
     def one(text, limit):
         out, text = [], (text or "").strip()
@@ -229,4 +237,6 @@ def split_near(texts: pd.Series, limits: pd.Series) -> pd.Series:
             text = text[at:].strip()
         return [p for p in [*out, text] if p]
 
-    return pd.Series([one(t, int(n)) for t, n in zip(texts, limits)])
+    kind = pa.list_(pa.string())
+    few = lambda k: zip(texts.slice(k, TEXTS).to_pylist(), limits.slice(k, TEXTS).to_pylist())
+    return pa.concat_arrays([pa.array([one(t, int(n)) for t, n in few(k)], kind) for k in range(0, len(texts), TEXTS)] or [pa.array([], kind)])

@@ -125,3 +125,14 @@ def test_whole_files_holds_each_row_as_a_file(spark, tmp_path):
     for _ in range(2):  # a second run replaces the files
         df.write.format("whole_files").mode("append").save(str(tmp_path))
     assert {str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file()} == {f"a{k % 3}/{k}.bin": b"\0" + b"x" * k for k in range(20)}
+
+
+def test_few_texts_at_a_time_are_python_objects(spark):
+    import pyarrow as pa
+
+    from limnos.functions import text as T
+
+    texts = ["a b " * 50_000, None, "", "x" * 1_001] * 50
+    got = T.split_near.func(pa.array(texts), pa.array([500] * len(texts)))
+    assert isinstance(got, pa.Array) and len(got) == 200
+    assert [len(p) for p in got[:4].to_pylist()] == [400, 0, 0, 3] and got.slice(4).equals(got.slice(0, 196))
